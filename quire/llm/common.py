@@ -41,3 +41,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(rows: DataFrame, key: str, label: str, most: int, seed: int) -> DataFrame:
+    """About `most` rows of each label at most: those whose hashed key lies below most / count. Same rows each time; all of them if fewer."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("count_"))
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("count_"))
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return rows.join(F.broadcast(counts), label).filter(place < share).drop("count_")
+
+
+def text_slices(sizes: list[int], most: int):
+    """Slices of neighbouring rows whose sizes sum to `most` at most (a larger row goes alone)."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if held + n > most and i > start:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if sizes:
+        yield slice(start, len(sizes))
+
+
+def schema_of(df: DataFrame, extra: str = "") -> str:
+    """DDL of df's columns, and more columns."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *([extra] if extra else [])])

@@ -17,30 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import table, text_slices
 
 PAD = 64
 #: Text bytes that one call of the codec gets at most (a longer text goes alone).
 AT_ONCE = 4 << 20
 
 
-def _slices(sizes: list[int]) -> Iterator[slice]:
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if held + n > AT_ONCE and i > start:
-            yield slice(start, i)
-            start, held = i, 0
-        held += n
-    if sizes:
-        yield slice(start, len(sizes))
-
-
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from quire.llm import flac
 
     for batch in batches:
         keys, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-        for part in _slices([len(t or b"") for t in texts]):
+        for part in text_slices([len(t or b"") for t in texts], AT_ONCE):
             raw = [t or b"" for t in texts[part]]
             media = flac.encode([t + bytes(-len(t) % PAD if t else PAD) for t in raw])
             sizes = pa.array([len(t) for t in raw], pa.int64())
@@ -78,7 +67,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32())])
     for batch in batches:
         names, media = batch.schema.names, batch.column(batch.num_columns - 1).to_pylist()
-        for part in _slices([len(m or b"") for m in media]):
+        for part in text_slices([len(m or b"") for m in media], AT_ONCE):
             mine = media[part]
             found = iter(_decode_each([m for m in mine if m is not None]))
             rows = [next(found) if m is not None else (None, [], "no media") for m in mine]

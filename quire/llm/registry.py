@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: query -> module of this subpackage; modules with a constant ORACLE_SQL have an SQL form.
 MODULES = {
+    "op1_quality_qda": "quality",
+    "op6_language_id": "language",
     "op4_best_fit_packing": "packing",
     "op3_flac_media": "media",
     "op2_license_scan": "licenses",
