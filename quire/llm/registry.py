@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module of this subpackage; modules with a constant ORACLE_SQL have an SQL form.
 MODULES = {
+    "op8_ngram_jaccard": "jaccard",
     "op5_embedding_neardup": "neardup",
     "op10_lm_score": "lm",
     "op1_quality_qda": "quality",
