@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.bytewords import hash_words, mix
@@ -320,3 +321,16 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without all but one document of each component: the one with the least (doc_id, MD5 of the text), null ids first.
+
+    Documents without n-grams all stay. Columns stay as they are.
+    """
+    keyed = docs.withColumn("key_", F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest")))
+    found = similar(keyed.select(F.col("key_").alias("doc_id"), "text"))
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_")).agg(F.max("n_shingles").alias("n_"))
+    mine = keyed.join(kept, F.col("key_") == F.col("kept_"))
+    first = F.row_number().over(W.partitionBy("key_").orderBy(F.lit(0)))
+    return mine.withColumn("first_", first).filter("first_ = 1 or n_ = 0").select(*docs.columns)
