@@ -1 +1 @@
-"""."""
+"""Query plans: stand-in tables, queries, SQL."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from quire.plans import table_queries, text_queries
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = text_queries.flagship
+ALL = text_queries.QUERIES | table_queries.QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in ALL.items() if sql}

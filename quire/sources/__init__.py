@@ -1 +1 @@
-"""."""
+"""Raw files in, tables and texts out."""
