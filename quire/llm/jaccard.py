@@ -12,6 +12,7 @@ are one class.
    positional and suffix filters are verified by the whole sets, once each.
 4. The rest. Where classes that share an n-gram are still in different components, all pairs between those components
    that pass the filters are verified too. A pair within a component needs no test: it could not change a component.
+   The positional filter counts, before the common n-gram, only those that two components share.
 
 So components are exact, and a group of many near copies costs a multiple of its size, not of its square.
 
@@ -216,18 +217,27 @@ def _shared(t: pa.Table) -> pa.Table:
     return pa.table({"gram": pa.array(grams.astype(np.int64)), "cid": pa.array(cids), "n": pa.array(n), "at": pa.array(at)})
 
 
-def passes(na, nb, pa_, pb):
-    """Length and positional filter for sets of na and nb n-grams with a common one at places pa_ and pb of their order."""
+def passes(na, nb, pa_, pb, sa, sb):
+    """Length and positional filter for sets of na and nb n-grams with a common one at places pa_ and pb of their order.
+
+    Of what stands before it in either set, only n-grams that could be common count: sa and sb of them. An n-gram before the
+    common one that both sets have lies in both prefixes, so one that no other class has in its prefix is not common.
+    """
     least = lambda a, b: F.least(a, b) if hasattr(a, "alias") else np.minimum(a, b)
-    most = least(pa_, pb) + 1 + least(na - pa_ - 1, nb - pb - 1)
+    most = least(sa, sb) + 1 + least(na - pa_ - 1, nb - pb - 1)
     return (100 * least(na, nb) >= PERCENT * na) & (100 * least(na, nb) >= PERCENT * nb) & ((100 + PERCENT) * most >= PERCENT * (na + nb))
 
 
+def with_before(entries: DataFrame) -> DataFrame:
+    """Adds before: how many of the class's entries stand before this one (a window over one class's prefix)."""
+    return entries.withColumn("before", F.row_number().over(W.partitionBy("cid").orderBy("at")) - 1)
+
+
 def _between(t: pa.Table) -> pa.Table:
     """Pairs of classes of different components that share an n-gram and pass the filters; a bin holds whole groups."""
     t = t.sort_by([("group", "ascending"), ("component", "ascending")])
-    group, cid, component, n, at, home, a, b, blocks = (t.column(c).to_numpy() for c in ("group", "cid", "component", "n", "at", "home", "block_a", "block_b", "blocks_"))
-    n, at = n.astype(np.int64), at.astype(np.int64)
+    group, cid, component, n, at, before, home, a, b, blocks = (t.column(c).to_numpy() for c in ("group", "cid", "component", "n", "at", "before", "home", "block_a", "block_b", "blocks_"))
+    n, at, before = n.astype(np.int64), at.astype(np.int64), before.astype(np.int64)
     starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
     firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, z in zip(starts, np.append(starts[1:], len(group))):
@@ -238,7 +248,7 @@ def _between(t: pa.Table) -> pa.Table:
             if not len(j):
                 break
             own = np.where(home[i] == a[i], b[i] == (a[i] + 1) % blocks[i], a[i] == (b[i] + 1) % blocks[i])
-            ok = passes(n[i], n[j], at[i], at[j]) & ((home[j] != home[i]) | own | (blocks[i] == 1))
+            ok = passes(n[i], n[j], at[i], at[j], before[i], before[j]) & ((home[j] != home[i]) | own | (blocks[i] == 1))
             j = j[ok]
             firsts.append(np.minimum(cid[i], cid[j]))
             seconds.append(np.maximum(cid[i], cid[j]))
@@ -298,8 +308,10 @@ def similar(docs: DataFrame) -> DataFrame:
     entries = docs.select("text").mapInArrow(lambda it: _entries(it, sketch, buckets), "bucket int, grams binary, cids binary, n binary, at binary")
     shared = stored(entries.groupBy("bucket").applyInArrow(_shared, "gram long, cid long, n int, at int"), "gram-shared")
 
-    star = shared.groupBy("gram").agg(F.min(F.struct(F.col("cid"), F.col("n"), F.col("at"))).alias("c"))
-    paired = shared.join(star, "gram").filter((F.col("cid") != F.col("c.cid")) & passes(F.col("n"), F.col("c.n"), F.col("at"), F.col("c.at")))
+    placed = stored(with_before(shared), "gram-placed")
+    # The centre is the class with fewest n-grams of its own before this one: an original rather than one of its changed copies.
+    star = placed.groupBy("gram").agg(F.min(F.struct((F.col("at") - F.col("before")).alias("own"), F.col("cid"), F.col("n"), F.col("at"), F.col("before"))).alias("c"))
+    paired = placed.join(star, "gram").filter((F.col("cid") != F.col("c.cid")) & passes(F.col("n"), F.col("c.n"), F.col("at"), F.col("c.at"), F.col("before"), F.col("c.before")))
     pairs = paired.select(F.least("cid", "c.cid").alias("a"), F.greatest("cid", "c.cid").alias("b")).distinct()
     pairs = stored(pairs, "gram-stars")
     links = verified(pairs, docs, described, "stars")
@@ -307,9 +319,9 @@ def similar(docs: DataFrame) -> DataFrame:
     joined = components(links)
     known = shared.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = known.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("gram")
-    rest = block_pairs(stored(known.join(mixed, "gram"), "gram-mixed"), ["gram"], "cid", BLOCK).withColumn("group", F.xxhash64("gram", "block_a", "block_b"))
+    rest = block_pairs(stored(with_before(known.join(mixed, "gram")), "gram-mixed"), ["gram"], "cid", BLOCK).withColumn("group", F.xxhash64("gram", "block_a", "block_b"))
     bins = max(1, -(-(n // 5) // (8 * BIN)))
-    binned = rest.withColumn("bin", F.pmod(F.hash("group"), F.lit(bins))).select("bin", "group", "cid", "component", "n", "at", "home", "block_a", "block_b", "blocks_")
+    binned = rest.withColumn("bin", F.pmod(F.hash("group"), F.lit(bins))).select("bin", "group", "cid", "component", "n", "at", "before", "home", "block_a", "block_b", "blocks_")
     more = binned.groupBy("bin").applyInArrow(_between, "a long, b long").distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "gram-rest")
     if not more.isEmpty():
