@@ -16,7 +16,7 @@ _IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that are hashed at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -63,6 +63,17 @@ def text_slices(sizes: list[int], most: int):
         yield slice(start, len(sizes))
 
 
+def text_parts(column, most: int, as_bytes: bool = True):
+    """(slice, texts) of an Arrow string column, `most` bytes at a time; nulls come as empty bytes, or as None where texts are strings."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for part in text_slices(sizes, most):
+        mine = column.slice(part.start, part.stop - part.start)
+        yield part, [t or b"" for t in mine.cast(pa.binary()).to_pylist()] if as_bytes else mine.to_pylist()
+
+
 def schema_of(df: DataFrame, extra: str = "") -> str:
     """DDL of df's columns, and more columns."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *([extra] if extra else [])])

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.bytewords import hash_words, mix
-from quire.llm.common import stored, table, text_slices
+from quire.llm.common import stored, table, text_parts
 from quire.llm.graph import block_pairs, components
 
 WORDS = 5
@@ -48,7 +48,7 @@ BUCKET, BLOCK, BIN = 500_000, 512, 8192
 RANGES = 64
 #: Representatives' ids are broadcast up to so many (8 bytes each), else joined by shuffling.
 BROADCAST_IDS = 1_000_000
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 _FACTORS = np.random.default_rng(99).integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -86,10 +86,6 @@ def sketch_slots(grams: np.ndarray) -> list[np.ndarray]:
     return [((grams >> np.uint64(SKETCH_BITS * r)) & mask).astype(np.int64) for r in range(SKETCH_ROWS)]
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
-    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
-
-
 def _describe(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows: id, set size, class, ranges; and at the end the task's part of the sketch, in pieces of 4096 counters."""
     from pyspark import TaskContext
@@ -98,9 +94,8 @@ def _describe(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[p
     key_type = None
     for batch in batches:
         key_type = batch.schema.field(0).type
-        texts = _texts(batch, 1)
-        for part in text_slices([len(t) for t in texts], AT_ONCE):
-            sets = sets_of(texts[part])
+        for part, texts in text_parts(batch.column(1), AT_ONCE):
+            sets = sets_of(texts)
             every = np.concatenate(sets)
             for row, slots in zip(sketch, sketch_slots(every)):
                 row += np.bincount(slots, minlength=1 << SKETCH_BITS)
@@ -175,16 +170,15 @@ def _entries(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, buckets: int
         return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int32()), *[pa.array(x, pa.binary()) for x in raw]], ["bucket", "grams", "cids", "n", "at"])
 
     for batch in batches:
-        texts = _texts(batch, 0)
-        for part in text_slices([len(t) for t in texts], AT_ONCE):
-            for grams in sets_of(texts[part]):
+        for _, texts in text_parts(batch.column(0), AT_ONCE):
+            for grams in sets_of(texts):
                 n = len(grams)
                 if not n:
                     continue
                 cid = class_id(grams)
                 if cid in seen:
                     continue
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(cid)
                 sorted_, estimate = in_order(grams, sketch)
@@ -196,7 +190,7 @@ def _entries(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, buckets: int
                 for x, v in zip(held, (bucket, g, np.full(k, cid), np.full(k, n, np.int32), np.arange(k, dtype=np.int32))):
                     x.append(v)
                 size += k
-            if size > 400_000:
+            if size > 200_000:
                 yield flush()
                 size = 0
     if size:
@@ -268,9 +262,8 @@ def _suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _needed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _texts(batch, 0)
-        for part in text_slices([len(t) for t in texts], AT_ONCE):
-            sets = [s for s in sets_of(texts[part]) if len(s)]
+        for _, texts in text_parts(batch.column(0), AT_ONCE):
+            sets = [s for s in sets_of(texts) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "grams"])
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, crc_mod, schema_of, stored, table, text_slices
+from quire.llm.common import bounded_sample, crc_mod, schema_of, stored, table, text_parts
 
 LONGEST = 40
 #: Texts of each language that are learned from, at most (about; chosen by hash).
@@ -31,7 +31,7 @@ ROUNDS = 4
 #: What each piece counts before any text is seen, and the least probability of a character outside the vocabulary.
 PSEUDO, UNKNOWN = 0.01, 1e-6
 #: Words whose probabilities a worker remembers, and characters worked on at once.
-MEMORY, AT_ONCE = 400_000, 4 << 20
+MEMORY, AT_ONCE = 250_000, 2 << 20
 START = "▁"
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -235,9 +235,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for part in text_slices([len(t or "") for t in texts], AT_ONCE):
-                logs, n = model.scores(texts[part])
+            for part, texts in text_parts(batch.column(batch.num_columns - 1), AT_ONCE, as_bytes=False):
+                logs, n = model.scores(texts)
                 names, shares = ["und"] * len(n), np.zeros(len(n))
                 if model.languages:
                     best = logs.argmax(axis=1)

@@ -17,20 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, text_slices
+from quire.llm.common import table, text_parts, text_slices
 
 PAD = 64
 #: Text bytes that one call of the codec gets at most (a longer text goes alone).
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from quire.llm import flac
 
     for batch in batches:
-        keys, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-        for part in text_slices([len(t or b"") for t in texts], AT_ONCE):
-            raw = [t or b"" for t in texts[part]]
+        keys = batch.column(0)
+        for part, raw in text_parts(batch.column(1), AT_ONCE):
             media = flac.encode([t + bytes(-len(t) % PAD if t else PAD) for t in raw])
             sizes = pa.array([len(t) for t in raw], pa.int64())
             yield pa.RecordBatch.from_arrays([keys.slice(part.start, part.stop - part.start), sizes, pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])

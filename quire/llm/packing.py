@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, table
+from quire.llm.common import stored, table, text_parts
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -39,7 +39,8 @@ GROUPS = 96
 #: A configuration stays if its actual pieces leave at most so much; each is tried on the histogram, and the plan with fewest sequences is taken.
 SLACKS = (0, 1, 2, 4, 8, 16, CAPACITY)
 #: Words whose ids a worker remembers (it forgets all when full), and the longest such word.
-MEMORY, LONGEST = 300_000, 40
+MEMORY, LONGEST = 200_000, 40
+AT_ONCE = 2 << 20
 
 
 # ---------------------------------------------------------------- tokens
@@ -110,7 +111,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str |
     encode, task, seen = words(vocabulary).ids, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     end = END_TOKEN.to_bytes(4, "little")
     for batch in batches:
-        keys, texts = batch.column(0), batch.column(1).to_pylist()
+        keys = batch.column(0)
         rows: list[list] = [[], [], [], [], [], []]
 
         def flush(rows=rows, keys=keys):
@@ -125,7 +126,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str |
             return out
 
         held = 0
-        for i, text in enumerate(texts):
+        for i, text in ((part.start + k, t) for part, texts in text_parts(batch.column(1), AT_ONCE, as_bytes=False) for k, t in enumerate(texts)):
             ids = encode(text or "") + end
             n = len(ids) // 4
             cut, piece = n % capacity or capacity, 0

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, crc_mod, schema_of, table, text_slices
+from quire.llm.common import bounded_sample, crc_mod, schema_of, table, text_parts
 
 THRESHOLD = 0.7
 TRAINING_ROWS = 20_000
 #: Weight of the pooled diagonal in each covariance, and the least variance.
 SHRINKAGE, FLOOR = 0.15, 1e-4
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 # Classes of ASCII characters.
 SYMBOLS, MARKS = b"!#$%&*+/<=>@\\^_`{|}~", b".,;:'\"?()-"
 NAMES = ("words", "word_length", "upper", "digits", "symbols", "marks", "types", "same_next", "top_word", "lines", "line_words", "same_lines", "symbol_words", "short_words", "spaces", "entropy", "longest_run", "lower_start")
@@ -102,9 +102,9 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = len(NAMES)
     n, s, q = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
     for batch in batches:
-        label, texts = np.array(batch.column(0).to_pylist(), int), batch.column(1).to_pylist()
-        for part in text_slices([len(t or "") for t in texts], AT_ONCE):
-            x, y = np.array([statistics(t) for t in texts[part]]), label[part]
+        label = np.array(batch.column(0).to_pylist(), int)
+        for part, texts in text_parts(batch.column(1), AT_ONCE, as_bytes=False):
+            x, y = np.array([statistics(t) for t in texts]), label[part]
             for c in (0, 1):
                 m = x[y == c]
                 n[c] += len(m)
@@ -133,9 +133,7 @@ def score(docs: DataFrame, model: Discriminant, text: str = "text", keep: list[s
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for part in text_slices([len(t or "") for t in texts], AT_ONCE):
-                mine = texts[part]
+            for part, mine in text_parts(batch.column(batch.num_columns - 1), AT_ONCE, as_bytes=False):
                 found = model.scores(np.array([statistics(t) for t in mine]))
                 old = [batch.column(i).slice(part.start, len(mine)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*old, pa.array(found, pa.float64())], [*keep, "score"])
