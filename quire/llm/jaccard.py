@@ -44,6 +44,8 @@ SKETCH_ROWS, SKETCH_BITS = 2, 18
 FREQUENT = 50_000
 #: Entries in a bucket; classes that share an n-gram and meet in one task; rows of a task call.
 BUCKET, BLOCK, BIN = 500_000, 512, 8192
+#: How many n-grams before a common one are looked at for an earlier meeting of a pair.
+EARLIER = 4
 #: Hash ranges of the suffix filter.
 RANGES = 64
 #: Representatives' ids are broadcast up to so many (8 bytes each), else joined by shuffling.
@@ -227,11 +229,22 @@ def with_before(entries: DataFrame) -> DataFrame:
     return entries.withColumn("before", F.row_number().over(W.partitionBy("cid").orderBy("at")) - 1)
 
 
+def with_earlier(entries: DataFrame) -> DataFrame:
+    """Adds earlier: the class's last EARLIER entries before this one (0 where there are fewer)."""
+    line = W.partitionBy("cid").orderBy("at")
+    return entries.withColumns({f"earlier_{k}": F.lag("gram", k, 0).over(line) for k in range(1, EARLIER + 1)})
+
+
 def _between(t: pa.Table) -> pa.Table:
-    """Pairs of classes of different components that share an n-gram and pass the filters; a bin holds whole groups."""
+    """Pairs of classes of different components that share an n-gram and pass the filters; a bin holds whole groups.
+
+    Where both classes have the same n-gram among their last few before this one, the pair met there already: if it
+    failed a filter there, it is not similar, and if it passed, it was given.
+    """
     t = t.sort_by([("group", "ascending"), ("component", "ascending")])
     group, cid, component, n, at, before, home, a, b, blocks = (t.column(c).to_numpy() for c in ("group", "cid", "component", "n", "at", "before", "home", "block_a", "block_b", "blocks_"))
     n, at, before = n.astype(np.int64), at.astype(np.int64), before.astype(np.int64)
+    earlier = [t.column(f"earlier_{k}").to_numpy() for k in range(1, EARLIER + 1)]
     starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
     firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, z in zip(starts, np.append(starts[1:], len(group))):
@@ -244,6 +257,12 @@ def _between(t: pa.Table) -> pa.Table:
             own = np.where(home[i] == a[i], b[i] == (a[i] + 1) % blocks[i], a[i] == (b[i] + 1) % blocks[i])
             ok = passes(n[i], n[j], at[i], at[j], before[i], before[j]) & ((home[j] != home[i]) | own | (blocks[i] == 1))
             j = j[ok]
+            met = np.zeros(len(j), bool)
+            for x in earlier:
+                if x[i]:
+                    for y in earlier:
+                        met |= y[j] == x[i]
+            j = j[~met]
             firsts.append(np.minimum(cid[i], cid[j]))
             seconds.append(np.maximum(cid[i], cid[j]))
     pairs = np.unique(np.stack([np.concatenate(firsts), np.concatenate(seconds)], axis=1), axis=0)
@@ -312,9 +331,9 @@ def similar(docs: DataFrame) -> DataFrame:
     joined = components(links)
     known = shared.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = known.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("gram")
-    rest = block_pairs(stored(with_before(known.join(mixed, "gram")), "gram-mixed"), ["gram"], "cid", BLOCK).withColumn("group", F.xxhash64("gram", "block_a", "block_b"))
+    rest = block_pairs(stored(with_earlier(with_before(known.join(mixed, "gram"))), "gram-mixed"), ["gram"], "cid", BLOCK).withColumn("group", F.xxhash64("gram", "block_a", "block_b"))
     bins = max(1, -(-(n // 5) // (8 * BIN)))
-    binned = rest.withColumn("bin", F.pmod(F.hash("group"), F.lit(bins))).select("bin", "group", "cid", "component", "n", "at", "before", "home", "block_a", "block_b", "blocks_")
+    binned = rest.withColumn("bin", F.pmod(F.hash("group"), F.lit(bins))).select("bin", "group", "cid", "component", "n", "at", "before", *[f"earlier_{k}" for k in range(1, EARLIER + 1)], "home", "block_a", "block_b", "blocks_")
     more = binned.groupBy("bin").applyInArrow(_between, "a long, b long").distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "gram-rest")
     if not more.isEmpty():
