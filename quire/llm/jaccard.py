@@ -339,7 +339,8 @@ def similar(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         joined = components(links.unionByName(verified(more, docs, described, "rest")))
     placed = described.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least_id"))
+    # Written first, so that the join stands alone and a large component's rows can be split among tasks.
+    least = stored(placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least_id")), "gram-least")
     return placed.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), "cid")
 
 

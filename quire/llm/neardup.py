@@ -214,7 +214,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     known = classes.select("cid", "n").join(links, "cid", "left").join(joined, "cid", "left").select("cid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component"))
     known = stored(known, "near-known")
     placed = marked.select("vec_id", "cid").join(known, "cid", "left")
-    least = placed.filter("component is not null").groupBy("component").agg(F.min("vec_id").alias("least_id"))
+    # Written first, so that the join stands alone and a large component's rows can be split among tasks.
+    least = stored(placed.filter("component is not null").groupBy("component").agg(F.min("vec_id").alias("least_id")), "near-least")
     return placed.join(least, "component", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("least_id")).alias("component_id"))
 
 
