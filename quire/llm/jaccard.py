@@ -257,6 +257,8 @@ def _between(t: pa.Table) -> pa.Table:
             own = np.where(home[i] == a[i], b[i] == (a[i] + 1) % blocks[i], a[i] == (b[i] + 1) % blocks[i])
             ok = passes(n[i], n[j], at[i], at[j], before[i], before[j]) & ((home[j] != home[i]) | own | (blocks[i] == 1))
             j = j[ok]
+            if not len(j):
+                continue
             met = np.zeros(len(j), bool)
             for x in earlier:
                 if x[i]:
@@ -353,9 +355,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Documents without n-grams all stay. Columns stay as they are.
     """
-    keyed = docs.withColumn("key_", F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest")))
-    found = similar(keyed.select(F.col("key_").alias("doc_id"), "text"))
+    key = F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
+    found = similar(docs.select(key.alias("doc_id"), "text"))
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row_"), key.alias("key_"))
     kept = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_")).agg(F.max("n_shingles").alias("n_"))
     mine = keyed.join(kept, F.col("key_") == F.col("kept_"))
     first = F.row_number().over(W.partitionBy("key_").orderBy(F.lit(0)))
-    return mine.withColumn("first_", first).filter("first_ = 1 or n_ = 0").select(*docs.columns)
+    return mine.withColumn("first_", first).filter("first_ = 1 or n_ = 0").select(*[F.col("row_")[c].alias(c) for c in docs.columns])

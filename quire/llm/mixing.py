@@ -8,7 +8,7 @@ round the shard again.
 
 Defined cases: null text has size 0 and is never taken; null source is a source of its own, ranked last; rows
 that repeat an id count as rows of their own; an empty table gives an empty result; other columns stay as they
-are, and columns named like a result column are replaced.
+are (`mixed_documents` carries them as one struct, so their names can't clash; `mix` gives its own columns only).
 """
 
 from __future__ import annotations
@@ -123,11 +123,12 @@ def mix(
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """rows(doc_id, source, size, ...) -> the same with source_size, target, taken, and where the words lie in the shard.
+    """rows(doc_id, source, size; row_ is kept if there) -> with source_size, target, taken, and where the words lie in the shard.
 
     first_block / start_, n_blocks, passes and extra say which words are taken: all of them `passes` times, and once
     more those of the blocks that `chosen` marks. Words of a shard lie in seeded order of its documents.
     """
+    rows = rows.select("doc_id", "source", "size", *(["row_"] if "row_" in rows.columns else []))
     sources = stored(source_targets(rows.select("source", "size"), weights, cap), "mix-sources")
     dealt = (
         join_sources(rows, sources)
@@ -169,17 +170,18 @@ def mixed_documents(docs: DataFrame, text: str = "text", block_words: int = BLOC
     A pass that takes all words keeps the text as it is; a partial one keeps the taken words, one space between. n_chars, if
     there, is counted anew.
     """
-    rows = docs.select(*[F.col(c) for c in docs.columns], words_of(F.col(text)).alias("size"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row_"), "doc_id", "source", words_of(F.col(text)).alias("size"))
     held = mix(rows, block_words=block_words, **options).filter(F.col("taken") > 0)
+    whole = F.col("row_")[text]
     partial = F.array_join(
-        F.filter(F.regexp_extract_all(F.col(text), F.lit(SPACE_WORD), F.lit(0)), lambda w, i: chosen(F.floor((F.col("start_") + i) / block_words))), " "
+        F.filter(F.regexp_extract_all(whole, F.lit(SPACE_WORD), F.lit(0)), lambda w, i: chosen(F.floor((F.col("start_") + i) / block_words))), " "
     )
     rest = F.col("taken") - F.col("passes") * F.col("size")
-    last = F.when(rest == F.col("size"), F.col(text)).when(rest > 0, partial)
-    texts = F.concat(F.array_repeat(F.col(text), F.col("passes").cast("int")), F.when(rest > 0, F.array(last)).otherwise(F.expr("cast(array() as array<string>)")))
+    last = F.when(rest == F.col("size"), whole).when(rest > 0, partial)
+    texts = F.concat(F.array_repeat(whole, F.col("passes").cast("int")), F.when(rest > 0, F.array(last)).otherwise(F.expr("cast(array() as array<string>)")))
     out = held.withColumn("texts_", texts).withColumn("text_", F.explode("texts_"))
-    new = {text: F.col("text_")} | ({"n_chars": F.char_length("text_").cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    new = {text: F.col("text_")} | ({"n_chars": F.char_length("text_").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col("row_")[c]).alias(c) for c in docs.columns])
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

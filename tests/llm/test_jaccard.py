@@ -94,3 +94,11 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in jaccard.op8_ngram_jaccard(spark, sf).collect()), key=str)
     assert got == sorted(brute(docs), key=str)
+
+
+def test_one_of_each_keeps_columns(spark):
+    docs = [(i, t, "k", i) for i, t in enumerate(["a b c d e f", "A b c d e f", "x y", "x y", "", None])] + [(0, "a b c d e f", "k", 0), (5, None, "k", 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_ string, component long")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2, 4, 5, 5]

@@ -50,7 +50,7 @@ def test_mix_cases(spark):
     rng = np.random.default_rng(4)
     docs = [(i, "big" if i % 3 == 0 else None if i % 3 == 1 else f"s{i % 7}", " ".join(["w"] * int(rng.integers(0, 300)))) for i in range(600)]
     docs += [(5, "big", "w " * 40000), (6, "big", None), (6, "big", ""), (6, "big", "same text"), (6, "big", "same text"), (None, "s1", "a b")]
-    df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("taken", F.lit("x"))
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("taken", F.lit("x")).withColumn("size", F.lit("y")).withColumn("target", F.lit("t")).withColumn("n_blocks", F.lit("z"))
     rows = df.select("doc_id", "source", mixing.words_of(F.col("text")).alias("size"))
     got = mixing.mix(rows, shard_words=2000).toPandas()
     assert len(got) == len(docs) and (got.taken <= 3 * got["size"]).all() and (got.taken >= 0).all()
