@@ -41,6 +41,8 @@ SLACKS = (0, 1, 2, 4, 8, 16, CAPACITY)
 #: Words whose ids a worker remembers (it forgets all when full), and the longest such word.
 MEMORY, LONGEST = 200_000, 40
 AT_ONCE = 2 << 20
+#: Up to so many tasks their counts (16 bytes a length) are broadcast, else pieces move to their task's counts.
+BROADCAST_TASKS = 2048
 
 
 # ---------------------------------------------------------------- tokens
@@ -318,13 +320,14 @@ def places(runs: list[tuple[int, tuple]]) -> list[tuple[int, int, int, int, int,
 
 
 def numbered(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pieces with their number among all of their length; and (length, task, n) counts.
+    """One row per task with how many pieces of each length stand in tasks before it; and (length, task, n) counts.
 
     The running sum is over one row per task and length.
     """
     counts = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    return counts.select("length", "task", before.alias("before")), counts
+    listed = counts.select("task", F.struct("length", before.alias("before")).alias("entry"))
+    return listed.groupBy("task").agg(F.map_from_entries(F.collect_list("entry")).alias("before")), counts
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, vocabulary: str | None = None) -> DataFrame:
@@ -338,7 +341,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, vocabu
     for length, *place in places(plan(histogram, capacity, groups)):
         by_length[length].append(tuple(place))
     runs = spark.createDataFrame(list(by_length.items()), shape)
-    mine = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("number")).join(F.broadcast(runs), "length")
+    few = counts.agg(F.max("task")).first()[0] or 0  # a row of at most `capacity` numbers for each task
+    located = pieces.join(F.broadcast(before) if few < BROADCAST_TASKS else before, "task")
+    mine = located.withColumn("rank", F.element_at("before", F.col("length")) + F.col("number")).join(F.broadcast(runs), "length")
     run = F.get(F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["after"])), F.lit(0))
     return (
         mine.withColumn("run", run)
