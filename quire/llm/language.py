@@ -31,7 +31,9 @@ ROUNDS = 4
 #: What each piece counts before any text is seen, and the least probability of a character outside the vocabulary.
 PSEUDO, UNKNOWN = 0.01, 1e-6
 #: Words whose probabilities a worker remembers, and characters worked on at once.
-MEMORY, AT_ONCE = 250_000, 2 << 20
+MEMORY, AT_ONCE = 200_000, 1 << 20
+#: Words whose segmentations are held at once.
+PART = 5_000
 START = "▁"
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -115,7 +117,7 @@ class Pieces:
         """log probability of each word in each language; p[language, piece]."""
         out = np.zeros((len(words), len(p)))
         order = np.argsort([len(w) for w in words], kind="stable")
-        for part in np.array_split(order, -(-len(words) // 20_000)):  # words of like lengths together
+        for part in np.array_split(order, -(-len(words) // PART)):  # words of like lengths together
             mine = [words[i] for i in part]
             lengths, _, edges = self.lattice(mine)
             for k in range(len(p)):
@@ -126,7 +128,7 @@ class Pieces:
         """Expected count of each piece over the segmentations of the words."""
         total = np.zeros(self.n)
         order = np.argsort([len(w) for w in words], kind="stable")
-        for part in np.array_split(order, -(-len(words) // 20_000)):
+        for part in np.array_split(order, -(-len(words) // PART)):
             mine = [words[i] for i in part]
             lengths, _, edges = self.lattice(mine)
             alpha = self.forward(lengths, edges, p)
