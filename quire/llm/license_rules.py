@@ -1,12 +1,17 @@
 """Signature rules for licence scans, over text as lower-case words with one space between.
 
-A rule is (priority, label, keyword, regex): the regex is tried only where the keyword occurs. Priorities: 4 a machine
-readable tag, 3 a link or a passage of the licence itself, 2 the licence's name, 1 a general mention. The first four
-tables are written out by hand; tag, link and Creative Commons forms follow from the tables by rule.
+A rule is (priority, label, keywords, regex): the regex is tried only where one of the keywords occurs. Keywords are
+read off the regex, so that each of its matches contains one. Priorities: 4 a machine readable tag, 3 a link or a passage
+of the licence itself, 2 the licence's name, 1 a general mention. The first four tables are written out by hand; tag,
+link and Creative Commons forms follow from the tables by rule.
 """
 
 from __future__ import annotations
 
+import functools
+import re._constants as sre
+import re._parser as parser
+
 TAG, PASSAGE, NAME, MENTION = 4, 3, 2, 1
 WEIGHTS = {TAG: 0.99, PASSAGE: 0.95, NAME: 0.9, MENTION: 0.6}
 
@@ -94,72 +99,72 @@ NAMES = [
     ("cc0-1.0", "cc0 1 0", r"(?:creative commons )?(?:cc0|cc zero)(?: 1 0)?(?: universal)?(?: licen[sc]e)?"),
 ]
 
-# Passages of the licences themselves (label, keyword, regex).
+# Passages of the licences themselves (label, regex).
 PASSAGES = [
-    ("mit", "permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "shall be included in all copies", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("isc", "permission to use copy modify and", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
-    ("bsd", "redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "neither the name of", r"neither the name of(?: [^ ]+){1,12} nor the names of its contributors"),
-    ("bsd-4-clause", "all advertising materials", r"all advertising materials mentioning features or use of this software"),
-    ("apache-2.0", "licensed under the apache license", r"licensed under the apache license version 2 0 the license"),
-    ("apache-2.0", "you may not use this file", r"you may not use this file except in compliance with the license"),
-    ("gpl", "free software you can redistribute", r"is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "free software you can redistribute", r"is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", "free software you can redistribute", r"is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("gpl", "copy of the gnu general public license", r"you should have received a copy of the gnu general public license along with"),
-    ("gpl-2.0-or-later", "or at your option any later version", r"version 2(?: 0)? of the license or at your option any later version"),
-    ("gpl-3.0-or-later", "or at your option any later version", r"version 3(?: 0)? of the license or at your option any later version"),
-    ("mpl-2.0", "source code form is subject", r"this source code form is subject to the terms of the mozilla public license"),
-    ("epl-2.0", "accompanying materials are made available", r"accompanying materials are made available under the terms of the eclipse public license"),
-    ("zlib", "provided as is without any express", r"this software is provided as is without any express or implied warranty in no event will the authors"),
-    ("unlicense", "released into the public domain", r"this is free and unencumbered software released into the public domain"),
-    ("bsl-1.0", "boost software license", r"distributed under the boost software license"),
-    ("wtfpl", "do what the f", r"you just do what the f[^ ]* you want to"),
-    ("json", "for good not evil", r"the software shall be used for good not evil"),
-    ("beerware", "buy me a beer", r"you can buy me a beer in return"),
-    ("cc0-1.0", "waived all copyright", r"has waived all copyright and related or neighboring rights"),
-    ("gfdl", "free documentation license", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
-    ("ofl-1.1", "open font license", r"this font software is licensed under the sil open font license"),
-    ("warranty", "without warranty of any kind", r"without warranty of any kind(?: either)? express or implied"),
-    ("warranty", "without any warranty", r"without any warranty without even the implied warranty of merchantability"),
-    ("proprietary", "unauthorized copying", r"unauthorized (?:copying|use|reproduction)(?: or distribution)? of this(?: [^ ]+){1,4} is (?:strictly )?prohibited"),
-    ("proprietary", "may not be reproduced", r"(?:no part of this [^ ]+ )?may not be reproduced(?: [^ ]+){0,12} without(?: the)?(?: prior)?(?: written)? permission"),
-    ("proprietary", "confidential", r"proprietary and confidential|confidential and proprietary"),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies"),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", r"neither the name of(?: [^ ]+){1,12} nor the names of its contributors"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software"),
+    ("apache-2.0", r"licensed under the apache license version 2 0 the license"),
+    ("apache-2.0", r"you may not use this file except in compliance with the license"),
+    ("gpl", r"is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", r"is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", r"is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", r"you should have received a copy of the gnu general public license along with"),
+    ("gpl-2.0-or-later", r"version 2(?: 0)? of the license or at your option any later version"),
+    ("gpl-3.0-or-later", r"version 3(?: 0)? of the license or at your option any later version"),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license"),
+    ("epl-2.0", r"accompanying materials are made available under the terms of the eclipse public license"),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("bsl-1.0", r"distributed under the boost software license"),
+    ("wtfpl", r"you just do what the f[^ ]* you want to"),
+    ("json", r"the software shall be used for good not evil"),
+    ("beerware", r"you can buy me a beer in return"),
+    ("cc0-1.0", r"has waived all copyright and related or neighboring rights"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license"),
+    ("warranty", r"without warranty of any kind(?: either)? express or implied"),
+    ("warranty", r"without any warranty without even the implied warranty of merchantability"),
+    ("proprietary", r"unauthorized (?:copying|use|reproduction)(?: or distribution)? of this(?: [^ ]+){1,4} is (?:strictly )?prohibited"),
+    ("proprietary", r"(?:no part of this [^ ]+ )?may not be reproduced(?: [^ ]+){0,12} without(?: the)?(?: prior)?(?: written)? permission"),
+    ("proprietary", r"proprietary and confidential|confidential and proprietary"),
 ]
 
-# General mentions (label, keyword, regex).
+# General mentions (label, regex).
 MENTIONS = [
-    ("gpl", "general public license", r"(?:gnu )?general public license"),
-    ("lgpl", "lesser general public license", r"(?:gnu )?lesser general public license"),
-    ("agpl", "affero general public license", r"(?:gnu )?affero general public license"),
-    ("gpl", "gnu gpl", r"gnu gpl"),
-    ("lgpl", "gnu lgpl", r"gnu lgpl"),
-    ("apache", "apache license", r"apache license"),
-    ("bsd", "bsd license", r"bsd(?: style)? license"),
-    ("mpl", "mozilla public license", r"mozilla public license"),
-    ("epl", "eclipse public license", r"eclipse public license"),
-    ("eupl", "european union public", r"european union public licen[sc]e"),
-    ("gfdl", "free documentation license", r"(?:gnu )?free documentation license"),
-    ("cc", "creative commons", r"creative commons(?: licen[sc]e)?"),
-    ("public-domain", "public domain", r"(?:in|into|to) the public domain|public domain (?:mark|work|dedication)"),
-    ("copyleft", "copyleft", r"copyleft"),
-    ("copyright", "copyright", r"(?:copyright|copr)(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)?[0-9]{2})?"),
-    ("copyright", "copyright", r"(?:is|are) copyright(?:ed)?(?: by)?"),
-    ("reserved", "rights reserved", r"all rights (?:are )?reserved"),
-    ("some-reserved", "some rights reserved", r"some rights reserved"),
-    ("no-reserved", "no rights reserved", r"no rights reserved"),
-    ("licensed", "licensed under", r"(?:is|are)? ?licensed under(?: the| a)?(?: [^ ]+){1,6}? licen[sc]e"),
-    ("licensed", "released under", r"(?:released|distributed|available|published) under(?: the| a)?(?: [^ ]+){1,6}? licen[sc]e"),
-    ("licensed", "terms of the license", r"(?:under|to) the terms of (?:the|this) licen[sc]e"),
-    ("licensed", "see license", r"see (?:the )?licen[sc]e(?: file| txt| md)?"),
-    ("dual", "dual licensed", r"dual licen[sc]ed"),
-    ("non-commercial", "commercial use", r"(?:non commercial|noncommercial) use(?: only)?"),
-    ("research-only", "research purposes", r"(?:for )?(?:academic|research) purposes only"),
-    ("freeware", "freeware", r"freeware"),
-    ("shareware", "shareware", r"shareware"),
-    ("proprietary", "proprietary license", r"proprietary licen[sc]e"),
-    ("eula", "end user license agreement", r"end user licen[sc]e agreement"),
+    ("gpl", r"(?:gnu )?general public license"),
+    ("lgpl", r"(?:gnu )?lesser general public license"),
+    ("agpl", r"(?:gnu )?affero general public license"),
+    ("gpl", r"gnu gpl"),
+    ("lgpl", r"gnu lgpl"),
+    ("apache", r"apache license"),
+    ("bsd", r"bsd(?: style)? license"),
+    ("mpl", r"mozilla public license"),
+    ("epl", r"eclipse public license"),
+    ("eupl", r"european union public licen[sc]e"),
+    ("gfdl", r"(?:gnu )?free documentation license"),
+    ("cc", r"creative commons(?: licen[sc]e)?"),
+    ("public-domain", r"(?:in|into|to) the public domain|public domain (?:mark|work|dedication)"),
+    ("copyleft", r"copyleft"),
+    ("copyright", r"(?:copyright|copr)(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)?[0-9]{2})?"),
+    ("copyright", r"(?:is|are) copyright(?:ed)?(?: by)?"),
+    ("reserved", r"all rights (?:are )?reserved"),
+    ("some-reserved", r"some rights reserved"),
+    ("no-reserved", r"no rights reserved"),
+    ("licensed", r"(?:is|are)? ?licensed under(?: the| a)?(?: [^ ]+){1,6}? licen[sc]e"),
+    ("licensed", r"(?:released|distributed|available|published) under(?: the| a)?(?: [^ ]+){1,6}? licen[sc]e"),
+    ("licensed", r"(?:under|to) the terms of (?:the|this) licen[sc]e"),
+    ("licensed", r"see (?:the )?licen[sc]e(?: file| txt| md)?"),
+    ("dual", r"dual licen[sc]ed"),
+    ("non-commercial", r"(?:non commercial|noncommercial) use(?: only)?"),
+    ("research-only", r"(?:for )?(?:academic|research) purposes only"),
+    ("freeware", r"freeware"),
+    ("shareware", r"shareware"),
+    ("proprietary", r"proprietary licen[sc]e"),
+    ("eula", r"end user licen[sc]e agreement"),
 ]
 
 # Parts of the Creative Commons licences, as written in identifiers and in names.
@@ -177,24 +182,73 @@ CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 ANCHORS = ("licen", "copyright", "spdx", "commons", "public domain", "rights", "copyleft", "warrant", "permi", "prohibited", "without permission", "gpl", " cc", "cecill", "mulan", "no attribution", "advertising", "redistribut", "freeware", "shareware", "confidential", "good not evil", "a beer", "you want", "purposes only", "cc0", "nor the names", "commercial use", "copr ")
 
 
-def rules() -> list[tuple[int, str, str, str]]:
+#: Most keywords of a rule, and a length from which fewer keywords are better than longer ones.
+MOST, LONG = 6, 12
+
+
+def _choice(tokens) -> tuple[set[str] | None, set[str] | None]:
+    """(all strings that a pattern matches, if they are at most MOST; the best set of which each match contains one)."""
+    best, whole, now = None, True, {""}
+
+    def offer(words: set[str] | None) -> None:
+        nonlocal best
+        rank = lambda x: (min(LONG, min(map(len, x))), -len(x), min(map(len, x)))
+        if words and "" not in words:
+            words = {w for w in words if not any(o != w and o in w for o in words)}
+            best = words if best is None else max(best, words, key=rank)
+
+    for op, arg in tokens:
+        words = inner = None
+        if op is sre.LITERAL:
+            words = {chr(arg)}
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
+            words = {chr(c) for _, c in arg}
+        elif op is sre.SUBPATTERN:
+            words, inner = _choice(arg[3])
+        elif op is sre.BRANCH:
+            each = [_choice(x) for x in arg[1]]
+            words = None if any(w is None for w, _ in each) else set().union(*(w for w, _ in each))
+            inner = None if any(i is None for _, i in each) else set().union(*(i for _, i in each))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            least, most, item = arg
+            words, inner = _choice(item)
+            words = words | {""} if words is not None and (least, most) == (0, 1) else None
+            inner = inner if least else None
+        if words is not None and len(now) * len(words) <= MOST:
+            offer(now)
+            now = {a + b for a in now for b in words}
+        else:
+            offer(now)
+            whole, now = False, words if words is not None and len(words) <= MOST else {""}
+        offer(inner)
+    offer(now)
+    return (now if whole else None), best
+
+
+def keywords(regex: str) -> tuple[str, ...]:
+    """Words of which every match of the regex, with the spaces around it, contains one."""
+    return tuple(sorted(_choice(parser.parse(f" (?:{regex}) "))[1]))
+
+
+@functools.cache
+def rules() -> list[tuple[int, str, tuple[str, ...], str]]:
     """All rules in order; of two equal spans of one priority the earlier rule stays."""
     out = []
     for label, tag, name in NAMES:
         out += [
-            (TAG, label, "spdx license identifier", rf"spdx license identifier {tag}"),
-            (PASSAGE, label, "licenses", rf"(?:opensource|spdx) org licenses {tag}"),
-            (NAME, label, next(w for w in ("licen", tag) if w in name or w == tag), name),
+            (TAG, label, rf"spdx license identifier {tag}"),
+            (PASSAGE, label, rf"(?:opensource|spdx) org licenses {tag}"),
+            (NAME, label, name),
         ]
     for kind, name in CC_KINDS.items():
         for version in CC_VERSIONS:
             label = f"cc {kind} {version}".replace(" ", "-").replace("-".join(version.split()), ".".join(version.split()))
             out += [
-                (PASSAGE, label, "creativecommons org", rf"creativecommons org licenses {kind} {version}"),
-                (NAME, label, f"cc {kind}", rf"cc {kind} {version}"),
-                (NAME, label, "creative commons", rf"creative commons {name} {version}"),
+                (PASSAGE, label, rf"creativecommons org licenses {kind} {version}"),
+                (NAME, label, rf"cc {kind} {version}"),
+                (NAME, label, rf"creative commons {name} {version}"),
             ]
-        out.append((MENTION, f"cc {kind}".replace(" ", "-"), "creative commons", rf"creative commons {name}"))
-        out.append((MENTION, f"cc {kind}".replace(" ", "-"), f"cc {kind}", rf"cc {kind}"))
+        out.append((MENTION, f"cc {kind}".replace(" ", "-"), rf"creative commons {name}"))
+        out.append((MENTION, f"cc {kind}".replace(" ", "-"), rf"cc {kind}"))
     out += [(PASSAGE, *p) for p in PASSAGES] + [(MENTION, *m) for m in MENTIONS]
-    return out
+    return [(priority, label, keywords(regex), regex) for priority, label, regex in out]

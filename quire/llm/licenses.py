@@ -1,7 +1,7 @@
 """Licence scans: ordered signature rules over normalised words, as Spark expressions.
 
-The text becomes lower-case words with one space between. Where an anchor occurs, the rules whose keyword occurs are
-tried; each match is a detection (start, end in words, rule). A detection is suppressed if another one of at least its
+The text becomes lower-case words with one space between. Where an anchor occurs, the rules of which a keyword
+occurs are tried; each match is a detection (start, end in words, rule). A detection is suppressed if another one of at least its
 priority contains it (of equal spans and priorities the earlier rule stays). Phrases counted in any case (`base`) are
 separate from the rules, and their labels always stay.
 
@@ -47,8 +47,8 @@ def detections(norm: Column) -> Column:
     """All matches of the rules as structs (start, neg_end, neg_priority, rule, label), sorted by place, longest first."""
     table_ = F.array(
         *[
-            F.struct(F.lit(i).alias("rule"), F.lit(-p).alias("neg_priority"), F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.lit(f" (?:{regex})(?= )").alias("regex"))
-            for i, (p, label, word, regex) in enumerate(rules())
+            F.struct(F.lit(i).alias("rule"), F.lit(-p).alias("neg_priority"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("keywords"), F.lit(f" (?:{regex})(?= )").alias("regex"))
+            for i, (p, label, words, regex) in enumerate(rules())
         ]
     )
     empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,neg_end:int,neg_priority:int,rule:int,label:string>>))")
@@ -64,7 +64,7 @@ def detections(norm: Column) -> Column:
 
         return F.aggregate(found, empty, step, lambda acc: acc["out"])
 
-    return F.sort_array(F.flatten(F.transform(F.filter(table_, lambda r: F.contains(norm, r["keyword"])), of_rule)))
+    return F.sort_array(F.flatten(F.transform(F.filter(table_, lambda r: F.exists(r["keywords"], lambda k: F.contains(norm, k))), of_rule)))
 
 
 def keep_outer(found: Column) -> Column:
