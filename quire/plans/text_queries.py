@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as fn
@@ -386,12 +387,24 @@ def _stage(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/quire-texts-{uuid.uuid4().hex}"
 
 
-def q_src_corpus(spark, sf_dir):
-    """The documents' texts, written as 16 .txt folders by Spark, read as raw files."""
-    path = _stage(spark)
-    docs = view(spark, sf_dir, "plain")
-    docs.select((F.col("doc_id") % 16).alias("part"), F.col("text").alias("value")).repartition(16, "part").sortWithinPartitions("part", "value").write.partitionBy("part").text(path)
-    files = corpus.read_corpus(spark, path)
+def q_src_corpus(spark, sf_dir, max_size=corpus.MAX_SIZE):
+    """The documents' texts, written as 16 parts of .txt files by Spark, read as raw files.
+
+    Files are bounded, so that none is over the reader's limit: a part's texts are dealt to folders of about `bound` bytes,
+    and a folder's running size cuts it into files of at most `bound` bytes and one more row. A longer text goes by lines.
+    """
+    path, bound = _stage(spark), max_size // 6
+    docs = view(spark, sf_dir, "plain").select("doc_id", (F.col("doc_id") % 16).alias("part"), "text")
+    rows = F.when(F.octet_length("text") < bound, F.array("text")).otherwise(F.split("text", "\n"))
+    sizes = docs.groupBy("part").agg(F.sum(F.octet_length("text") + F.lit(1)).alias("bytes"))
+    folders = max(1, -(-(sizes.agg(F.max("bytes")).first()[0] or 0) // bound))
+    size = F.octet_length("value") + F.lit(1)
+    in_order = W.partitionBy("part", "folder").orderBy("doc_id", "pos").rowsBetween(W.unboundedPreceding, -1)
+    dealt = docs.select("doc_id", "part", F.posexplode(rows).alias("pos", "value")).withColumn("folder", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(folders)))
+    dealt = dealt.repartition(16 * folders, "part", "folder").withColumn("file", F.floor(F.coalesce(F.sum(size).over(in_order), F.lit(0)) / bound))
+    fits = F.when(size <= max_size - bound, F.col("value")).otherwise(F.raise_error(F.lit("a line is over the size of a raw file")))
+    dealt.select("part", "folder", "file", fits.alias("value")).write.partitionBy("part", "folder", "file").text(path)
+    files = corpus.read_corpus(spark, path, max_size)
     return files.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("int").alias("part"), "length").groupBy("part").agg(F.sum("length").alias("bytes"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from quire.operators import health
 from quire.plans import registry
 from quire.plans.table_queries import LIMIT, SECONDS
+from quire.plans.text_queries import SQL_SRC_CORPUS, q_src_corpus
 from quire.plans.views import view
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -59,3 +60,9 @@ def test_merged_chunks_give_the_documents_back(spark, sf_dir):
     want = {r.doc_id: r.text_md5 for r in registry.queries()["agg_join_paragraphs"](spark, sf_dir).collect()}
     # A text that repeats itself may overlap by more than its chunks did; all others come back.
     assert sum(got[k] == v for k, v in want.items()) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("max_size", [10_000, 20_000])
+def test_no_raw_file_is_over_the_limit(spark, duck, sf_dir, max_size):
+    got = {r.part: r.bytes for r in q_src_corpus(spark, sf_dir, max_size).collect()}
+    assert got == dict(duck.execute(SQL_SRC_CORPUS).fetchall())
