@@ -76,11 +76,19 @@ def join_paragraphs(parts: DataFrame, between: str = "\n") -> DataFrame:
 
 
 def merge_chunks(chunks: DataFrame, most: int = 600, least: int = 20) -> DataFrame:
-    """(doc_id, chunk_id, text) -> (doc_id, text): the longest end of a chunk that begins the next one is kept once; else LF joins them."""
-    before = F.lag("text").over(W.partitionBy("doc_id").orderBy("chunk_id"))
-    lapped = chunks.withColumn("before", before)
+    """(doc_id, chunk_id, text) -> (doc_id, text): what a chunk and the next one share is kept once.
+
+    With start and end, and texts as long as these say, that is the shared span if both texts agree on it. Else (rewritten
+    chunks) it is the longest end of a chunk that begins the next one; without any, LF joins them.
+    """
+    w = W.partitionBy("doc_id").orderBy("chunk_id")
     fits = lambda n: (n <= F.char_length("before")) & (n <= F.char_length("text")) & (F.right("before", n) == F.left("text", n))
+    lapped = chunks.withColumn("before", F.lag("text").over(w))
     n = F.get(F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), fits), F.lit(0))
+    if {"start", "end"} <= set(chunks.columns):
+        lapped = lapped.withColumn("shared", F.lag("end").over(w) - F.col("start")).withColumn("as_cut", F.char_length("text") == F.col("end") - F.col("start"))
+        lapped = lapped.withColumn("as_cut", F.col("as_cut") & F.lag("as_cut").over(w) & (F.col("shared") >= 0))
+        n = F.when(F.col("as_cut") & fits(F.col("shared")), F.col("shared")).otherwise(n)
     part = F.when(F.col("before").isNull(), F.col("text")).when(n.isNotNull(), F.substr("text", n + 1)).otherwise(F.concat(F.lit("\n"), F.col("text")))
     return join_paragraphs(lapped.select("doc_id", F.col("chunk_id").alias("idx"), part.alias("text")), "")
 

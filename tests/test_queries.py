@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quire.operators import health
+from quire.operators import health, segment
 from quire.plans import registry
 from quire.plans.table_queries import LIMIT, SECONDS
 from quire.plans.text_queries import SQL_SRC_CORPUS, q_src_corpus
@@ -66,3 +66,14 @@ def test_merged_chunks_give_the_documents_back(spark, sf_dir):
 def test_no_raw_file_is_over_the_limit(spark, duck, sf_dir, max_size):
     got = {r.part: r.bytes for r in q_src_corpus(spark, sf_dir, max_size).collect()}
     assert got == dict(duck.execute(SQL_SRC_CORPUS).fetchall())
+
+
+def test_every_document_comes_back_whole_from_its_chunks(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in view(spark, sf_dir, "plain").collect()] + [(-1, "same line\n" * 700), (-2, "x" * 2500), (-3, "é。" * 3000), (-4, "")]
+    cut = segment.chunks(spark.createDataFrame(docs, "doc_id long, text string"), 1000, 100)
+    assert {r.doc_id: r.text for r in segment.merge_chunks(cut).collect()} == dict(docs)
+
+
+def test_rewritten_chunks_still_merge_by_their_texts(spark):
+    df = spark.createDataFrame([(1, 0, 0, 60, "a" * 30 + "b" * 30), (1, 1, 30, 90, "b" * 30 + "c" * 31), (1, 2, 80, 100, "new")], "doc_id int, chunk_id int, start int, end int, text string")
+    assert segment.merge_chunks(df).first().text == "a" * 30 + "b" * 30 + "c" * 31 + "\nnew"
