@@ -78,3 +78,9 @@ def local_vector(text: Column) -> Column:
     digests = F.concat(F.md5(norm.cast("binary")), F.md5(F.concat(F.lit("quire:"), norm).cast("binary")))
     bytes_ = [F.conv(F.substr(digests, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("double") / 256.0 for i in range(24)]
     return F.array(F.least(n / 500.0, F.lit(1.0)), *density, mean, *bytes_)
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of whole texts; narrow bands first, so that long texts that are alike take little time."""
+    near, far = (F.levenshtein(a, b, n) for n in (16, 256))
+    return F.when(near >= 0, near).when(far >= 0, far).otherwise(F.levenshtein(a, b))

@@ -4,12 +4,14 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from quire.functions.text import edit_distance
 from quire.operators import health, segment
 from quire.plans import registry
 from quire.plans.table_queries import LIMIT, SECONDS
 from quire.plans.text_queries import SQL_SRC_CORPUS, q_src_corpus
-from quire.plans.views import view
+from quire.plans.views import review, view
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -77,3 +79,21 @@ def test_every_document_comes_back_whole_from_its_chunks(spark, sf_dir):
 def test_rewritten_chunks_still_merge_by_their_texts(spark):
     df = spark.createDataFrame([(1, 0, 0, 60, "a" * 30 + "b" * 30), (1, 1, 30, 90, "b" * 30 + "c" * 31), (1, 2, 80, 100, "new")], "doc_id int, chunk_id int, start int, end int, text string")
     assert segment.merge_chunks(df).first().text == "a" * 30 + "b" * 30 + "c" * 31 + "\nnew"
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_distances_of_whole_texts(spark, sf_dir):
+    same = "où est la bibliothèque? 中文 " * 20
+    pairs = [("", ""), ("", "é"), ("kitten", "sitting"), (same, same + "x"), (same, same[:100] + "ü" + same[103:]), (same, same[::-1]), ("a" * 300, "b" * 290), ("😀é", "é😀"), ("x" * 17 + same, same)]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", edit_distance(F.col("a"), F.col("b"))).collect()
+    assert dict(map(tuple, got)) == {i: brute_distance(a, b) for i, (a, b) in enumerate(pairs)}
+    rows = registry.queries()["fn_levenshtein_all"](spark, sf_dir).collect()
+    assert len(rows) == review(spark, sf_dir).count() and {r.distance for r in rows} == {1}
