@@ -21,6 +21,8 @@ their own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -53,6 +55,7 @@ class Words:
 
     The vocabulary's own splitter never joins the characters before a space to what follows, if that space stands
     between other characters; so such texts are cut at spaces and line ends, and the ids of parts are remembered.
+    `ids` takes the names of added tokens as plain text; `with_added` gives their own ids, as the JSON file does.
     """
 
     def __init__(self, vocabulary: str | None = None):
@@ -62,7 +65,12 @@ class Words:
         path = vocabulary or public.path("byte_bpe_50k.tiktoken")
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("words", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        beside = os.path.splitext(path)[0] + ".json"
+        self.added = {}
+        if os.path.exists(beside):
+            with open(beside, encoding="utf-8") as f:
+                self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.encoding = tiktoken.Encoding("words", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         self.first, self.later = _Memory(self.encoding, ""), _Memory(self.encoding, " ")
         self.line = self.plain("\n")
         import re
@@ -72,6 +80,11 @@ class Words:
     def plain(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
+    def with_added(self, text: str) -> bytes:
+        if any(name in text for name in self.added):
+            return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+        return self.ids(text)
+
     def ids(self, text: str) -> bytes:
         if not text or self.joined(text):
             return self.plain(text)
@@ -110,7 +123,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str |
     """Token pieces; the first piece of a document takes what is over a multiple of the capacity."""
     from pyspark import TaskContext
 
-    encode, task, seen = words(vocabulary).ids, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    encode, task, seen = words(vocabulary).with_added, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     end = END_TOKEN.to_bytes(4, "little")
     for batch in batches:
         keys = batch.column(0)

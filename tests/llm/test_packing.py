@@ -79,3 +79,15 @@ def test_query(spark, sf_dir):
         assert mine.length.sum() == len(ids) // 4
     assert got.groupby("sequence_id").length.sum().max() <= 1024 and got.sequence_id.nunique() <= 1.03 * -(-total // 1024) + 1
     assert set(got.doc_id) == set(texts)
+
+
+def test_added_tokens_have_the_ids_of_the_json_file(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny  z ", "<|endoftext", "no token here"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {i: t.encode(x, add_special_tokens=False).ids + [packing.END_TOKEN] for i, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, packing.END_TOKEN]
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == want
