@@ -6,16 +6,16 @@ Only the number of pieces of each length matters for the plan, and lengths are 1
 1. Pieces longer than capacity / SMALL are large. Sorted by length they form GROUPS groups of equal size; within a
    group every length is rounded up to the group's longest.
 2. Configurations (how many pieces of each rounded length a sequence holds) are optimised by linear programming over
-   the few rounded lengths, columns being generated by a knapsack; whole parts are used, the rest is packed best-fit.
-3. The groups' actual pieces take the places. Where they leave more than a slack (rounding may cost more than it
-   brings; the slacks of SLACKS are all tried), the pieces join the rest. Rest and small pieces go best-fit, longest
-   first, into what is left.
+   the few rounded lengths, columns being generated by a knapsack.
+3. Every configuration is used as often as its amount's whole part says, and the groups' actual pieces take its places.
+   The pieces that the fractions leave over, and the small ones, go best-fit, longest first, into what is left.
 
 The plan is a list of runs: so many sequences alike. Pieces are numbered within their length (a count per task and a
 running sum over tasks, so no task sees all pieces of a length) and look their place up by length and number.
 
 Defined cases: null text is empty and becomes one piece with the end token alone; rows that repeat an id are documents of
-their own; an empty table gives no rows; other columns are ignored.
+their own; an empty table gives no rows; other columns are ignored; very long texts are cut into pieces of `capacity`; among
+sequences with equally much left, the one that came last takes a piece first.
 """
 
 from __future__ import annotations
@@ -32,16 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, table, text_parts
+from quire.llm.common import released, stored, table, text_parts
 
 CAPACITY = 1024
 END_TOKEN = 2
-SMALL = 4
-GROUPS = 96
-#: A configuration stays if its actual pieces leave at most so much; each is tried on the histogram, and the plan with fewest sequences is taken.
-SLACKS = (0, 1, 2, 4, 8, 16, CAPACITY)
+SMALL = 4  # `configurations` rests on it
+#: With so many groups rounding costs about 0.1 % (0.3 % where all lengths are equally frequent).
+GROUPS = 384
 #: Words whose ids a worker remembers (it forgets all when full), and the longest such word.
-MEMORY, LONGEST = 200_000, 40
+MEMORY, LONGEST = 50_000, 40
 AT_ONCE = 2 << 20
 #: Up to so many tasks their counts (16 bytes a length) are broadcast, else pieces move to their task's counts.
 BROADCAST_TASKS = 2048
@@ -119,6 +118,13 @@ def words(vocabulary: str | None = None) -> Words:
     return _WORDS[vocabulary]
 
 
+def _forget() -> None:
+    """The words' ids go; the encodings, which take long to make, stay."""
+    for found in _WORDS.values():
+        found.first.clear()
+        found.later.clear()
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str | None) -> Iterator[pa.RecordBatch]:
     """Token pieces; the first piece of a document takes what is over a multiple of the capacity."""
     from pyspark import TaskContext
@@ -165,7 +171,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
     """(doc_id, text) -> pieces (doc_id, piece, start, length, task, number, ids); number counts pieces of that length in the task."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length int, task int, number long, ids binary"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _pieces(batches, capacity, vocabulary), shape)
+    return docs.select("doc_id", "text").mapInArrow(released(lambda batches: _pieces(batches, capacity, vocabulary), _forget), shape)
 
 
 # ---------------------------------------------------------------- plan
@@ -227,43 +233,48 @@ def groups_of(sizes: list[tuple[int, int]], groups: int) -> list[list[tuple[int,
 def configurations(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
     """Fewest sequences for counts of few lengths, in fractions: (pieces of each length, how many such sequences).
 
-    Starts from sequences of one length each; a knapsack over the dual prices finds the column that enters.
+    Starts from sequences of one length each; a knapsack over the dual prices finds the column that enters. Lengths are
+    over a quarter of the capacity, so a column has three pieces at most: every pair, and the dearest third that fits.
     """
     m = len(lengths)
-    columns = [np.eye(m)[i] * (capacity // lengths[i]) for i in range(m)]
-    basis = np.array(columns).T
-    need, base = np.array(counts, float), list(columns)
-    room = np.arange(capacity + 1)[None, :] - np.array(lengths)[:, None]
-    fits, room = room >= 0, np.maximum(room, 0)
-    for _ in range(60 * m):
-        inverse = np.linalg.inv(basis)
-        amounts, prices = inverse @ need, np.ones(m) @ inverse
-        value, taken = np.zeros(capacity + 1), []
-        for _ in range(capacity // min(lengths)):  # the best of up to k pieces for each room, from that of k - 1
-            tried = np.where(fits, value[room] + prices[:, None], 0.0)
-            best = tried.argmax(axis=0)
-            more = tried[best, np.arange(capacity + 1)]
-            taken.append(np.where(more > value + 1e-12, best, -1))
-            value = np.maximum(value, more)
-        if value[capacity] <= 1 + 1e-7:
+    base = [np.eye(m)[i] * (capacity // lengths[i]) for i in range(m)]
+    basis, need = np.array(base).T, np.array(counts, float)
+    order = np.argsort(lengths, kind="stable")
+    sizes = np.append(np.array(lengths)[order], 0)  # the last stands for no piece
+    first, second = np.triu_indices(m + 1)
+    room = capacity - sizes[first] - sizes[second]
+    first, second, room = (x[room >= 0] for x in (first, second, room))
+    fits = np.searchsorted(sizes[:m], room, side="right")  # how many lengths the third piece may have
+    fuller = 1e-6 * (capacity - room) / capacity  # of columns that are worth the same, the fullest enters
+    for step in range(60 * m):
+        if step % 64 == 0:  # between, a column's change updates the inverse; this clears what rounding adds up
+            inverse = np.linalg.inv(basis)
+        amounts, prices = inverse @ need, np.append((np.ones(m) @ inverse)[order], 0.0)
+        dearest = np.maximum.accumulate(np.append(0.0, prices[:m]))
+        value = prices[first] + prices[second] + dearest[fits]
+        best = int((value + fuller).argmax())
+        if value[best] <= 1 + 1e-5:
             break
-        column, c = np.zeros(m), capacity
-        for best in reversed(taken):
-            if best[c] >= 0:
-                column[best[c]] += 1
-                c -= lengths[best[c]]
-        move = inverse @ column
+        column = np.zeros(m + 1)
+        third = int(prices[: fits[best]].argmax()) if dearest[fits[best]] > 0 else m
+        np.add.at(column, [first[best], second[best], third], 1)
+        placed = np.zeros(m)
+        placed[order] = column[:m]
+        move = inverse @ placed
         ratios = np.where(move > 1e-9, amounts / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratios.argmin())
-        base[out] = column
-        basis[:, out] = column
+        base[out] = placed
+        basis[:, out] = placed
+        pivot = inverse[out] / move[out]
+        inverse -= np.outer(move, pivot)
+        inverse[out] = pivot
     amounts = np.linalg.inv(basis) @ need
     return [(c.astype(int), max(0.0, a)) for c, a in zip(base, amounts)]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, tuple]]:
-    """Length -> count becomes runs (how many sequences, their contents as (length, times) pairs)."""
-    kept: list[tuple[int, tuple, int]] = []  # how many sequences, contents, what is left
+def configured(histogram: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[int, tuple, int]], dict[int, int]]:
+    """Sequences made by configurations (how many, contents, what is left), and the pieces left over by length."""
+    made: list[tuple[int, tuple, int]] = []
     sizes = sorted(((n, c) for n, c in histogram.items() if 0 < n < capacity and c), reverse=True)
     large = [(n, c) for n, c in sizes if n > capacity // SMALL]
     rest: dict[int, int] = defaultdict(int, {n: c for n, c in sizes if n <= capacity // SMALL})
@@ -272,49 +283,47 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     for part in parts:  # groups of one rounded length are one
         merged.setdefault(part[0][0], []).extend(part)
     rounded, actual = list(merged), [[list(x) for x in part] for part in merged.values()]
-    if rounded:
-        for column, amount in configurations(rounded, [sum(c for _, c in a) for a in actual], capacity):
-            slots = [g for g in range(len(rounded)) for _ in range(column[g])]
-            number = min([int(amount + 1e-6), *(sum(c for _, c in actual[g]) // column[g] for g in set(slots))])
-            while number > 0:  # as many sequences at once as take the same actual lengths
-                contents: dict[int, int] = defaultdict(int)
-                take: dict[tuple[int, int], int] = defaultdict(int)
-                for g in set(slots):
-                    want = int(column[g])
-                    for j, (n, c) in enumerate(actual[g]):
-                        now = min(want, c)
-                        if now:
-                            contents[n] += now
-                            take[g, j] += now
-                            want -= now
-                        if not want:
-                            break
-                run = min([number, *(actual[g][j][1] // t for (g, j), t in take.items())])
-                for (g, j), t in take.items():
-                    actual[g][j][1] -= run * t
-                kept.append((run, tuple(contents.items()), capacity - sum(n * t for n, t in contents.items())))
-                number -= run
-                for g in set(slots):
-                    actual[g] = [x for x in actual[g] if x[1]]
-        for part in actual:
-            for n, c in part:
-                rest[n] += c
-    plans = [_fill(histogram.get(capacity, 0), kept, rest, slack, capacity) for slack in SLACKS]
-    return min(plans, key=lambda runs: sum(count for count, _ in runs))
-
-
-def _fill(full: int, kept: list[tuple[int, tuple, int]], rest: dict[int, int], slack: int, capacity: int) -> list[tuple[int, tuple]]:
-    bins, loose = _Bins(capacity), dict(rest)
-    bins.add(full, ((capacity, 1),), 0)
-    for count, contents, left in kept:
-        if left <= slack:
-            bins.add(count, contents, left)
-        else:
-            for n, t in contents:
-                loose[n] = loose.get(n, 0) + count * t
-    for n in sorted(loose, reverse=True):
-        if loose[n]:
-            bins.best_fit(n, loose[n])
+    if not rounded:
+        return made, rest
+    for column, amount in configurations(rounded, [sum(c for _, c in a) for a in actual], capacity):
+        slots = [g for g in range(len(rounded)) for _ in range(column[g])]
+        number = min([int(amount + 1e-6), *(sum(c for _, c in actual[g]) // column[g] for g in set(slots))])
+        while number > 0:  # as many sequences at once as take the same actual lengths
+            contents: dict[int, int] = defaultdict(int)
+            take: dict[tuple[int, int], int] = defaultdict(int)
+            for g in set(slots):
+                want = int(column[g])
+                for j, (n, c) in enumerate(actual[g]):
+                    now = min(want, c)
+                    if now:
+                        contents[n] += now
+                        take[g, j] += now
+                        want -= now
+                    if not want:
+                        break
+            run = min([number, *(actual[g][j][1] // t for (g, j), t in take.items())])
+            for (g, j), t in take.items():
+                actual[g][j][1] -= run * t
+            made.append((run, tuple(contents.items()), capacity - sum(n * t for n, t in contents.items())))
+            number -= run
+            for g in set(slots):
+                actual[g] = [x for x in actual[g] if x[1]]
+    for part in actual:
+        for n, c in part:
+            rest[n] += c
+    return made, rest
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, tuple]]:
+    """Length -> count becomes runs (how many sequences, their contents as (length, times) pairs)."""
+    made, rest = configured(histogram, capacity, groups)
+    bins = _Bins(capacity)
+    bins.add(histogram.get(capacity, 0), ((capacity, 1),), 0)
+    for count, contents, left in made:
+        bins.add(count, contents, left)
+    for n in sorted(rest, reverse=True):
+        if rest[n]:
+            bins.best_fit(n, rest[n])
     return [(count, contents) for runs in bins.classes.values() for count, contents in runs if count]
 
 

@@ -56,6 +56,28 @@ def test_forward_sums_all_segmentations():
     assert np.isclose((counts * sizes).sum(), sum(c * (len(w) + 1) for w, c in zip(words, [1, 2, 3, 1, 1, 5])))
 
 
+def test_long_words_of_rare_pieces_keep_their_probability():
+    """Sums of 41 factors down to the least probability, against sums of logarithms."""
+    pc = language.pieces()
+    rng = np.random.default_rng(1)
+    words = ["漢" * 40, "ω" * 40, "straße" * 6 + "xyzq", "а" * 39, "漢字" * 20]
+    for p in (np.full((2, pc.n), language.LEAST), np.exp(-27 * rng.random((2, pc.n)))):
+        lengths, _, edges = pc.lattice(words)
+        got = pc.log_words(words, p)
+        for k in range(2):
+            logs = np.full((len(words), len(edges)), -np.inf)
+            logs[:, 0] = 0
+            for end in range(1, len(edges)):
+                for w, start, piece in edges[end].T:
+                    logs[w, end] = np.logaddexp(logs[w, end], logs[w, start] + np.log(p[k, piece]))
+            assert np.allclose(got[:, k], logs[np.arange(len(words)), lengths], rtol=1e-12)
+        counts = pc.expected(words, np.ones(len(words)), p[0])
+        assert np.isfinite(counts).all() and counts.sum() >= len(words)
+    assert len(set(got[:, 0].tolist())) == len(words)
+    shares, _ = language.Model(["a", "b"], p, None).scores(["漢" * 4000])
+    assert np.isfinite(shares).all()
+
+
 def test_words_beyond_the_memory_do_not_change_scores(monkeypatch):
     pc = language.pieces()
     rng = np.random.default_rng(0)
@@ -71,7 +93,6 @@ def test_words_beyond_the_memory_do_not_change_scores(monkeypatch):
 def test_edge_cases(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house is here and there", "en"), ("das haus ist hier und da", "de")] * 20)]
     rows += [(100, None, "en"), (101, "", None), (102, "123 !!", "de"), (103, "the house", None), (None, "das haus", None), (0, "the house", None), (105, "das haus und da " * 50000, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, score_ string").drop("score_")
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     model = language.train(df)
     got = {}
