@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,41 @@ from pyspark.sql import functions as F
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch. Spark bounds batches by rows only, and its default (10,000) is much where rows are documents.
+BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches have BATCH_ROWS rows, if the session has Spark's default: what JVM and worker hold of a batch falls tenfold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == DEFAULT_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches; at the end its caches are forgotten and Arrow's unused memory goes back to the system.
+
+    Python workers live on for later stages, so what a task leaves behind would add up.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(m)

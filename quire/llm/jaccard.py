@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.bytewords import hash_words, mix
-from quire.llm.common import stored, table, text_parts
+from quire.llm.common import released, stored, table, text_parts
 from quire.llm.graph import block_pairs, components
 
 WORDS = 5
@@ -134,7 +134,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n", "cid", "ranges", "piece", "salt", "counters"]
     shape = f"doc_id {kind}, n long, cid long, ranges binary, piece int, salt int, counters binary"
-    both = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _describe(it, names), shape), "gram-classes")
+    both = stored(docs.select("doc_id", "text").mapInArrow(released(lambda it: _describe(it, names)), shape), "gram-classes")
     parts = both.filter("piece is not null").select("piece", "salt", "counters")
     for width in (512, 1 << 30):  # tasks' parts are summed by 512, then those sums
         parts = parts.withColumn("salt", F.expr(f"salt div {width}").cast("int")).groupBy("piece", "salt").applyInArrow(_sum_pieces, "piece int, salt int, counters binary")
@@ -302,15 +302,15 @@ def verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, label: str
     """Those of the pairs (a, b) of classes whose similarity is high enough, by their whole sets."""
     classes = described.filter("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.min("doc_id").alias("doc_id"))
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_suffix, "a long, b long")
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(released(_suffix), "a long, b long")
     close = stored(close, f"gram-pairs-{label}")
     ids = close.select(F.col("a").alias("cid")).unionByName(close.select(F.col("b").alias("cid"))).distinct()
     ids = stored(classes.join(ids, "cid").select(F.col("doc_id").alias("id_")).distinct(), f"gram-ids-{label}")
     few = ids.count() <= BROADCAST_IDS
     mine = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
-    sets = stored(mine.select("text").mapInArrow(_needed_sets, "cid long, grams binary").dropDuplicates(["cid"]), f"gram-sets-{label}")
+    sets = stored(mine.select("text").mapInArrow(released(_needed_sets), "cid long, grams binary").dropDuplicates(["cid"]), f"gram-sets-{label}")
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("grams").alias(f"g{x}"))
-    return stored(close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb").mapInArrow(_verify, "a long, b long"), f"gram-links-{label}")
+    return stored(close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb").mapInArrow(released(_verify), "a long, b long"), f"gram-links-{label}")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def similar(docs: DataFrame) -> DataFrame:
     described, sketch = describe(docs)
     n = described.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, -(-n // (5 * BUCKET)))
-    entries = docs.select("text").mapInArrow(lambda it: _entries(it, sketch, buckets), "bucket int, grams binary, cids binary, n binary, at binary")
+    entries = docs.select("text").mapInArrow(released(lambda it: _entries(it, sketch, buckets)), "bucket int, grams binary, cids binary, n binary, at binary")
     shared = stored(entries.groupBy("bucket").applyInArrow(_shared, "gram long, cid long, n int, at int"), "gram-shared")
 
     placed = stored(with_before(shared), "gram-placed")

@@ -2,13 +2,15 @@
 
 The pieces are those of a fixed public vocabulary (lower-case letter strings; a mark in front means the start of a word).
 Each language has a probability for each piece. A word's probability is the sum over all ways to cut it into pieces, by
-the forward algorithm; a text's is the product over its words. Piece probabilities come from expected counts over the
+the forward algorithm; a text's is the product over its words. A fixed factor for each character, which all ways to cut a
+word share, keeps the sums of the longest words within doubles; it leaves as a logarithm. Piece probabilities come from expected counts over the
 segmentations of labelled words (expectation maximisation), computed by Spark tasks; only counts per piece and language
 reach the driver, which the vocabulary bounds.
 
 A word is a run of letters, lower-cased; runs over LONGEST letters are cut. Defined cases: null text, or text without a
 letter, is `und` with score 0, as is every text if no language was learned; equal scores go to the first language by
-name; rows that repeat an id are predicted each; an empty table stays empty; null lang is not learned from.
+name; rows that repeat an id are predicted each; an empty table stays empty; null lang is not learned from; a very long
+text is scored whole, by its distinct words; other columns stay, but those named like the three new ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, crc_mod, schema_of, stored, table, text_parts
+from quire.llm.common import bounded_sample, crc_mod, released, schema_of, stored, table, text_parts
 
 LONGEST = 40
 #: Texts of each language that are learned from, at most (about; chosen by hash).
@@ -30,8 +32,11 @@ TRAINING_TEXTS = 1000
 ROUNDS = 4
 #: What each piece counts before any text is seen, and the least probability of a character outside the vocabulary.
 PSEUDO, UNKNOWN = 0.01, 1e-6
+#: The least probability of any piece, and the logarithm of the factor for each character: a word of LONGEST letters and
+#: its mark stays between exp(-41 * (27.7 - 13)) and exp(41 * 13), which doubles hold with full precision.
+LEAST, PER_CHARACTER = 1e-12, 13.0
 #: Words whose probabilities a worker remembers, and characters worked on at once.
-MEMORY, AT_ONCE = 200_000, 1 << 20
+MEMORY, AT_ONCE = 100_000, 1 << 20
 #: Words whose segmentations are held at once.
 PART = 5_000
 START = "▁"
@@ -71,6 +76,7 @@ class Pieces:
         sort = np.argsort(keys)
         self.keys, self.to = keys[sort], np.fromiter(nodes.values(), np.int64, len(nodes))[sort]
         self.longest = max(map(len, pieces), default=1)
+        self.factor = np.exp(PER_CHARACTER * np.array([*map(len, pieces), 1]))
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Words (with the start mark) -> lengths, and for each end place the edges (word, start place, piece)."""
@@ -105,12 +111,14 @@ class Pieces:
         return lengths, chars, [np.concatenate(e, axis=1) if e else np.zeros((3, 0), np.int64) for e in edges]
 
     def forward(self, lengths: np.ndarray, edges: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-        """alpha[word, place] for one language's probabilities: the sum over all segmentations up to each place."""
+        """alpha[word, place] for one language's probabilities: the sum over all segmentations up to each place,
+        times exp(PER_CHARACTER * place)."""
+        scaled = p * self.factor
         alpha = np.zeros((len(lengths), len(edges)))
         alpha[:, 0] = 1
         for end in range(1, len(edges)):
             w, start, piece = edges[end]
-            alpha[:, end] = np.bincount(w, alpha[w, start] * p[piece], minlength=len(lengths))
+            alpha[:, end] = np.bincount(w, alpha[w, start] * scaled[piece], minlength=len(lengths))
         return alpha
 
     def log_words(self, words: list[str], p: np.ndarray) -> np.ndarray:
@@ -121,12 +129,12 @@ class Pieces:
             mine = [words[i] for i in part]
             lengths, _, edges = self.lattice(mine)
             for k in range(len(p)):
-                out[part, k] = np.log(self.forward(lengths, edges, p[k])[np.arange(len(mine)), lengths])
+                out[part, k] = np.log(self.forward(lengths, edges, p[k])[np.arange(len(mine)), lengths]) - PER_CHARACTER * lengths
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected count of each piece over the segmentations of the words."""
-        total = np.zeros(self.n)
+        """Expected count of each piece over the segmentations of the words; the factors of forward cancel out."""
+        total, scaled = np.zeros(self.n), p * self.factor
         order = np.argsort([len(w) for w in words], kind="stable")
         for part in np.array_split(order, -(-len(words) // PART)):
             mine = [words[i] for i in part]
@@ -137,7 +145,7 @@ class Pieces:
             beta[at, lengths] = counts[part] / alpha[at, lengths]
             for end in range(len(edges) - 1, 0, -1):
                 w, start, piece = edges[end]
-                flow = p[piece] * beta[w, end]
+                flow = scaled[piece] * beta[w, end]
                 total += np.bincount(piece, alpha[w, start] * flow, minlength=self.n)
                 np.add.at(beta, (w, start), flow)
         return total
@@ -169,12 +177,15 @@ class Model:
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text in each language, and its number of words."""
         each = [words_of(t) if t else [] for t in texts]
-        if len(self.known) > MEMORY:
-            self.known, self.logs = {}, self.logs[:0]
-        new = list({w for ws in each for w in ws} - self.known.keys())
+        mine = {w for ws in each for w in ws}
+        new = list(mine - self.known.keys())
+        if len(self.known) + len(new) > len(self.logs):  # forget, and make room for what these texts need at least
+            self.known, new = {}, list(mine)
+            self.logs = np.zeros((max(MEMORY, len(new)), len(self.languages)))
         if new:
-            self.logs = np.concatenate([self.logs, pieces(self.vocabulary).log_words(new, self.p)])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            here = range(len(self.known), len(self.known) + len(new))
+            self.logs[here.start : here.stop] = pieces(self.vocabulary).log_words(new, self.p)
+            self.known.update(zip(new, here))
         find = self.known.__getitem__
         out = np.zeros((len(texts), len(self.languages)))
         for i, ws in enumerate(each):
@@ -204,7 +215,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     """Learns piece probabilities from the rows with a language (`most` of each at most)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     sample = bounded_sample(rows, "doc_id", "lang", most, 6)
-    counts = stored(sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+    counts = stored(sample.select("lang", "text").mapInArrow(released(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     n = pieces(vocabulary).n
     p = np.full((len(languages), n), 1.0 / n)
@@ -222,10 +233,10 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
             k, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[k, piece], pa.float64())], ["k", "piece", "n"])
 
-        sums = counts.mapInArrow(step, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
+        sums = counts.mapInArrow(released(step), "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
         total = np.full_like(p, PSEUDO)
         total[sums.k, sums.piece] += sums.n
-        p = total / total.sum(axis=1, keepdims=True)
+        p = np.maximum(total / total.sum(axis=1, keepdims=True), LEAST)
         p[:, -1] = np.maximum(p[:, -1], UNKNOWN)
     return Model(languages, p, vocabulary)
 
@@ -233,11 +244,12 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred, score (the language's share of the probability) and n_letter_words to the kept columns (all by default)."""
     keep = keep if keep is not None else [c for c in docs.columns if c not in ("lang_pred", "score", "n_letter_words")]
-    rows = docs.select(*keep, F.col(text).alias("text_"))
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("text_"))
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         for batch in batches:
-            for part, texts in text_parts(batch.column(batch.num_columns - 1), AT_ONCE, as_bytes=False):
+            for part, texts in text_parts(batch.column(at), AT_ONCE, as_bytes=False):
                 logs, n = model.scores(texts)
                 names, shares = ["und"] * len(n), np.zeros(len(n))
                 if model.languages:
@@ -248,7 +260,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 old = [batch.column(i).slice(part.start, len(n)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*old, pa.array(names), pa.array(shares, pa.float64()), pa.array(n, pa.int64())], [*keep, "lang_pred", "score", "n_letter_words"])
 
-    return rows.mapInArrow(run, schema_of(docs.select(*keep), "lang_pred string, score double, n_letter_words long"))
+    return rows.mapInArrow(released(run), schema_of(docs.select(*keep), "lang_pred string, score double, n_letter_words long"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

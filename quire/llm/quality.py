@@ -7,7 +7,8 @@ only sums reach the driver.
 
 Defined cases: null text is empty; an empty text has statistics too (all 0) and gets a score; if a class is missing,
 every score is the share of class 1 among the labels (0.5 without any); null labels are not learned from; rows that
-repeat an id are scored each; an empty table stays empty.
+repeat an id are scored each; an empty table stays empty; a very long text is counted whole; equal log densities give
+the score 0.5; other columns stay, but one named score is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_sample, crc_mod, schema_of, table, text_parts
+from quire.llm.common import bounded_sample, crc_mod, released, schema_of, table, text_parts
 
 THRESHOLD = 0.7
 TRAINING_ROWS = 20_000
@@ -120,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Disc
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     sample = bounded_sample(rows, "doc_id", "label", most, 1)
     # The sample is bounded by its parameter: two classes of about `most` rows.
-    sums = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(_moments, "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).toPandas()
+    sums = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(released(_moments), "c int, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).toPandas()
     d = len(NAMES)
     flat = np.zeros((2, 1 + d + d * d))
     flat[sums.c, sums.k] = sums.v
@@ -130,15 +131,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Disc
 def score(docs: DataFrame, model: Discriminant, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds score to the kept columns (all by default)."""
     keep = keep if keep is not None else [c for c in docs.columns if c != "score"]
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("text_"))
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         for batch in batches:
-            for part, mine in text_parts(batch.column(batch.num_columns - 1), AT_ONCE, as_bytes=False):
+            for part, mine in text_parts(batch.column(at), AT_ONCE, as_bytes=False):
                 found = model.scores(np.array([statistics(t) for t in mine]))
                 old = [batch.column(i).slice(part.start, len(mine)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*old, pa.array(found, pa.float64())], [*keep, "score"])
 
-    return docs.select(*keep, F.col(text).alias("text_")).mapInArrow(run, schema_of(docs.select(*keep), "score double"))
+    return rows.mapInArrow(released(run), schema_of(docs.select(*keep), "score double"))
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
