@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard, language, mixing, packing, quality
-from quire.llm.common import crc_mod, stored, table
+from quire.llm.common import crc_mod, small_batches, stored, table
 
 #: The least share of the probability that a text's language must have.
 LANGUAGE_SHARE = 0.5
@@ -21,6 +21,7 @@ LANGUAGE_SHARE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those between languages. Learns from the rows that op6 learns from."""
+    small_batches(spark)
     model = language.train(docs.filter(crc_mod(F.col("doc_id"), 4) != 2))
     named = docs.select(*[F.col(c).alias(f"kept_{c}") for c in docs.columns])
     found = language.predict(named, model, text="kept_text")
@@ -29,6 +30,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier scores below its threshold. Learns from the labels that op1 learns from."""
+    small_batches(spark)
     model = quality.train(docs, quality.training_labels(spark, sf_dir))
     named = docs.select(*[F.col(c).alias(f"kept_{c}") for c in docs.columns])
     found = quality.score(named, model, text="kept_text")
@@ -37,16 +39,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one document of each group of near-duplicates."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes from each source what its target allows; words that are taken twice are two rows."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences."""
+    small_batches(spark)
     return packing.pack(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
