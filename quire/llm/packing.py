@@ -238,7 +238,9 @@ def configurations(lengths: list[int], counts: list[int], capacity: int) -> list
     """
     m = len(lengths)
     base = [np.eye(m)[i] * (capacity // lengths[i]) for i in range(m)]
-    basis, need = np.array(base).T, np.array(counts, float)
+    need = np.array(counts, float)
+    inverse = np.diag(1.0 / np.array([c.sum() for c in base]))  # of the basis; a column's change updates it
+    times = lambda vector: (inverse * vector).sum(axis=1)
     order = np.argsort(lengths, kind="stable")
     sizes = np.append(np.array(lengths)[order], 0)  # the last stands for no piece
     first, second = np.triu_indices(m + 1)
@@ -246,10 +248,8 @@ def configurations(lengths: list[int], counts: list[int], capacity: int) -> list
     first, second, room = (x[room >= 0] for x in (first, second, room))
     fits = np.searchsorted(sizes[:m], room, side="right")  # how many lengths the third piece may have
     fuller = 1e-6 * (capacity - room) / capacity  # of columns that are worth the same, the fullest enters
-    for step in range(60 * m):
-        if step % 64 == 0:  # between, a column's change updates the inverse; this clears what rounding adds up
-            inverse = np.linalg.inv(basis)
-        amounts, prices = inverse @ need, np.append((np.ones(m) @ inverse)[order], 0.0)
+    for _ in range(60 * m):
+        amounts, prices = times(need), np.append(inverse.sum(axis=0)[order], 0.0)
         dearest = np.maximum.accumulate(np.append(0.0, prices[:m]))
         value = prices[first] + prices[second] + dearest[fits]
         best = int((value + fuller).argmax())
@@ -260,16 +260,14 @@ def configurations(lengths: list[int], counts: list[int], capacity: int) -> list
         np.add.at(column, [first[best], second[best], third], 1)
         placed = np.zeros(m)
         placed[order] = column[:m]
-        move = inverse @ placed
+        move = times(placed)
         ratios = np.where(move > 1e-9, amounts / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratios.argmin())
         base[out] = placed
-        basis[:, out] = placed
         pivot = inverse[out] / move[out]
         inverse -= np.outer(move, pivot)
         inverse[out] = pivot
-    amounts = np.linalg.inv(basis) @ need
-    return [(c.astype(int), max(0.0, a)) for c, a in zip(base, amounts)]
+    return [(c.astype(int), max(0.0, a)) for c, a in zip(base, times(need))]
 
 
 def configured(histogram: dict[int, int], capacity: int, groups: int) -> tuple[list[tuple[int, tuple, int]], dict[int, int]]:
