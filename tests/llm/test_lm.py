@@ -62,14 +62,49 @@ def tree_by_recursion(train, texts, depth=2):
     return out
 
 
-def test_tree_against_the_definition():
-    train = ["abracadabra", "abba", "", "the cat é"]
-    probe = ["abra", "", "zé cat", "qq"]
-    found, n = np.unique(lm.triples([t.encode() for t in train]), return_counts=True)
-    tree = lm.Tree(found.astype(np.int64), n.astype(float))
-    assert np.allclose(tree.bits([t.encode() for t in probe]), tree_by_recursion(train, probe), rtol=1e-5)
-    # Probabilities of all next bytes sum to one in every row.
-    assert np.allclose((2.0 ** tree.table.astype(float)).sum(axis=1), 1, atol=1e-4)
+def rows_of(spark, train, probe):
+    rows = [(i, False, t) for i, t in enumerate(train)] + [(1000 + i, True, t) for i, t in enumerate(probe)]
+    return spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(3)
+
+
+def test_tree_against_the_definition(spark):
+    train = ["abracadabra", "abba", "", "the cat é", "abracadabra abracadabra", "x" * 70]
+    probe = ["abra", "", "zé cat", "qq", "abracadabra!", "xxxxxxxy"]
+    df = rows_of(spark, train, probe)
+    for depth, size in ((5, 1), (5, lm.CHUNK), (7, 30)):
+        want = tree_by_recursion(train, train + probe, depth)
+        got = {r.doc_id: r for r in lm.scores(df, size, depth).collect()}
+        for i, (t, bits) in enumerate(zip(train + probe, want)):
+            r = got[i if i < len(train) else 1000 + i - len(train)]
+            assert abs(r.bits_per_byte * (len(t.encode()) + 1) - bits) < 1e-4 * bits + 1e-5, (depth, t)
+            assert abs(r.score + bits * math.log10(2)) < 1e-4 * bits + 1e-5
+
+
+def test_kt_of_large_counts():
+    zeros, ones = np.array([0, 1, 5, 4094, 4095, 10**6, 0]), np.array([0, 0, 7, 3, 5000, 10**7, 10**9])
+    want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(zeros.tolist(), ones.tolist())]
+    got = lm.log_kt(zeros, ones)
+    assert np.allclose(got[:5], want[:5], rtol=1e-12, atol=1e-9)
+    assert np.allclose(got[5:], want[5:], rtol=0, atol=1e-4)  # doubles near 2e10, of which differences are taken, are 4e-6 apart
+
+
+def test_squeezed_numbers_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 1000):
+        sorted_ = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (lm.unsqueeze_sorted(lm.squeeze_sorted(sorted_)) == sorted_).all()
+        for kind in ("<u4", "<i8", "<f4"):
+            x = rng.integers(0, 1 << 31, n).astype(kind)
+            assert (lm.unsqueeze(lm.squeeze(x), kind) == x).all()
+
+
+def test_more_text_and_more_depth_shorten_the_code_of_held_out_texts(spark):
+    """What is learned keeps growing with the input and with the depth."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", (lm.crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
+    held = lambda df: df.filter("held_out").agg(F.avg("bits_per_byte")).first()[0]
+    less = docs.filter("held_out or doc_id % 8 = 1")
+    few, all_, shallow = held(lm.scores(less)), held(lm.scores(docs)), held(lm.scores(docs, depth=4))
+    assert all_ < 0.97 * few and all_ < 0.98 * shallow
 
 
 def test_hashes_tell_words_apart():
@@ -91,11 +126,11 @@ def test_word_scores(spark):
     docs = [(1, False, "the cat The dog"), (2, True, "the cow"), (3, False, None), (3, False, None), (None, False, "x " * 3000), (4, True, ""), (5, False, "éa\n b\tthe"), (6, True, "new " * 10)]
     df = spark.createDataFrame(docs, "doc_id long, held_out boolean, text string").repartition(3)
     for size in (1, 12 << 20):
-        got = [tuple(r) for r in lm.word_scores(df, size).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()]
+        got = [tuple(r) for r in lm.scores(df, size).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()]
         key = lambda r: (str(r[0]), *map(str, r[1:5]), round(r[5], 6))
         assert sorted(map(key, got)) == sorted(map(key, brute(docs)))
-    assert lm.word_scores(df.limit(0)).count() == 0
-    none = lm.word_scores(df.withColumn("held_out", F.lit(True))).collect()
+    assert lm.scores(df.limit(0)).count() == 0
+    none = lm.scores(df.withColumn("held_out", F.lit(True))).collect()
     assert {(r.n_known, r.train_tokens, r.base_score) for r in none} == {(0, 0, 0.0)}
 
 
