@@ -41,7 +41,7 @@ START, END = 0xFE, 0xFF
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 SMOOTHING = 0.1
 #: Text bytes of a chunk and of a bucket, and the least number of buckets.
-CHUNK, BUCKET, BUCKETS = 4 << 20, 16 << 20, 64
+CHUNK, BUCKET, BUCKETS = 8 << 20, 16 << 20, 64
 HALF = np.log(0.5)
 
 
@@ -142,14 +142,32 @@ def summed_nodes(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log: np.
 
 def squeeze(values: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed: planes of sorted numbers' differences hold little."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.frombuffer(values.tobytes(), np.uint8).reshape(len(values), values.itemsize).T
     return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
     n, size = int.from_bytes(raw[:4], "little"), np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(raw[4:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.frombuffer(planes.T.tobytes(), kind)
+
+
+def squeeze_text(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def unsqueeze_text(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
+def fold(p: np.ndarray) -> bytes:
+    """Probabilities in single precision: those over a half as what they lack to one, negative, so that it keeps its precision."""
+    return np.where(p <= 0.5, p, p - 1).astype("<f4").tobytes()
+
+
+def unfold(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, "<f4").astype(float)
+    return np.where(x >= 0, x, 1 + x)
 
 
 def squeeze_sorted(values: np.ndarray) -> bytes:
@@ -201,7 +219,7 @@ def _chunk_rows(chunk: int, keys: pa.Array, held: np.ndarray, texts: list[bytes]
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     lists = [one(keys), one(pa.array(held)), one(pa.array(counts + 1, pa.int64())), one(pa.array(sizes - 1, pa.int64()))]
     names = ["chunk", "bucket", "words", "a", "b", "doc_ids", "held", "n_tokens", "n_bytes"]
-    first = [pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.bool_()), pa.array([b"".join(texts)], pa.binary()), pa.array([squeeze(place.astype("<u4"))], pa.binary()), *lists]
+    first = [pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.bool_()), pa.array([squeeze_text(b"".join(texts))], pa.binary()), pa.array([squeeze(place.astype("<u4"))], pa.binary()), *lists]
     yield pa.RecordBatch.from_arrays(first, names)
     bucket, words, a, b = zip(*rows)
     many = [pa.array([chunk] * len(rows), pa.int64()), pa.array(bucket, pa.int32()), pa.array(words), pa.array(a, pa.binary()), pa.array(b, pa.binary())]
@@ -225,7 +243,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int, d
         return _chunk_rows(chunk, pa.concat_arrays(keys), np.array(pa.concat_arrays(helds).to_pylist(), bool), texts, buckets, depth)
 
     for batch in batches:
-        for part, mine in text_parts(batch.column(2), min(CHUNK // 4, chunk_bytes)):
+        for part, mine in text_parts(batch.column(2), min(1 << 20, chunk_bytes)):
             more = sum(map(len, mine))
             if texts and size + more > chunk_bytes:
                 yield from flush()
@@ -284,7 +302,7 @@ def _subtree_rows(t: pa.Table, depth: int) -> pa.Table:
             "bucket": pa.array([bucket] * (len(parts) + 1), pa.int32()),
             "nearest": pa.array([None, *(int(nearest[p.start]) for p in parts)], pa.int32()),
             "a": pa.array([squeeze_sorted(found), *(squeeze_sorted(above["node"][p]) for p in parts)], pa.binary()),
-            "b": pa.array([mixed.astype("<f8").tobytes(), *numbers], pa.binary()),
+            "b": pa.array([fold(mixed), *numbers], pa.binary()),
         }
     )
 
@@ -329,7 +347,7 @@ def _bucket_bits(t: pa.Table, depth: int, w0: np.ndarray, p0: np.ndarray) -> pa.
     chunk, nearest = t.column("chunk").to_pylist(), t.column("nearest").to_pylist()
     a, b = _binaries(t, "a"), _binaries(t, "b")
     model = next(i for i, c in enumerate(chunk) if c is None and nearest[i] is None)
-    keys, mixed = unsqueeze_sorted(a[model]), np.frombuffer(b[model], "<f8").reshape(-1, 8)
+    keys, mixed = unsqueeze_sorted(a[model]), unfold(b[model]).reshape(-1, 8)
     above = sorted((nearest[i], i) for i, c in enumerate(chunk) if c is None and nearest[i] is not None)
     nodes = np.concatenate([unsqueeze_sorted(a[i]) for _, i in above])
     own, rest = np.concatenate([np.frombuffer(b[i], "<f8").reshape(2, -1) for _, i in above], axis=1)
@@ -362,7 +380,7 @@ def _chunk_scores(batch: pa.RecordBatch, i: int, buckets: int, depth: int, n: in
     first = np.cumsum(tokens) - tokens
     logs = np.log10((counts + SMOOTHING) / (n + SMOOTHING * (v + 1)))
 
-    data, ends = get("a").as_py(), np.cumsum(sizes).tolist()
+    data, ends = unsqueeze_text(get("a").as_py()), np.cumsum(sizes).tolist()
     found, order, codes = distinct(keys_of([data[z - s : z] for s, z in zip(sizes.tolist(), ends)], depth))
     sort, _ = key_order(found, buckets, depth)
     bits = np.empty(len(found))
