@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quire.functions.text import utrim
 
@@ -72,14 +75,20 @@ def html_entities(docs: DataFrame) -> DataFrame:
     return replaced(docs, list(ENTITIES.items()), literal=True, count="n")
 
 
+#: A half-width mark with a Han character up to three before or up to two after it; the look-behind starts at a mark only.
+NEAR_HAN = r"[,.:;?!()\[\]](?:(?<=\p{IsHan}[\s\S]{1,3})|(?=[\s\S]{0,1}\p{IsHan}))"
+#: Noncharacters that flag such marks, so that plain replacements widen them; a text that holds one is flagged by the other.
+FLAGS = ("\uFDD0", "\uFDD1")
+
+
 def cjk_punct(docs: DataFrame) -> DataFrame:
-    """Half-width marks become full-width where a Han character stands up to three before or up to two after."""
-    text, before = F.col("text"), F.col("text")
+    """Half-width marks become full-width where a Han character stands up to three before or up to two after. n counts them."""
+    flag = F.when(F.contains("text", F.lit(FLAGS[0])), FLAGS[1]).otherwise(FLAGS[0])
+    flagged = docs.withColumn("flag_", flag).withColumn("flagged_", F.regexp_replace(F.col("text"), F.lit(NEAR_HAN), F.concat("flag_", F.lit("$0"))))
+    text = F.col("flagged_")
     for half, full in zip(HALF, FULL):
-        mark = "\\" + half
-        text = F.regexp_replace(text, rf"(?<=\p{{IsHan}}[\s\S]{{0,2}}){mark}|{mark}(?=[\s\S]{{0,1}}\p{{IsHan}})", full)
-    changed = F.aggregate(F.zip_with(F.split("before_", ""), F.split("text", ""), lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return docs.withColumn("before_", before).withColumn("text", text).withColumn("n", changed).drop("before_")
+        text = F.replace(text, F.concat("flag_", F.lit(half)), F.lit(full))
+    return flagged.withColumn("n", (F.char_length("flagged_") - F.char_length("text")).cast("long")).withColumn("text", text).drop("flag_", "flagged_")
 
 
 def control_chars(docs: DataFrame) -> DataFrame:
@@ -138,9 +147,25 @@ def valid_patterns(spark: SparkSession, patterns: list[str]) -> list[str]:
     return ok
 
 
+@lru_cache(10_000)
+def _compiles(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def compiling(patterns: pd.Series) -> pd.Series:
+    """Those of a row's patterns that compile, in order; empty ones are none."""
+    return patterns.map(lambda ps: [p for p in ps if p and _compiles(p)] if ps is not None else [])
+
+
 def ad_blacklist(docs: DataFrame, patterns: str = "ad_blacklist") -> DataFrame:
-    """Removes each row's own patterns (an array column, checked before with valid_patterns) in order."""
-    return docs.withColumn("text", F.aggregate(F.filter(patterns, lambda p: p != ""), F.col("text"), lambda t, p: F.regexp_replace(t, p, F.lit(""))))
+    """Removes each row's own patterns (an array column) in order; those that do not compile are skipped."""
+    checked = docs.withColumn("patterns_", compiling(F.col(patterns)))
+    return checked.withColumn("text", F.aggregate("patterns_", F.col("text"), lambda t, p: F.regexp_replace(t, p, F.lit("")))).drop("patterns_")
 
 
 def typo_map(docs: DataFrame, typos: str = "typo_map") -> DataFrame:
@@ -193,15 +218,22 @@ def preprocess(docs: DataFrame) -> DataFrame:
     return whitespace_pre(ads_pre(control_chars(garbled(docs).drop("n_runs", "n_chars"))).drop("n"))
 
 
-def basic_clean(docs: DataFrame, simplify: bool = True) -> DataFrame:
-    """Entities, punctuation by context, white space, simplification, advertisements."""
+def basic_clean(docs: DataFrame, simplify: bool | Column = True) -> DataFrame:
+    """Entities, punctuation by context, white space, simplification (where `simplify` holds), advertisements."""
     spaced = whitespace_basic(cjk_punct(html_entities(docs).drop("n")).drop("n")).drop("n_blank")
-    simple = trad_to_simp(spaced).drop("n") if simplify else spaced
+    if isinstance(simplify, Column):
+        simple = spaced.withColumn("text", F.when(simplify, F.translate("text", TRADITIONAL, SIMPLIFIED)).otherwise(F.col("text")))
+    else:
+        simple = trad_to_simp(spaced).drop("n") if simplify else spaced
     return ads_basic(simple).drop("n")
 
 
 def changes(docs: DataFrame) -> DataFrame:
-    """One row per document, kind of change and stage with its number; kinds without a change are left out."""
+    """One row per document, kind of change and stage with its number; kinds without a change are left out. One pass over the texts."""
     found = [("entities", html_entities, "n", "basic"), ("punctuation", cjk_punct, "n", "basic"), ("blank_lines", whitespace_basic, "n_blank", "basic"), ("traditional", trad_to_simp, "n", "basic"), ("advertisement", ads_basic, "n", "basic"), ("garbled", garbled, "n_runs", "pre")]
-    parts = [job(docs).select("doc_id", F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), F.col(n).alias("n")) for kind, job, n, stage in found]
-    return reduce(DataFrame.unionByName, parts).filter("n > 0")
+    df = docs.select("doc_id", F.col("text").alias("whole_"))
+    for kind, job, n, _ in found:
+        keep = [c for c in df.columns if c != "text"]
+        df = job(df.withColumn("text", F.col("whole_"))).select(*keep, F.col(n).alias(f"n_{kind}"))
+    rows = F.array(*[F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), F.col(f"n_{kind}").alias("n")) for kind, _, _, stage in found])
+    return df.select("doc_id", F.explode(rows).alias("c")).select("doc_id", "c.*").filter("n > 0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.text import cosine, normalize_paragraph
+from quire.functions.text import cosine, local_vector, normalize_paragraph
 
 # Least normalised length that takes part, predecessors compared, cosine from which paragraphs are alike.
 MIN_LENGTH, WINDOW, THRESHOLD = 5, 300, 0.95
@@ -15,13 +15,14 @@ MIN_LENGTH, WINDOW, THRESHOLD = 5, 300, 0.95
 def exact_duplicates(paragraphs: DataFrame, scope: str = "document") -> DataFrame:
     """Adds norm, is_dup and first_idx: paragraphs whose normalised text stood before in their document (or, by scope, in any).
 
-    Windows run over the MD5 of the text, so that keys in the shuffle are short.
+    Windows run over the MD5 of the text, so that keys in the shuffle are short; its length is taken before, so that a caller who
+    selects neither norm nor text moves none of them.
     """
-    marked = paragraphs.withColumn("norm", normalize_paragraph(F.col("text"))).withColumn("key_", F.md5(F.col("norm").cast("binary")))
+    marked = paragraphs.withColumn("norm", normalize_paragraph(F.col("text")))
+    marked = marked.withColumn("key_", F.md5(F.col("norm").cast("binary"))).withColumn("long_", F.char_length("norm") >= MIN_LENGTH)
     keys = ["doc_id", "key_"] if scope == "document" else ["key_"]
     w = W.partitionBy(*keys).orderBy("doc_id", "idx")
-    long = F.char_length("norm") >= MIN_LENGTH
-    return marked.withColumn("is_dup", long & (F.row_number().over(w) > 1)).withColumn("first_idx", F.first("idx").over(w)).drop("key_")
+    return marked.withColumn("is_dup", F.col("long_") & (F.row_number().over(w) > 1)).withColumn("first_idx", F.first("idx").over(w)).drop("key_", "long_")
 
 
 def duplicate_stats(dups: DataFrame, samples: int = 20, fewer: int = 10, most_chars: int = 5000) -> DataFrame:
@@ -36,6 +37,17 @@ def duplicate_stats(dups: DataFrame, samples: int = 20, fewer: int = 10, most_ch
     return counted.select("doc_id", "n", "chars", F.when(over, F.slice("first_", 1, fewer)).otherwise(F.col("first_")).alias("samples"), ((F.col("n") > samples) | over).alias("truncated"))
 
 
+def near_paragraphs(paragraphs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, idx, text) -> (doc_id, idx, near_idx, sim): paragraphs with an earlier, alike one, each marked once, by the nearest.
+
+    Short paragraphs and exact duplicates take no part, as they are marked before; the rest meet by their local vectors.
+    """
+    rest = exact_duplicates(paragraphs).filter(~F.col("is_dup") & (F.char_length("norm") >= MIN_LENGTH))
+    vectors = rest.select(F.col("doc_id").alias("file_id"), "idx", local_vector(F.col("text")).alias("vec"))
+    pairs = near_duplicates(vectors, window, threshold)
+    return pairs.groupBy(F.col("file_id").alias("doc_id"), F.col("i").alias("idx")).agg(F.max("j").alias("near_idx"), F.max_by("sim", "j").alias("sim"))
+
+
 def near_duplicates(rows: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, idx, vec) -> (file_id, i, j, sim): earlier rows j within `window` places of i that are alike (0: all earlier ones).
 

@@ -189,6 +189,37 @@ def split_chapter_titles(docs: DataFrame) -> DataFrame:
     return rows.filter(marked).mapInPandas(scan, f"doc_id {kind}, text string").unionByName(rows.filter(~marked))
 
 
+def _short_merged(parts: list[str], least: int) -> list[str]:
+    """merge_short for one document's parts."""
+    title = re.compile(TITLE)
+    out: list[str] = []
+    for text in parts:
+        if out and len(out[-1]) < least and not title.search(out[-1].strip()) and not title.search(text.strip()):
+            out[-1] += "\n" + text
+        else:
+            out.append(text)
+    return out
+
+
+def newlines_fixed(docs: DataFrame, keep: tuple[Column, Column] | None = None) -> DataFrame:
+    """(doc_id, text) -> the same: documents that need it get paragraphs between blank lines, then titles stand apart.
+
+    keep: a condition, and the text that stays as it is where it holds. One task does both, row by row, so that what made
+    the text is computed once and no row goes another way round.
+    """
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cut = ["\n\n".join(_short_merged(split_sentences(t), MIN_PARAGRAPH)) if g else t for t, g in zip(frame.text, frame.gate)]
+            yield frame[["doc_id"]].assign(text=[t if k or not t else spaced_titles(t) for t, k in zip(cut, frame.kept)])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = F.coalesce(keep[0], F.lit(False)) if keep else F.lit(False)
+    gate = ~kept & F.coalesce(needs_resegmentation(F.col("text")), F.lit(False))
+    text = F.when(kept, keep[1]).otherwise(F.col("text")) if keep else F.col("text")
+    return docs.select("doc_id", text.alias("text"), gate.alias("gate"), kept.alias("kept")).mapInPandas(scan, f"doc_id {kind}, text string")
+
+
 def cut_point(text: str, start: int, end: int) -> int:
     """Where a chunk that may reach `end` ends: after a blank line, an end mark with a quote, an end mark, a quote, a line end, else at end."""
     low = max(start, end - LOOK_BACK)

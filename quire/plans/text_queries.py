@@ -83,8 +83,8 @@ TYPO_MAP = {"因该": "应该", "以经": "已经", "the": "THE", "de la": "DE-L
 
 
 def q_ad_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = clean.valid_patterns(spark, [*BLACKLIST, "(unclosed"])
-    return digest(clean.ad_blacklist(view(spark, sf_dir, "seeded").withColumn("ad_blacklist", F.array(*map(F.lit, patterns)))))
+    patterns = F.array(*map(F.lit, [*BLACKLIST, "(unclosed", ""]))
+    return digest(clean.ad_blacklist(view(spark, sf_dir, "seeded").withColumn("ad_blacklist", patterns)))
 
 
 def q_typo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,10 @@ def sql_typo_map() -> str:
 
 
 def default_rules(spark: SparkSession) -> list[tuple[str, str]]:
-    return [(r["pattern"], r["replacement"]) for r in corpus.rules_table(spark).filter("enabled").orderBy("id").collect()]  # a short list of rules
+    """The enabled rules whose patterns compile; a short list."""
+    rules = [(r["pattern"], r["replacement"]) for r in corpus.rules_table(spark).filter("enabled").orderBy("id").collect()]
+    valid = set(clean.valid_patterns(spark, [p for p, _ in rules]))
+    return [r for r in rules if r[0] in valid]
 
 
 def q_apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +113,29 @@ def q_apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULE_STEPS = [(r[2], r[3]) for r in corpus.DEFAULT_RULES]
 
 
-def step_cleaning(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The cleaning step: pre-clean, basic clean, rules, then paragraphs cut anew where they are missing, titles apart."""
-    ready = clean.apply_rules(clean.basic_clean(clean.preprocess(docs)), default_rules(spark)).drop("changed")
-    gate = F.coalesce(segment.needs_resegmentation(F.col("text")), F.lit(False))
-    cut = segment.join_paragraphs(segment.resegment(ready.filter(gate)), "\n\n")
-    return segment.split_chapter_titles(cut.unionByName(ready.filter(~gate).select("doc_id", "text")))
+def step_cleaning(docs: DataFrame, rules: list[tuple[str, str]], config: str | None = None) -> DataFrame:
+    """The cleaning step: pre-clean, basic clean, the file's own advertisements and typos, rules, paragraphs, titles.
+
+    config is a column with the file's rule JSON. Without enableBasicCleaning the text stays as it is; traditionalToSimple
+    and enableAdCleaning (blacklist and typos) act for their parts.
+    """
+    own = docs.select("doc_id", F.col("text").alias("raw_"), "text", corpus.file_rules(F.col(config) if config else F.lit("")).alias("r_"))
+    spaced = clean.basic_clean(clean.preprocess(own), simplify=F.col("r_.traditionalToSimple"))
+    listed = spaced.withColumn("ads_", F.when(F.col("r_.enableAdCleaning"), F.col("r_.ad_blacklist"))).withColumn("typos_", F.when(F.col("r_.enableAdCleaning"), F.col("r_.typo_map")))
+    mended = listed
+    if config:
+        mended = clean.typo_map(clean.ad_blacklist(listed, "ads_").withColumn("typos_", F.coalesce("typos_", F.expr("cast(map() as map<string,string>)"))), "typos_")
+    ready = clean.apply_rules(mended, rules)
+    return segment.newlines_fixed(ready, keep=(~F.col("r_.enableBasicCleaning"), F.col("raw_")))
+
+
+STEP_CONFIG = """CASE doc_id % 7 WHEN 1 THEN '{"traditionalToSimple":false}' WHEN 2 THEN '{"enableBasicCleaning":false}' WHEN 3 THEN '{"adBlacklist":"er[a-z]+nd,(bad","typoMap":"the=THE"}'
+ WHEN 4 THEN '{"enableAdCleaning":false,"adBlacklist":"e","typoMap":"a=b"}' ELSE '' END"""
+
+
+def q_step_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = view(spark, sf_dir, "seeded").select("doc_id", "text", F.expr(STEP_CONFIG).alias("config"))
+    return digest(step_cleaning(docs, default_rules(spark), "config"))
 
 
 SIMPLE = f"translate({{}}, '{clean.TRADITIONAL}', '{clean.SIMPLIFIED}')"
@@ -231,19 +251,29 @@ def q_cosine(spark, sf_dir):
 
 
 def q_local_vector(spark, sf_dir):
-    vec = fn.local_vector(F.col("text"))
-    return paragraphs(spark, sf_dir).select("doc_id", "idx", F.posexplode(vec).alias("dim", "v")).select("doc_id", "idx", "dim", F.round("v", 9).alias("v")).groupBy("doc_id", "idx").agg(F.round(F.sum(F.col("v") * (F.col("dim") + 1)), 3).alias("weighted"), F.count(F.lit(1)).alias("dims"))
+    rows = paragraphs(spark, sf_dir).select("doc_id", "idx", fn.local_vector(F.col("text")).alias("vec"))
+    parts = F.transform("vec", lambda v, i: F.round(v, 9) * (i + 1))
+    return rows.select("doc_id", "idx", F.round(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x), 3).alias("weighted"), F.size("vec").cast("long").alias("dims"))
+
+
+def q_near_paragraphs(spark, sf_dir):
+    """Near-duplicate paragraphs of all documents by their local vectors, after the gates."""
+    return dedup.near_paragraphs(segment.paragraphs(view(spark, sf_dir, "plain"))).withColumn("sim", F.round("sim", 6))
 
 
-def sql_local_vector() -> str:
-    density = ", ".join(f"CASE WHEN length(text) > 0 THEN (length(text) - length(replace(text, '{m}', ''))) / length(text) ELSE 0.0 END" for m in "。，！？：；")
+def sql_vectors(source: str) -> str:
+    """(doc_id, idx, v) of paragraphs, over all their columns."""
+    density = ", ".join(f"CASE WHEN length(text) > 0 THEN (length(text) - length(replace(text, '{m}', ''))) / length(text) ELSE 0.0 END" for m in fn.DENSITY_MARKS)
     digests = f"concat(md5({NORM}), md5(concat('quire:', {NORM})))"
-    bytes_ = ", ".join(f"CAST(('0x' || substr(d, {2 * i + 1}, 2)) AS INT) / 256.0" for i in range(24))
-    return oracle(
-        f"""SELECT doc_id, idx, round(list_sum(list_transform(v, lambda x, i: round(x, 9) * i)), 3) AS weighted, len(v) AS dims FROM (
-SELECT doc_id, idx, CAST([least(length(text) / 500.0, 1.0), {density}, least(list_sum(list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT))) / (length(text) * 65536.0), 1.0), {bytes_}] AS DOUBLE[]) AS v
-FROM (SELECT *, {digests} AS d FROM paragraphs))"""
-    )
+    bytes_ = ", ".join(f"CAST(('0x' || substr(d, {2 * i + 1}, 2)) AS INT) / 256.0" for i in range(fn.DIGEST_BYTES))
+    mean = "least(list_sum(list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT))) / (length(text) * 65536.0), 1.0)"
+    return f"(SELECT doc_id, idx, CAST([least(length(text) / 500.0, 1.0), {density}, {mean}, {bytes_}] AS DOUBLE[]) AS v FROM (SELECT *, {digests} AS d FROM {source}))"
+
+
+SQL_LOCAL_VECTOR = oracle(f"SELECT doc_id, idx, round(list_sum(list_transform(v, lambda x, i: round(x, 9) * i)), 3) AS weighted, len(v) AS dims FROM {sql_vectors('paragraphs')}")
+SQL_NEAR_PARAGRAPHS = f"""WITH vs AS {sql_vectors(f"(SELECT doc_id, idx, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY idx) AS k FROM (SELECT *, {NORM} AS norm FROM {PLAIN_PARAGRAPHS})) WHERE k = 1 AND length(norm) >= {dedup.MIN_LENGTH})")}
+SELECT doc_id, idx, max(j) AS near_idx, round(arg_max(sim, j), 6) AS sim FROM (SELECT a.doc_id, a.idx, b.idx AS j, {COS.format("a.v", "b.v")} AS sim
+ FROM vs a JOIN vs b ON a.doc_id = b.doc_id AND b.idx < a.idx AND a.idx - b.idx <= {dedup.WINDOW}) WHERE sim >= {dedup.THRESHOLD} GROUP BY doc_id, idx"""
 
 
 # ---------------------------------------------------------------- repairs and reviews
@@ -439,8 +469,10 @@ def q_src_rules_table(spark, sf_dir):
     spark.createDataFrame([(corpus.rules_json(),)], "value string").coalesce(1).write.text(path)
     rules = corpus.rules_table(spark, path)
     docs = view(spark, sf_dir, "seeded")
-    touched = [docs.agg(F.count_if(F.col("text").rlike(r["pattern"])).alias("docs")).withColumn("id", F.lit(r["id"])) for r in rules.orderBy("id").collect()]
-    counts = touched[0].unionByName(touched[1])
+    listed = [(r["id"], r["pattern"]) for r in rules.collect()]  # a short list
+    touched = docs.agg(*[F.count_if(F.col("text").rlike(p)).alias(f"n{i}") for i, (_, p) in enumerate(listed)])
+    each = F.array(*[F.struct(F.lit(k).alias("id"), F.col(f"n{i}").alias("docs")) for i, (k, _) in enumerate(listed)])
+    counts = touched.select(F.explode(each).alias("c")).select("c.*")
     return rules.join(counts, "id").select("id", "pattern", "replacement", "enabled", "docs")
 
 
@@ -497,6 +529,14 @@ SQL_DICT_REPAIR = oracle(
     f"SELECT doc_id, idx, CAST(CASE WHEN length(text) >= 10 THEN {TYPO_HITS} ELSE 0 END AS BIGINT) AS n, md5(CASE WHEN length(text) >= 10 THEN {sql_chain('text', list(clean.TYPOS), True)} ELSE text END) AS text_md5 FROM paragraphs"
 )
 
+CHAPTER_STEPS = [(f"({clean.CHAPTERS})", "\x01\\1\x02"), ("([^\n])\x01", "\\1\n\n"), ("\x02([^\n\x01])", "\n\n\\1"), ("\x02\x01", "\n\n"), ("[\x01\x02]", "")]
+#: A full stop is looked at with its neighbours; then runs of each mark collapse.
+SQL_POST_PUNCT = oracle(
+    f"""SELECT {DIGEST} FROM (SELECT doc_id, {sql_chain("t", [(m + "+", m) for m in "，。：；？！"])} AS text FROM (SELECT doc_id, array_to_string(list_transform(cs, lambda c, i:
+ CASE WHEN c = '.' AND NOT regexp_matches(coalesce(cs[i - 1], ''), '[0-9]') AND NOT regexp_matches(coalesce(cs[i + 1], ''), '[0-9]') THEN '。' ELSE c END), '') AS t
+FROM (SELECT doc_id, string_split(translate(text, ',:;?!', '，：；？！'), '') AS cs FROM seeded)))"""
+)
+
 QUERIES = {
     "src_corpus": (q_src_corpus, SQL_SRC_CORPUS),
     "src_decode_corpus": (q_src_decode, SQL_SRC_DECODE),
@@ -506,7 +546,10 @@ QUERIES = {
     "snk_step_versions": (q_step_versions, SQL_STEP_VERSIONS),
     "snk_final_text": (q_final_text, SQL_FINAL_TEXT),
     "cl_html_entities": (cleaned(clean.html_entities, "n"), sql_counted(list(clean.ENTITIES.items()), True)),
-    "cl_cjk_punct": (cleaned(clean.cjk_punct), sql_text(f"array_to_string(list_transform(cs, {CJK_CHAR}), '')", source="(SELECT doc_id, string_split(text, '') AS cs FROM seeded)")),
+    "cl_cjk_punct": (
+        cleaned(clean.cjk_punct, "n"),
+        oracle(f"SELECT {DIGEST}, n FROM (SELECT doc_id, array_to_string(ds, '') AS text, CAST(list_sum(list_transform(list_zip(cs, ds), lambda z: CAST(z[1] <> z[2] AS BIGINT))) AS BIGINT) AS n FROM (SELECT doc_id, cs, list_transform(cs, {CJK_CHAR}) AS ds FROM (SELECT doc_id, string_split(text, '') AS cs FROM seeded)))"),
+    ),
     "cl_control_chars": (cleaned(clean.control_chars), sql_text(sql_chain("text", [(clean.CONTROL, "")]))),
     "cl_whitespace_basic": (cleaned(clean.whitespace_basic), sql_text(BASIC_SPACE)),
     "cl_whitespace_pre": (cleaned(clean.whitespace_pre), sql_text(PRE_SPACE)),
@@ -523,9 +566,9 @@ QUERIES = {
     ),
     "cl_sanitize_paragraph": (lambda s, d: digest(view(s, d, "seeded").withColumn("text", clean.sanitize_paragraph(F.col("text")))), sql_text("regexp_replace(text, '[\\r\\n]', '', 'g')")),
     "cl_post_format": (cleaned(clean.post_format), sql_text(sql_chain("text", [("\n{3,}", "\n\n"), (T, "")]))),
-    "cl_post_chapters": (cleaned(clean.post_chapters, "n_chapters"), None),
-    "cl_post_punct": (cleaned(clean.post_punct), None),
-    "cl_step_cleaning": (lambda s, d: digest(step_cleaning(s, view(s, d, "seeded").select("doc_id", "text"))), None),
+    "cl_post_chapters": (cleaned(clean.post_chapters, "n_chapters"), sql_text(sql_chain("text", CHAPTER_STEPS), f"CAST(len(regexp_extract_all(text, '{clean.CHAPTERS}')) AS BIGINT) AS n_chapters")),
+    "cl_post_punct": (cleaned(clean.post_punct), SQL_POST_PUNCT),
+    "cl_step_cleaning": (q_step_cleaning, None),
     "cl_changes": (q_changes, sql_changes()),
     "agg_clean_stats": (q_clean_stats, f"SELECT stage, kind, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM ({sql_changes()}) GROUP BY stage, kind"),
     "flt_needs_resegmentation": (q_gate, SQL_GATE),
@@ -543,6 +586,7 @@ QUERIES = {
     "gen_chunks": (q_chunks, None),
     "gen_paragraph_diff": (q_paragraph_diff, SQL_PARAGRAPH_DIFF),
     "join_near_dup": (q_near_dup, SQL_NEAR_DUP),
+    "join_near_paragraphs": (q_near_paragraphs, SQL_NEAR_PARAGRAPHS),
     "join_apply_review": (q_apply_review, SQL_APPLY_REVIEW),
     "join_dup_to_lines": (q_dup_to_lines, SQL_DUP_TO_LINES),
     "join_changed_rows": (q_changed_rows, SQL_CHANGED_ROWS),
@@ -550,10 +594,10 @@ QUERIES = {
     "join_apply_suggestions": (q_apply_suggestions, SQL_APPLY_SUGGESTIONS),
     "agg_dup_stats": (flagship, SQL_FLAGSHIP),
     "agg_join_paragraphs": (q_join_paragraphs, f"SELECT {DIGEST} FROM documents"),
-    "agg_merge_chunks": (q_merge_chunks, None),
+    "agg_merge_chunks": (q_merge_chunks, f"SELECT {DIGEST} FROM documents"),
     "win_exact_dup": (q_exact_dup, oracle(f"SELECT doc_id, idx, is_dup, CASE WHEN is_dup THEN first_idx END AS first_idx FROM ({EXACT})")),
     "set_review_union": (q_review_union, SQL_REVIEW_UNION),
-    "fn_local_vector": (q_local_vector, sql_local_vector()),
+    "fn_local_vector": (q_local_vector, SQL_LOCAL_VECTOR),
     "fn_cosine": (q_cosine, oracle(f"SELECT a.idx, round({COS.format('a.vec', 'b.vec')}, 6) AS cosine FROM vectors a JOIN vectors b ON a.idx = b.idx + 1")),
     "fn_levenshtein": (q_levenshtein, "SELECT doc_id, CAST(levenshtein(substr(text, 1, 40), substr(text, 3, 40)) AS INT) AS distance FROM documents WHERE NOT regexp_matches(substr(text, 1, 40) || substr(text, 3, 40), '[^\\x00-\\x7F]')"),
     "fn_levenshtein_all": (q_levenshtein_all, None),

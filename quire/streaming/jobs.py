@@ -32,16 +32,15 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote."""
+    """Runs a stream over all that is there now and returns what it wrote; a batch that is tried again replaces its own rows."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/quire-stream-{uuid.uuid4().hex}"
-    write = "overwrite" if mode == "complete" else "append"
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode(write).parquet(f"{base}/rows")
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/{'all' if mode == 'complete' else number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
 
 
 def ingest(files: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions.text import edit_distance
-from quire.operators import health, segment
+from quire.functions.text import MARKS, edit_distance, local_vector
+from quire.operators import dedup, health, segment
 from quire.plans import registry
 from quire.plans.table_queries import LIMIT, SECONDS
-from quire.plans.text_queries import SQL_SRC_CORPUS, q_src_corpus
+from quire.plans.text_queries import SQL_SRC_CORPUS, q_src_corpus, step_cleaning
 from quire.plans.views import review, view
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -60,8 +60,7 @@ def test_streams_equal_batches(spark, sf_dir):
 def test_merged_chunks_give_the_documents_back(spark, sf_dir):
     got = {r.doc_id: r.text_md5 for r in registry.queries()["agg_merge_chunks"](spark, sf_dir).collect()}
     want = {r.doc_id: r.text_md5 for r in registry.queries()["agg_join_paragraphs"](spark, sf_dir).collect()}
-    # A text that repeats itself may overlap by more than its chunks did; all others come back.
-    assert sum(got[k] == v for k, v in want.items()) >= 0.9 * len(want)
+    assert got == want
 
 
 @pytest.mark.parametrize("max_size", [10_000, 20_000])
@@ -81,6 +80,44 @@ def test_rewritten_chunks_still_merge_by_their_texts(spark):
     assert segment.merge_chunks(df).first().text == "a" * 30 + "b" * 30 + "c" * 31 + "\nnew"
 
 
+def test_near_paragraphs_against_brute_force(spark):
+    texts = ["第一段的内容在这里，说了一些话。", "other words here", "第一段的内容在这里，说了一些话。", "短", "第一段的内容在这里说了一些话", "y" * 300, "", "y" * 301]
+    df = spark.createDataFrame([(d, i, t) for d in (1, 2) for i, t in enumerate(texts)], "doc_id long, idx int, text string")
+    vec = {r.idx: r.v for r in df.filter("doc_id = 1").select("idx", local_vector(F.col("text")).alias("v")).collect()}
+    norm = {i: t.translate({ord(c): None for c in MARKS}).strip() for i, t in enumerate(texts)}
+    part = [i for i, t in norm.items() if len(t) >= 5 and t not in [norm[j] for j in range(i)]]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for threshold in (0.95, 0.7):
+        want = {}
+        for i in part:
+            near = [j for j in part if j < i and cos(vec[i], vec[j]) >= threshold]
+            if near:
+                want[i] = max(near)
+        got = dedup.near_paragraphs(df, threshold=threshold).collect()
+        assert {(r.doc_id, r.idx): r.near_idx for r in got} == {(d, i): j for d in (1, 2) for i, j in want.items()}
+
+
+def test_cleaning_step_by_rules_of_a_file(spark):
+    """Each flag acts for its part; the rest is the jobs one after the other."""
+    text = "臺灣國語，她因该 the ernd 他说:你好,世界!" + "长句子在这里没有换行。" * 30
+    configs = ["", '{"enableBasicCleaning":false}', '{"traditionalToSimple":false}', '{"adBlacklist":"er[a-z]+,(bad","typoMap":"the=THE"}', '{"enableAdCleaning":false,"adBlacklist":"er","typoMap":"the=THE"}', "{bad"]
+    df = spark.createDataFrame([(i, text, c) for i, c in enumerate(configs)], "doc_id long, text string, config string")
+    got = {r.doc_id: r.text for r in step_cleaning(df, [("你好", "您好")], "config").collect()}
+    base = got[0]
+    assert got[1] == text and got[4] == base == got[5] and "台湾国语" in base and "您好，世界！" in base and base.count("\n\n") == 0
+    assert "臺灣國語" in got[2] and got[2].replace("臺灣國語", "台湾国语") == base
+    assert got[3] == base.replace("ernd", "").replace("the", "THE")
+    assert {r.text for r in step_cleaning(df.drop("config"), [("你好", "您好")]).collect()} == {base}
+
+
+def test_newlines_fixed_equals_the_jobs(spark, sf_dir):
+    docs = view(spark, sf_dir, "seeded").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "他走了。第二天又来了。" * 30), (-2, None), (-3, "")], "doc_id long, text string")).cache()
+    gate = F.coalesce(segment.needs_resegmentation(F.col("text")), F.lit(False))
+    cut = segment.join_paragraphs(segment.resegment(docs.filter(gate)), "\n\n")
+    want = segment.split_chapter_titles(cut.unionByName(docs.filter(~gate)))
+    assert {tuple(r) for r in segment.newlines_fixed(docs).collect()} == {tuple(r) for r in want.collect()}
+
+
 def brute_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
