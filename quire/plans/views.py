@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import segment
+from quire.sources.tables import texts
 
 NOW = "2024-02-01 00:00:00"
 
@@ -59,7 +60,7 @@ FROM lines WHERE idx % 2 = 0""",
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))}
+    tables = {t: texts(spark, sf_dir, t) if t == "documents" else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))}
     return spark.sql(sql, **tables)
 
 
