@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.tables import texts
+
 #: A word for the operators that split on white space only (fixed pattern).
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,7 +28,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return texts(spark, sf_dir, name)
 
 
 def released(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
