@@ -41,7 +41,7 @@ START, END = 0xFE, 0xFF
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 SMOOTHING = 0.1
 #: Text bytes of a chunk and of a bucket, and the least number of buckets.
-CHUNK, BUCKET, BUCKETS = 8 << 20, 16 << 20, 64
+CHUNK, BUCKET, BUCKETS = 6 << 20, 16 << 20, 64
 HALF = np.log(0.5)
 
 
@@ -56,7 +56,9 @@ def keys_of(texts: list[bytes], depth: int = DEPTH) -> np.ndarray:
     data = LOWER[np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)]
     keys = data[depth:].astype(np.uint64)
     for back in range(1, depth + 1):
-        keys |= data[depth - back : len(data) - back].astype(np.uint64) << np.uint64(8 * (depth - back + 1))
+        one = data[depth - back : len(data) - back].astype(np.uint64)
+        one <<= np.uint64(8 * (depth - back + 1))
+        keys |= one
     own = np.ones(len(data), bool)
     own[((np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)).ravel()] = False
     return keys[own[depth:]]
@@ -204,10 +206,9 @@ def _chunk_rows(chunk: int, keys: pa.Array, held: np.ndarray, texts: list[bytes]
             mine = slice(cut[b], cut[b + 1])
             rows.append((b, words, squeeze_sorted(found[mine]), squeeze(train[mine].astype("<u4"))))
 
-    hashes, counts = hash_words(texts)
-    hashes = np.insert(hashes, np.cumsum(counts), END_HASH)
-    found, place = np.unique(hashes, return_inverse=True)
-    train = np.bincount(place[np.repeat(~held, counts + 1)], minlength=len(found))
+    hashes, counts = tokens_of(texts)
+    found, order, codes = distinct(hashes)
+    train = np.bincount(codes[np.repeat(~held, counts)], minlength=len(found))[order]
     entries(found, train, np.searchsorted(bucket_of(found, buckets), np.arange(buckets + 1)), True)
 
     found, order, codes = distinct(keys_of(texts, depth))
@@ -217,15 +218,21 @@ def _chunk_rows(chunk: int, keys: pa.Array, held: np.ndarray, texts: list[bytes]
     entries(found[sort], train[sort], cut, False)
 
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    lists = [one(keys), one(pa.array(held)), one(pa.array(counts + 1, pa.int64())), one(pa.array(sizes - 1, pa.int64()))]
-    names = ["chunk", "bucket", "words", "a", "b", "doc_ids", "held", "n_tokens", "n_bytes"]
-    first = [pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.bool_()), pa.array([squeeze_text(b"".join(texts))], pa.binary()), pa.array([squeeze(place.astype("<u4"))], pa.binary()), *lists]
+    lists = [one(keys), one(pa.array(held)), one(pa.array(sizes - 1, pa.int64()))]
+    names = ["chunk", "bucket", "words", "a", "b", "doc_ids", "held", "n_bytes"]
+    first = [pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.bool_()), pa.array([squeeze_text(b"".join(texts))], pa.binary()), pa.array([None], pa.binary()), *lists]
     yield pa.RecordBatch.from_arrays(first, names)
     bucket, words, a, b = zip(*rows)
     many = [pa.array([chunk] * len(rows), pa.int64()), pa.array(bucket, pa.int32()), pa.array(words), pa.array(a, pa.binary()), pa.array(b, pa.binary())]
     yield pa.RecordBatch.from_arrays([*many, *(pa.nulls(len(rows), x.type) for x in lists)], names)
 
 
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and ends, one text after the other, and how many each text has."""
+    hashes, counts = hash_words(texts)
+    return np.insert(hashes, np.cumsum(counts), END_HASH), counts + 1
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys; their order of appearance (found = appeared[order]); and each key's number by appearance."""
     codes, appeared = pd.factorize(keys)
@@ -374,20 +381,25 @@ def _bucket_bits(t: pa.Table, depth: int, w0: np.ndarray, p0: np.ndarray) -> pa.
 def _chunk_scores(batch: pa.RecordBatch, i: int, buckets: int, depth: int, n: int, v: int) -> pa.RecordBatch:
     get = lambda name: batch.column(name)[i]
     parts = get("parts").as_py()
-    counts = np.concatenate([unsqueeze(p["values"], "<i8") for p in parts if p["words"]])
-    place = unsqueeze(get("b").as_py(), "<u4")
-    tokens, sizes = (np.array(get(name).as_py(), np.int64) for name in ("n_tokens", "n_bytes"))
+    sizes = np.array(get("n_bytes").as_py(), np.int64)
+    data, ends = unsqueeze_text(get("a").as_py()), np.cumsum(sizes).tolist()
+    texts = [data[z - s : z] for s, z in zip(sizes.tolist(), ends)]
+
+    hashes, tokens = tokens_of(texts)
+    found, order, codes = distinct(hashes)
+    counts = np.empty(len(found), np.int64)
+    counts[order] = np.concatenate([unsqueeze(p["values"], "<i8") for p in parts if p["words"]])
     first = np.cumsum(tokens) - tokens
     logs = np.log10((counts + SMOOTHING) / (n + SMOOTHING * (v + 1)))
+    known, base = np.add.reduceat((counts > 0).astype(np.int64)[codes], first), np.add.reduceat(logs[codes], first)
 
-    data, ends = unsqueeze_text(get("a").as_py()), np.cumsum(sizes).tolist()
-    found, order, codes = distinct(keys_of([data[z - s : z] for s, z in zip(sizes.tolist(), ends)], depth))
+    found, order, codes = distinct(keys_of(texts, depth))
     sort, _ = key_order(found, buckets, depth)
     bits = np.empty(len(found))
     bits[order[sort]] = np.concatenate([unsqueeze(p["values"], "<f4") for p in parts if not p["words"]])
     total = np.add.reduceat(bits[codes], np.cumsum(sizes + 1) - sizes - 1)
-    made = [np.add.reduceat((counts > 0)[place].astype(np.int64), first), np.full(len(first), n, np.int64), np.add.reduceat(logs[place], first), total * -np.log10(2.0), total / (sizes + 1)]
-    return pa.RecordBatch.from_arrays([get(name).values for name in ("doc_ids", "held", "n_tokens")] + [pa.array(x) for x in made], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+    made = [tokens, known, np.full(len(first), n, np.int64), base, total * -np.log10(2.0), total / (sizes + 1)]
+    return pa.RecordBatch.from_arrays([get(name).values for name in ("doc_ids", "held")] + [pa.array(x) for x in made], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
 
 def scores(docs: DataFrame, chunk_bytes: int = CHUNK, depth: int = DEPTH) -> DataFrame:
@@ -398,7 +410,7 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK, depth: int = DEPTH) -> Dat
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, -(-size // BUCKET))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"{_ENTRY}, doc_ids array<{kind}>, held array<boolean>, n_tokens array<bigint>, n_bytes array<bigint>"
+    shape = f"{_ENTRY}, doc_ids array<{kind}>, held array<boolean>, n_bytes array<bigint>"
     chunks = stored(docs.select("doc_id", "held_out", "text").mapInArrow(released(lambda it: _chunks(it, buckets, chunk_bytes, depth)), shape), "lm-chunks")
     entries = chunks.filter("bucket >= 0").select("chunk", "bucket", "words", "a", "b")
     asked = entries.filter("not words").select("chunk", "bucket", "a", "b")
@@ -415,7 +427,7 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK, depth: int = DEPTH) -> Dat
 
     given = totals.select("chunk", "bucket", "values", F.lit(True).alias("words")).unionByName(bits.withColumn("words", F.lit(False)))
     per_chunk = given.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("words", "bucket", "values"))).alias("parts"))
-    rows = chunks.filter("bucket < 0").select("chunk", "doc_ids", "held", "n_tokens", "n_bytes", "a", "b").join(per_chunk, "chunk")
+    rows = chunks.filter("bucket < 0").select("chunk", "doc_ids", "held", "n_bytes", "a").join(per_chunk, "chunk")
 
     def run(batches):
         for batch in batches:
