@@ -6,6 +6,9 @@ the `probes` - 1 buckets that it misses least. Vectors that share a bucket are c
 blocks where a bucket is large; pairs are counted in the least bucket they share and never leave the task: it returns, for
 each vector, how many it links with and the least member of what it reaches there.
 
+The number of hashes grows with the largest label, and tables and probes grow with it (`index_shape`), so that the share of
+links found stays the same at every size: above 0.99 at the threshold for up to 4 hashes (tested).
+
 Copies (equal vectors of one label) are one class with a count. Links need equal labels that aren't null.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing, as do those with a
@@ -28,7 +31,7 @@ from quire.llm.common import schema_of, stored, table
 from quire.llm.graph import block_pairs, components
 
 COSINE = 0.93
-TABLES, PROBES = 6, 3
+TABLES, PROBES = 6, 3  # of one or two hashes; more in `index_shape`
 #: Vectors in a bucket that a table's number of hashes aims at, and in a block of a large bucket.
 BUCKET, BLOCK = 64, 512
 #: Rows that a task call compares (its groups together), and the largest group that is compared row distance by row distance.
@@ -84,6 +87,11 @@ def bucket_keys(unit: np.ndarray, hashes: int, tables: int = TABLES, probes: int
     return out.reshape(n, -1)
 
 
+def index_shape(hashes: int) -> tuple[int, int]:
+    """Tables and probes that find a pair as surely with many hashes as with one."""
+    return max(TABLES, 4 * hashes - 4), max(PROBES, 2 * hashes - 2)
+
+
 def _vectors(column) -> list[np.ndarray | None]:
     """Usable vectors in double precision, else None."""
     out = []
@@ -193,7 +201,7 @@ def _compare(t: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"cid": pa.array(ids[some]), "links": pa.array(links[some].astype(np.int64)), "least": pa.array(reached[some])})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None) -> DataFrame:
     """(vec_id, embedding, label) -> vec_id, n_links, component_id."""
     rows = vectors.select("vec_id", "embedding", "label")
     marked = stored(rows.mapInArrow(_digests, schema_of(rows, "digest binary")), "near-vectors").withColumn("cid", F.when(F.col("digest").isNotNull(), F.xxhash64("label", "digest")))
@@ -201,6 +209,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     classes = stored(classes, "near-classes")
     largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     hashes = max(1, math.ceil(math.log(max(1, largest) / BUCKET) / math.log(64))) if largest else 1
+    usual = index_shape(hashes)
+    tables, probes = tables or usual[0], probes or usual[1]
     kind = classes.schema["label"].dataType.simpleString()
     shape = f"cid long, label {kind}, n long, dims int, vector binary, keys binary, key long"
     emitted = classes.select("cid", "label", "n", "embedding").mapInArrow(lambda it: _emit(it, hashes, tables, probes), shape)

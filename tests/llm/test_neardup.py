@@ -101,3 +101,17 @@ def test_recall(spark, sf):
         assert (mine <= near).all()
         found, want = found + mine.sum(), want + near.sum()
     assert found >= 0.97 * want
+
+
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4])
+@pytest.mark.parametrize("d", [64, 256])
+def test_recall_stays_with_more_hashes(hashes, d):
+    """Pairs right at the threshold share a bucket, whatever the number of hashes."""
+    rng = np.random.default_rng(hashes)
+    n, (tables, probes) = 1500, neardup.index_shape(hashes)
+    x, y = rng.normal(size=(2, n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = (neardup.bucket_keys(v, hashes, tables, probes).reshape(n, tables, probes) for v in (x, 0.93 * x + np.sqrt(1 - 0.93**2) * y))
+    assert (a[..., None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.99
