@@ -61,8 +61,10 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a new temporary one only where the session names none and is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", found)

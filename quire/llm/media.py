@@ -2,11 +2,13 @@
 
 `write_flac` stores each text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, as signed 8-bit mono
 samples. `read_flac` decodes stored streams, verifies header, frame and stream checksums and gives the samples back with
-the offset of each block; a stream that fails a check has its message in `error` and null samples. `pcm_blocks` gives one
-row per block, which can be sought by sample offset.
+the offset of each block; a stream that fails a check has its message in `error` and null samples. `pcm_range` seeks: it
+decodes only the frames that hold the samples asked for. `pcm_blocks` gives one row per block with its sample offset.
+The query writes the streams to the shared folder, reads them back, and takes the last samples by seeking.
 
-Defined cases: null text is empty (64 zero bytes); equal texts give equal streams; null media gives null samples and the
-error `no media`; rows that repeat an id are worked on each; an empty table stays empty; other columns are dropped.
+Defined cases: null text is empty (64 zero bytes); equal texts give equal streams; a very long text is one stream, coded a
+frame at a time and worked on alone; null media gives null samples and the error `no media`; rows that repeat an id are
+worked on each; an empty table stays empty; other columns are dropped, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, text_parts, text_slices
+from quire.llm.common import schema_of, stored, table, text_parts, text_slices
 
 PAD = 64
 #: Text bytes that one call of the codec gets at most (a longer text goes alone).
@@ -89,6 +91,34 @@ def read_flac(media: DataFrame) -> DataFrame:
     return media.select(*head, "media").mapInArrow(_read, f"{shape}, pcm binary, blocks array<struct<sample_offset: bigint, n_samples: int>>, feature string, error string")
 
 
+def _sought(batches: Iterator[pa.RecordBatch], first: int, count: int) -> Iterator[pa.RecordBatch]:
+    from quire.llm import flac
+
+    def one(stream) -> bytes | None:
+        try:
+            return flac.seek([stream], first, count)[0].tobytes()
+        except (flac.FlacError, IndexError, ValueError):
+            return None
+
+    for batch in batches:
+        media = batch.column(batch.num_columns - 1).to_pylist()
+        for part in text_slices([len(m or b"") for m in media], AT_ONCE):
+            mine = media[part]
+            try:
+                found = iter([x.tobytes() for x in flac.seek([m for m in mine if m is not None], first, count)])
+                ranges = [None if m is None else next(found) for m in mine]
+            except (flac.FlacError, IndexError, ValueError):  # a damaged stream among them: each alone
+                ranges = [None if m is None else one(m) for m in mine]
+            yield pa.RecordBatch.from_arrays([batch.column(i).slice(part.start, len(mine)) for i in range(batch.num_columns)] + [pa.array(ranges, pa.binary())], [*batch.schema.names, "range"])
+
+
+def pcm_range(media: DataFrame, first: int, count: int) -> DataFrame:
+    """(..., media) -> the same with range: `count` samples from offset `first` (below zero: from the end); null where media is null or damaged there."""
+    head = [c for c in media.columns if c != "media"]
+    rows = media.select(*head, "media")
+    return rows.mapInArrow(lambda it: _sought(it, first, count), schema_of(rows, "range binary"))
+
+
 def pcm_blocks(read: DataFrame, sample_bytes: int = 1) -> DataFrame:
     """One row per block: doc_id, sample_offset, n_samples, pcm."""
     each = read.select("doc_id", "pcm", F.explode("blocks").alias("b"))
@@ -97,13 +127,14 @@ def pcm_blocks(read: DataFrame, sample_bytes: int = 1) -> DataFrame:
 
 
 def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_flac(write_flac(table(spark, sf_dir, "documents")))
+    media = stored(write_flac(table(spark, sf_dir, "documents")), "media")
+    read = read_flac(pcm_range(media, -PAD, PAD))
     return read.select(
         "doc_id",
         "n_bytes",
         F.octet_length("pcm").cast("long").alias("payload_bytes"),
         F.sha2("pcm", 256).alias("payload_sha256"),
-        F.crc32(F.substr("pcm", F.octet_length("pcm") - (PAD - 1), F.lit(PAD))).alias("tail_crc32"),
+        F.crc32("range").alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",

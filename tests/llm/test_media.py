@@ -112,3 +112,19 @@ def test_query(spark, sf_dir):
         raw = texts[r.doc_id]
         p = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+
+
+def test_seeking_decodes_what_a_slice_holds(spark):
+    rng = np.random.default_rng(8)
+    raw = [rng.integers(90, 110, 64 * n, dtype=np.uint8).tobytes() for n in (1, 3, 400, 900)]
+    streams = flac.encode(raw)
+    plain, pcm = lpc_stream(np.cumsum(rng.integers(-40, 41, 256)).tolist(), 2, 2)
+    for first, count in ((0, 10), (-64, 64), (5000, 9000), (40, 1), (4095, 2), (-1, 5), (10**7, 3)):
+        got = flac.seek([*streams, plain], first, count)
+        for x, want in zip(got, [*(np.frombuffer(p, np.int8) for p in raw), pcm]):
+            a = max(0, len(want) + first) if first < 0 else first
+            assert x.tobytes() == want[a : a + count].tobytes(), (first, count)
+    broken = bytearray(streams[2])
+    broken[-3] ^= 1
+    df = spark.createDataFrame([(0, streams[3]), (1, bytes(broken)), (2, None), (3, b"no")], "doc_id long, media binary").coalesce(1)
+    assert [None if r.range is None else bytes(r.range) for r in media.pcm_range(df, -8, 8).collect()] == [raw[3][-8:], None, None, None]
