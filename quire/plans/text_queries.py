@@ -398,11 +398,6 @@ def q_join_paragraphs(spark, sf_dir):
 
 
 def q_levenshtein(spark, sf_dir):
-    b = view(spark, sf_dir, "plain").select("doc_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 3, 40).alias("b")).filter(~F.concat("a", "b").rlike("[^\\x00-\\x7F]"))
-    return b.select("doc_id", F.levenshtein("a", "b").alias("distance"))
-
-
-def q_levenshtein_all(spark, sf_dir):
     """All review rows, whole texts of any script; DuckDB's distance is of bytes, so there is no SQL."""
     return review_rows(spark, sf_dir).select("doc_id", "idx", fn.edit_distance(F.col("original_text"), F.col("suggested_text")).alias("distance"))
 
@@ -599,8 +594,7 @@ QUERIES = {
     "set_review_union": (q_review_union, SQL_REVIEW_UNION),
     "fn_local_vector": (q_local_vector, SQL_LOCAL_VECTOR),
     "fn_cosine": (q_cosine, oracle(f"SELECT a.idx, round({COS.format('a.vec', 'b.vec')}, 6) AS cosine FROM vectors a JOIN vectors b ON a.idx = b.idx + 1")),
-    "fn_levenshtein": (q_levenshtein, "SELECT doc_id, CAST(levenshtein(substr(text, 1, 40), substr(text, 3, 40)) AS INT) AS distance FROM documents WHERE NOT regexp_matches(substr(text, 1, 40) || substr(text, 3, 40), '[^\\x00-\\x7F]')"),
-    "fn_levenshtein_all": (q_levenshtein_all, None),
+    "fn_levenshtein": (q_levenshtein, None),
     "fn_positional_similarity": (q_positional, SQL_POSITIONAL),
     "fn_normalize_paragraph": (lambda s, d: paragraphs(s, d).select("doc_id", "idx", fn.normalize_paragraph(F.col("text")).alias("norm")), oracle(f"SELECT doc_id, idx, {NORM} AS norm FROM paragraphs")),
     "fn_utrim": (lambda s, d: digest(view(s, d, "seeded").withColumn("text", fn.utrim(F.concat(F.lit("　 "), "text", F.lit("  "))))), sql_text(f"regexp_replace(concat('　 ', text, chr(160), chr(8195)), '{T}', '', 'g')")),

@@ -132,5 +132,5 @@ def test_distances_of_whole_texts(spark, sf_dir):
     pairs = [("", ""), ("", "é"), ("kitten", "sitting"), (same, same + "x"), (same, same[:100] + "ü" + same[103:]), (same, same[::-1]), ("a" * 300, "b" * 290), ("😀é", "é😀"), ("x" * 17 + same, same)]
     got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", edit_distance(F.col("a"), F.col("b"))).collect()
     assert dict(map(tuple, got)) == {i: brute_distance(a, b) for i, (a, b) in enumerate(pairs)}
-    rows = registry.queries()["fn_levenshtein_all"](spark, sf_dir).collect()
+    rows = registry.queries()["fn_levenshtein"](spark, sf_dir).collect()
     assert len(rows) == review(spark, sf_dir).count() and {r.distance for r in rows} == {1}
