@@ -97,6 +97,83 @@ NAMES = [
     ("openrail", "openrail", r"open ?rail(?: m)? licen[sc]e|responsible ai licen[sc]e"),
     ("hippocratic-2.1", "hippocratic 2 1", r"hippocratic licen[sc]e"),
     ("cc0-1.0", "cc0 1 0", r"(?:creative commons )?(?:cc0|cc zero)(?: 1 0)?(?: universal)?(?: licen[sc]e)?"),
+    ("adobe-2006", "adobe 2006", r"adobe systems incorporated(?: open source)? licen[sc]e"),
+    ("aladdin", "aladdin", r"aladdin free public licen[sc]e"),
+    ("apl-1.0", "apl 1 0", r"adaptive public licen[sc]e"),
+    ("apsl-1.0", "apsl 1 0", r"apple public source licen[sc]e " + V + "1 0"),
+    ("bittorrent-1.1", "bittorrent 1 1", r"bittorrent open source licen[sc]e"),
+    ("borceux", "borceux", r"borceux licen[sc]e"),
+    ("cal-1.0", "cal 1 0", r"cryptographic autonomy licen[sc]e"),
+    ("catosl-1.1", "catosl 1 1", r"computer associates trusted open source licen[sc]e"),
+    ("cdla-permissive", "cdla permissive 2 0", r"community data licen[sc]e agreement permissive"),
+    ("cdla-sharing", "cdla sharing 1 0", r"community data licen[sc]e agreement sharing"),
+    ("cern-ohl-p", "cern ohl p 2 0", r"cern open hardware licen[sc]e(?: " + V + "2)? permissive"),
+    ("cern-ohl-s", "cern ohl s 2 0", r"cern open hardware licen[sc]e(?: " + V + "2)? strongly reciprocal"),
+    ("cern-ohl-w", "cern ohl w 2 0", r"cern open hardware licen[sc]e(?: " + V + "2)? weakly reciprocal"),
+    ("clartistic", "clartistic", r"clarified artistic licen[sc]e"),
+    ("cnri-python", "cnri python", r"cnri (?:open source )?licen[sc]e agreement"),
+    ("condor-1.1", "condor 1 1", r"condor public licen[sc]e"),
+    ("cpal-1.0", "cpal 1 0", r"common public attribution licen[sc]e"),
+    ("cpol-1.02", "cpol 1 02", r"code project open licen[sc]e"),
+    ("cua-opl-1.0", "cua opl 1 0", r"cua office public licen[sc]e"),
+    ("d-fsl-1.0", "d fsl 1 0", r"deutsche freie software lizenz licen[sc]e"),
+    ("ecl-2.0", "ecl 2 0", r"educational community licen[sc]e"),
+    ("efl-2.0", "efl 2 0", r"eiffel forum licen[sc]e"),
+    ("entessa", "entessa", r"entessa public licen[sc]e"),
+    ("etalab-2.0", "etalab 2 0", r"etalab open licen[sc]e"),
+    ("eudatagrid", "eudatagrid", r"eu datagrid software licen[sc]e"),
+    ("fair", "fair", r"fair licen[sc]e"),
+    ("frameworx-1.0", "frameworx 1 0", r"frameworx open licen[sc]e"),
+    ("ftl", "ftl", r"freetype(?: project)? licen[sc]e"),
+    ("hpnd", "hpnd", r"historical permission notice and disclaimer"),
+    ("icu", "icu", r"icu licen[sc]e"),
+    ("ijg", "ijg", r"independent jpeg group licen[sc]e"),
+    ("imagemagick", "imagemagick", r"imagemagick licen[sc]e"),
+    ("intel", "intel", r"intel open source licen[sc]e"),
+    ("ipa", "ipa", r"ipa font licen[sc]e"),
+    ("jasper-2.0", "jasper 2 0", r"jasper licen[sc]e"),
+    ("liliq-p-1.1", "liliq p 1 1", r"licence libre du quebec permissive"),
+    ("lpl-1.02", "lpl 1 02", r"lucent public licen[sc]e"),
+    ("miros", "miros", r"miros licen[sc]e"),
+    ("motosoto", "motosoto", r"motosoto open source licen[sc]e"),
+    ("multics", "multics", r"multics licen[sc]e"),
+    ("nasa-1.3", "nasa 1 3", r"nasa open source(?: agreement)? licen[sc]e"),
+    ("naumen", "naumen", r"naumen public licen[sc]e"),
+    ("netcdf", "netcdf", r"netcdf licen[sc]e"),
+    ("ngpl", "ngpl", r"nethack general public licen[sc]e"),
+    ("nokia", "nokia", r"nokia open source licen[sc]e"),
+    ("nosl", "nosl", r"netizen open source licen[sc]e"),
+    ("npl-1.1", "npl 1 1", r"netscape public licen[sc]e"),
+    ("nposl-3.0", "nposl 3 0", r"non profit open software licen[sc]e"),
+    ("ntp", "ntp", r"ntp licen[sc]e"),
+    ("oclc-2.0", "oclc 2 0", r"oclc research public licen[sc]e"),
+    ("ogc-1.0", "ogc 1 0", r"ogc software licen[sc]e"),
+    ("ogl-uk-3.0", "ogl uk 3 0", r"open government licen[sc]e(?: " + V + "3 0)?"),
+    ("ogtsl", "ogtsl", r"open group test suite licen[sc]e"),
+    ("oldap-2.8", "oldap 2 8", r"openldap public licen[sc]e"),
+    ("oset-pl-2.1", "oset pl 2 1", r"oset(?: foundation)? public licen[sc]e"),
+    ("polyform-nc-1.0.0", "polyform noncommercial 1 0 0", r"polyform noncommercial licen[sc]e"),
+    ("polyform-sb-1.0.0", "polyform small business 1 0 0", r"polyform small business licen[sc]e"),
+    ("ppl", "ppl", r"peer production licen[sc]e"),
+    ("rpl-1.5", "rpl 1 5", r"reciprocal public licen[sc]e"),
+    ("rpsl-1.0", "rpsl 1 0", r"realnetworks public source licen[sc]e"),
+    ("rscpl", "rscpl", r"ricoh source code public licen[sc]e"),
+    ("sgi-b-2.0", "sgi b 2 0", r"sgi free software licen[sc]e b"),
+    ("simpl-2.0", "simpl 2 0", r"simple public licen[sc]e"),
+    ("sissl", "sissl", r"sun industry standards source licen[sc]e"),
+    ("spl-1.0", "spl 1 0", r"sun public licen[sc]e"),
+    ("tcl", "tcl", r"tcl tk licen[sc]e"),
+    ("ucl-1.0", "ucl 1 0", r"upstream compatibility licen[sc]e"),
+    ("unicode-dfs-2016", "unicode dfs 2016", r"unicode licen[sc]e agreement"),
+    ("vsl-1.0", "vsl 1 0", r"vovida software licen[sc]e"),
+    ("watcom-1.0", "watcom 1 0", r"sybase open watcom public licen[sc]e"),
+    ("wxwindows", "wxwindows", r"wxwindows library licen[sc]e"),
+    ("xfree86-1.1", "xfree86 1 1", r"xfree86 licen[sc]e"),
+    ("xnet", "xnet", r"x net licen[sc]e"),
+    ("yahoo-1.1", "ypl 1 1", r"yahoo public licen[sc]e"),
+    ("zend-2.0", "zend 2 0", r"zend(?: engine)? licen[sc]e"),
+    ("zimbra-1.3", "zimbra 1 3", r"zimbra public licen[sc]e"),
+    ("zpl-2.1", "zpl 2 1", r"zope public licen[sc]e"),
 ]
 
 # Passages of the licences themselves (label, regex).
@@ -131,6 +208,21 @@ PASSAGES = [
     ("proprietary", r"unauthorized (?:copying|use|reproduction)(?: or distribution)? of this(?: [^ ]+){1,4} is (?:strictly )?prohibited"),
     ("proprietary", r"(?:no part of this [^ ]+ )?may not be reproduced(?: [^ ]+){0,12} without(?: the)?(?: prior)?(?: written)? permission"),
     ("proprietary", r"proprietary and confidential|confidential and proprietary"),
+    ("artistic-2.0", r"this license establishes the terms under which a given free software package may be copied modified"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license"),
+    ("npl-1.1", r"the contents of this file are subject to the netscape public license"),
+    ("cecill", r"this software is governed by the cecill(?: [bc])? license under french law"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee"),
+    ("hpnd", r"that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("ncsa", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with"),
+    ("libpng", r"permission is hereby granted to use copy modify and distribute this source code or portions hereof for any purpose"),
+    ("openssl", r"redistributions of any form whatsoever must retain the following acknowledgment this product includes software developed by the openssl project"),
+    ("lppl", r"this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("eupl", r"licensed under the eupl"),
+    ("cc-by-sa", r"permission is granted(?: [^ ]+){0,6} under the creative commons attribution share ?alike"),
+    ("public-domain", r"the author(?:s)? (?:of this [^ ]+ )?disclaims? copyright to this source code"),
+    ("proprietary", r"trade secrets?(?: [^ ]+){0,6} may not be disclosed without(?: prior)? written permission"),
 ]
 
 # General mentions (label, regex).
