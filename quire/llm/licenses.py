@@ -5,8 +5,9 @@ occurs are tried; each match is a detection (start, end in words, rule). A detec
 priority contains it (of equal spans and priorities the earlier rule stays). Phrases counted in any case (`base`) are
 separate from the rules, and their labels always stay.
 
-Defined cases: null text is empty; an empty text has no words, no labels and score 0; rows that repeat an id are scanned
-each; other columns are ignored.
+Defined cases: null text is empty; an empty text has no words, no labels and score 0; a very long text is scanned whole;
+rows that repeat an id are scanned each; an empty table gives an empty result; other columns stay, but ones named like a
+result column are replaced.
 """
 
 from __future__ import annotations
