@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Words are dealt in blocks of equal size. Each source's target is a number of blocks; the blocks go to the
-sources by the highest quotients target / (2s + 1), then from each source to its shards (and through nodes of
-at most FAN shards, so that no ranking sees more than FAN parties of a source), and in each shard a seeded
+sources by the highest quotients target / (2s + 1), then from each source to its shards, and in each shard a seeded
 permutation of the shard's blocks says which of them the quota takes. A quota above the number of blocks goes
-round the shard again.
+round the shard again. Where there are more than 2 ** FAN_BITS sources, or shards of a source, the blocks go down a
+tree of as many parties a node, so that no ranking sees more of them.
 
 Defined cases: null text has size 0 and is never taken; null source is a source of its own, ranked last; rows
 that repeat an id count as rows of their own; an empty table gives an empty result; other columns stay as they
@@ -36,29 +36,42 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
+def running(rows: DataFrame, order: dict[str, Column], sums: dict[str, Column], label: str) -> DataFrame:
+    """Adds for each name in sums the sum of its column over the rows before and at this one, in the given order (a total one).
+
+    Rows are dealt by ranges of the order and written, the few ranges are summed up, and each range is summed within: no task
+    sees more than one range, however many rows there are.
+    """
+    keyed = rows.withColumns(order).repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
+    held = stored(keyed.withColumns({f"{name}_": c for name, c in sums.items()}), label)
+    ranges = held.groupBy("range_").agg(*[F.sum(f"{name}_").alias(name) for name in sums])
+    earlier = W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select("range_", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_start_") for name in sums])
+    within = W.partitionBy("range_").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    # One row a range, so no more rows than the shuffle has partitions.
+    summed = held.join(F.broadcast(starts), "range_").withColumns({name: F.col(f"{name}_start_") + F.sum(f"{name}_").over(within) for name in sums})
+    return summed.drop("range_", *order, *[f"{name}{end}" for name in sums for end in ("_", "_start_")])
+
+
 def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row per source: source, source_id, source_size, target.
 
-    Sorted by cap / weight, the level is (words left) / (weight left) at the first source that it does not fill.
-    The windows run over one row per source.
+    Sorted by cap / weight, the level is (words left) / (weight left) at the first source that it does not fill. Names are ranked
+    and words summed in that order by ranges, so sources may be as many as web hosts.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    name = W.orderBy(F.col("source").isNull(), F.col("source"))
-    ranked = sums.withColumn("source_id", F.row_number().over(name).cast("long")).withColumn(
+    named = running(sums, {"unnamed_": F.col("source").isNull(), "name_": F.col("source")}, {"source_id": F.lit(1).cast("long")}, "mix-names")
+    ranked = named.withColumn(
         "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("source_id") - 1, F.lit(len(weights))) + 1).cast("int"))
-    )
-    everything = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = W.orderBy("full_at", "source_id").rowsBetween(W.unboundedPreceding, -1)
-    leveled = (
-        ranked.withColumn("most", F.col("source_size") * F.lit(float(cap)))
-        .withColumn("full_at", F.col("most") / F.col("weight"))
-        .withColumn("words_left", F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("words_left") / F.col("weight_left"))
-        .withColumn("first", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "source_id", "level"))).over(everything))
-    )
-    target = F.least(F.col("most"), F.col("first.level") * F.col("weight"))
-    return leveled.select("source", "source_id", "source_size", F.coalesce(target, F.col("most")).alias("target"))
+    ).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    order = {"full_at": F.col("most") / F.col("weight"), "id_": F.col("source_id")}
+    leveled = running(ranked, order, {"full": F.col("most"), "weighed": F.col("weight")}, "mix-levels")
+    words, weight = leveled.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(words) - F.col("full") + F.col("most")) / (F.lit(weight) - F.col("weighed") + F.col("weight"))
+    found = leveled.select("source_id", (F.col("most") / F.col("weight")).alias("full_at"), level.alias("level")).filter("level <= full_at")
+    first = found.agg(F.min(F.struct("full_at", "source_id", "level"))).first()[0]
+    target = F.least(F.col("most"), F.lit(first.level) * F.col("weight")) if first else F.col("most")
+    return leveled.select("source", "source_id", "source_size", target.alias("target"))
 
 
 def sainte_lague(parties: DataFrame, group: list[str], key: str) -> DataFrame:
@@ -68,7 +81,7 @@ def sainte_lague(parties: DataFrame, group: list[str], key: str) -> DataFrame:
     seats by n / 2 at most; so a party's seats lie within share * n / 2 + 1/2 of its exact claim. Only the quotients
     in that range are ranked, about 4 n of them, and those below it are won for certain.
     """
-    whole = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
+    whole = W.partitionBy(*group)
     p = (
         parties.withColumn("n_", F.count(F.lit(1)).over(whole))
         .withColumn("all_", F.sum("votes").over(whole))
@@ -93,26 +106,34 @@ def join_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return mine.join(salted, F.col("source").eqNullSafe(F.col("source_")) & (F.col("salt") == F.col("salt_"))).drop("source_", "salt", "salt_")
 
 
-def shard_quotas(shards: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
-    """(source_id, shard, votes) and sources with targets -> (source_id, node = shard, quota)."""
-    most = shards.agg(F.max("shard")).first()[0] or 0
+def descended(leaves: DataFrame, group: list[str], key: str, seats: DataFrame) -> DataFrame:
+    """The seats (columns group, seats) given down a tree of FAN parties a node to the leaves (group, key, votes): group, node = key, quota.
+
+    Votes are summed as decimals, so that the sums don't depend on the order of rows.
+    """
+    most = leaves.agg(F.max(key)).first()[0] or 0
     levels = 1
     while most >> (FAN_BITS * levels):
         levels += 1
-    votes = sources.select("source_id", F.col("target").alias("votes"))
-    whole = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    votes = votes.withColumn("seats", F.round(F.sum("votes").over(whole) / block_words).cast("long"))
-    above = sainte_lague(votes, [], "source_id").withColumn("node", F.lit(0).cast("long"))
+    above = seats.select(*group, F.lit(0).cast("long").alias("node"), F.col("seats").alias("quota"))
     for level in reversed(range(levels)):
         nodes = (
-            shards.withColumn("node", F.shiftright("shard", FAN_BITS * level))
-            .groupBy("source_id", "node")
-            .agg(F.sum("votes").alias("votes"))
+            leaves.withColumn("node", F.shiftright(key, FAN_BITS * level))
+            .groupBy(*group, "node")
+            .agg(F.sum(F.col("votes").cast("decimal(28,6)")).cast("double").alias("votes"))
             .withColumn("parent", F.shiftright("node", FAN_BITS))
         )
-        given = above.select("source_id", F.col("node").alias("parent"), F.col("quota").alias("seats"))
-        above = sainte_lague(nodes.join(given, ["source_id", "parent"]), ["source_id", "parent"], "node")
-    return above.select("source_id", "node", "quota")
+        given = above.select(*group, F.col("node").alias("parent"), F.col("quota").alias("seats"))
+        above = sainte_lague(nodes.join(given, [*group, "parent"]), [*group, "parent"], "node")
+    return above.select(*group, "node", "quota")
+
+
+def shard_quotas(shards: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
+    """(source_id, shard, votes) and sources with targets -> (source_id, node = shard, quota)."""
+    votes = sources.select("source_id", F.col("target").alias("votes"))
+    seats = votes.agg(F.round(F.coalesce(F.sum(F.col("votes").cast("decimal(28,6)")), F.lit(0)).cast("double") / block_words).cast("long").alias("seats"))
+    won = stored(descended(votes, [], "source_id", seats), "mix-quotas")
+    return descended(shards, ["source_id"], "shard", won.select(F.col("node").alias("source_id"), F.col("quota").alias("seats")))
 
 
 def mix(

@@ -65,3 +65,57 @@ def test_mix_cases(spark):
     count = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in made.collect())
     assert count == got.taken.sum()
     assert mixing.mix(rows.limit(0)).count() == 0
+
+
+def down_the_tree(votes, seats, bits):
+    """The seats by highest quotients from node to node; votes: {id: votes}."""
+    level = 0
+    while max(votes) >> (bits * (level + 1)):
+        level += 1
+    above = {0: seats}
+    while level >= 0:
+        nodes = {}
+        for i, v in votes.items():
+            nodes[i >> (bits * level)] = nodes.get(i >> (bits * level), 0) + v
+        below = {}
+        for parent, n in above.items():
+            mine = sorted(x for x in nodes if x >> bits == parent)
+            below |= dict(zip(mine, greedy([nodes[x] for x in mine], n)))
+        above, level = below, level - 1
+    return above
+
+
+def test_many_sources_go_down_a_tree(spark, monkeypatch):
+    """All of the mix again in plain Python: targets, quotas of sources and shards, and the blocks that quotas take."""
+    monkeypatch.setattr(mixing, "FAN_BITS", 2)
+    rng = np.random.default_rng(8)
+    docs = [(i, f"h{int(rng.pareto(0.6)) % 23:02d}", int(rng.integers(1, 400))) for i in range(900)] + [(900 + i, "h00", 0) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, size long")
+    got = mixing.mix(df, shard_words=1500).toPandas()
+    names = sorted({d[1] for d in docs})
+    assert len(names) > 16 and got.shard.max() > 16
+    sizes = [sum(d[2] for d in docs if d[1] == name) for name in names]
+    targets = fill(sizes)
+    ids = got.drop_duplicates("source_id").set_index("source_id")
+    assert np.allclose([ids.target[i + 1] for i in range(len(names))], targets)
+    quotas = down_the_tree({i + 1: t for i, t in enumerate(targets)}, round(sum(sizes) / mixing.BLOCK_WORDS), 2)
+    for i, mine in got[got["size"] > 0].groupby("source_id"):
+        by_shard = down_the_tree(mine.groupby("shard")["size"].sum().to_dict(), quotas[i], 2)
+        for shard, rows in mine.groupby("shard"):
+            words = int(rows["size"].sum())
+            blocks = -(-words // mixing.BLOCK_WORDS)
+            quota = min(by_shard[shard], 3 * blocks)
+            assert (rows.quota == quota).all() and (rows.n_blocks == blocks).all()
+            shift = int(rows.shift_.iloc[0])
+            taken = np.repeat([quota // blocks + ((b * mixing.STEP + shift) % blocks < quota % blocks) for b in range(blocks)], mixing.BLOCK_WORDS)[:words]
+            at = 0
+            for r in rows.sort_values(["order_", "doc_id", "size"]).itertuples():
+                assert r.taken == taken[at : at + r.size].sum()
+                at += r.size
+    assert (got[got["size"] == 0].taken == 0).all()
+
+
+def test_running_sums_cross_ranges(spark):
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("k"))
+    got = mixing.running(df.repartition(5), {"o_": F.col("k")}, {"total": F.col("k"), "place": F.lit(1)}, "test").collect()
+    assert all(r.total == r.k * (r.k + 1) // 2 and r.place == r.k + 1 for r in got) and len(got) == 1000
