@@ -79,9 +79,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Labels that a model is learned for: each has parameters of its own in every task, so more of them are an error.
+MOST_LABELS = 10_000
+
+
 def bounded_sample(rows: DataFrame, key: str, label: str, most: int, seed: int) -> DataFrame:
-    """About `most` rows of each label at most: those whose hashed key lies below most / count. Same rows each time; all of them if fewer."""
+    """About `most` rows of each label at most: those whose hashed key lies below most / count. Same rows each time; all of them if fewer.
+
+    The counts of the labels, MOST_LABELS at most, are broadcast.
+    """
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("count_"))
+    found = counts.limit(MOST_LABELS + 1).collect()
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}")
+    counts = rows.sparkSession.createDataFrame(found, counts.schema)
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("count_"))
     place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     return rows.join(F.broadcast(counts), label).filter(place < share).drop("count_")

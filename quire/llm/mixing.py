@@ -106,8 +106,8 @@ def join_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return mine.join(salted, F.col("source").eqNullSafe(F.col("source_")) & (F.col("salt") == F.col("salt_"))).drop("source_", "salt", "salt_")
 
 
-def descended(leaves: DataFrame, group: list[str], key: str, seats: DataFrame) -> DataFrame:
-    """The seats (columns group, seats) given down a tree of FAN parties a node to the leaves (group, key, votes): group, node = key, quota.
+def descended(leaves: DataFrame, group: list[str], key: str, above: DataFrame) -> DataFrame:
+    """The roots' seats (above: group, node = 0, quota) given down a tree to the leaves (group, key, votes): group, node = key, quota.
 
     Votes are summed as decimals, so that the sums don't depend on the order of rows.
     """
@@ -115,7 +115,6 @@ def descended(leaves: DataFrame, group: list[str], key: str, seats: DataFrame) -
     levels = 1
     while most >> (FAN_BITS * levels):
         levels += 1
-    above = seats.select(*group, F.lit(0).cast("long").alias("node"), F.col("seats").alias("quota"))
     for level in reversed(range(levels)):
         nodes = (
             leaves.withColumn("node", F.shiftright(key, FAN_BITS * level))
@@ -131,9 +130,11 @@ def descended(leaves: DataFrame, group: list[str], key: str, seats: DataFrame) -
 def shard_quotas(shards: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
     """(source_id, shard, votes) and sources with targets -> (source_id, node = shard, quota)."""
     votes = sources.select("source_id", F.col("target").alias("votes"))
-    seats = votes.agg(F.round(F.coalesce(F.sum(F.col("votes").cast("decimal(28,6)")), F.lit(0)).cast("double") / block_words).cast("long").alias("seats"))
+    root = F.lit(0).cast("long").alias("node")
+    words = F.coalesce(F.sum(F.col("votes").cast("decimal(28,6)")), F.lit(0)).cast("double")
+    seats = stored(votes.agg(F.round(words / block_words).cast("long").alias("quota")).select(root, "quota"), "mix-seats")
     won = stored(descended(votes, [], "source_id", seats), "mix-quotas")
-    return descended(shards, ["source_id"], "shard", won.select(F.col("node").alias("source_id"), F.col("quota").alias("seats")))
+    return descended(shards, ["source_id"], "shard", won.select(F.col("node").alias("source_id"), root, "quota"))
 
 
 def mix(
