@@ -16,6 +16,7 @@ MODULES = {
     "op2_license_scan": "licenses",
     "op7_chat_format": "chat",
     "op9_source_mix": "mixing",
+    "op11_substring_dedup": "substrings",
     "op12_embedding_whitening": "whitening",
 }
 
