@@ -17,6 +17,7 @@ MODULES = {
     "op7_chat_format": "chat",
     "op9_source_mix": "mixing",
     "op11_substring_dedup": "substrings",
+    "op13_phrase_mining": "phrases",
     "op12_embedding_whitening": "whitening",
 }
 
