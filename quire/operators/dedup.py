@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.text import cosine, local_vector, normalize_paragraph
+from quire.functions.text import local_vector, normalize_paragraph
 
 # Least normalised length that takes part, predecessors compared, cosine from which paragraphs are alike.
 MIN_LENGTH, WINDOW, THRESHOLD = 5, 300, 0.95
@@ -44,24 +48,108 @@ def near_paragraphs(paragraphs: DataFrame, window: int = WINDOW, threshold: floa
     """
     rest = exact_duplicates(paragraphs).filter(~F.col("is_dup") & (F.char_length("norm") >= MIN_LENGTH))
     vectors = rest.select(F.col("doc_id").alias("file_id"), "idx", local_vector(F.col("text")).alias("vec"))
-    pairs = near_duplicates(vectors, window, threshold)
+    pairs = near_duplicates(vectors, window, threshold, nearest=True)
     return pairs.groupBy(F.col("file_id").alias("doc_id"), F.col("i").alias("idx")).agg(F.max("j").alias("near_idx"), F.max_by("sim", "j").alias("sim"))
 
 
-def near_duplicates(rows: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
+#: Places of a file that one group compares, and rows that one matrix product does.
+STRETCH, ROWS = 4096, 256
+
+
+def _stretches(rows: DataFrame, window: int, stretch: int) -> DataFrame:
+    """Rows by stretches of a file's places: each in its own, and as an earlier row also in the next ones that its window reaches."""
+    own = F.floor(F.col("idx") / stretch).cast("long")
+    reach = F.floor((F.col("idx") + window) / stretch).cast("long")
+    dealt = rows.select("*", own.alias("own"), F.explode(F.sequence(own, reach)).alias("part"))
+    return dealt.select("file_id", "part", F.lit(0).cast("long").alias("other"), (F.col("part") == F.col("own")).alias("later"), F.lit(True).alias("earlier"), "idx", "vec")
+
+
+def _stretch_pairs(rows: DataFrame, stretch: int) -> DataFrame:
+    """Rows by pairs of a file's stretches, so that all rows of a file meet though no group has more than two stretches."""
+    own = F.floor(F.col("idx") / stretch).cast("long")
+    spans = rows.groupBy("file_id").agg(F.min(own).alias("first_"), F.max(own).alias("last_"))
+    dealt = rows.join(spans, "file_id").withColumn("own", own).withColumn("at", F.explode(F.sequence("first_", "last_")))
+    later, earlier = F.col("at") <= F.col("own"), F.col("at") >= F.col("own")
+    return dealt.select("file_id", F.greatest("own", "at").alias("part"), F.least("own", "at").alias("other"), later.alias("later"), earlier.alias("earlier"), "idx", "vec")
+
+
+def _matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the vectors, padded with zeros, and their lengths; a null or zero vector is a row of zeros, one with a null or NaN is of NaNs."""
+    n = np.diff(lists.offsets.to_numpy()) if lists.null_count == 0 else np.array([len(v) if v is not None else 0 for v in lists.to_pylist()])
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    x = np.zeros((len(n), int(n.max(initial=1)) or 1))
+    x[np.arange(x.shape[1]) < n[:, None]] = flat
+    largest = np.abs(x).max(axis=1)
+    x /= np.where(largest > 0, largest, 1.0)[:, None]  # so that squares neither over- nor underflow
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(norm > 0, norm, 1.0)[:, None], np.where(lists.is_null().to_numpy(zero_copy_only=False), -1, n)
+
+
+def _alike(group: pa.Table, window: int, threshold: float, nearest: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, sim) within a group whose rows are in order of idx: blocks of later rows against the earlier rows in reach."""
+    idx = group["idx"].to_numpy()
+    x, n = _matrix(group["vec"].combine_chunks())
+    later, earlier = (np.flatnonzero(group[c].to_numpy(zero_copy_only=False) & (n >= 0)) for c in ("later", "earlier"))
+    before, found = idx[earlier], []
+    for start in range(0, len(later), ROWS):
+        rows = later[start : start + ROWS]
+        reach = earlier[np.searchsorted(before, idx[rows[0]] - window) if window else 0 : np.searchsorted(before, idx[rows[-1]])]
+        for end in range(len(reach), 0, -4 * ROWS):  # the nearest ones first
+            some = reach[max(0, end - 4 * ROWS) : end]
+            sim = x[rows] @ x[some].T
+            sim[n[rows][:, None] != n[some]] = 0.0
+            gap = idx[rows][:, None] - idx[some]
+            hit = (sim >= threshold) & (gap > 0) & ((gap <= window) if window else True)
+            if nearest:
+                one = hit.any(axis=1)
+                last = len(some) - 1 - hit[:, ::-1].argmax(axis=1)
+                found.append((idx[rows[one]], idx[some[last[one]]], sim[one, last[one]]))
+                rows = rows[~one]
+                if not len(rows):
+                    break
+            else:
+                a, b = np.nonzero(hit)
+                found.append((idx[rows[a]], idx[some[b]], sim[a, b]))
+    return found
+
+
+def near_duplicates(rows: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, nearest: bool = False, stretch: int = STRETCH) -> DataFrame:
     """(file_id, idx, vec) -> (file_id, i, j, sim): earlier rows j within `window` places of i that are alike (0: all earlier ones).
 
-    The range join is an equi-join: each row meets the rows of its own stretch of `window` places and of the one before.
+    A file's places are cut into stretches, and each is a group of its own, with the rows before it that its window reaches; in it
+    blocks of unit vectors are compared by matrix products. With `nearest`, a row gives its nearest hit in each group only, and
+    earlier blocks are skipped once it is found. A zero vector, or one of another length, has similarity 0; null vectors have none.
     """
-    if window:
-        stretch = F.floor(F.col("idx") / window).cast("long")
-        left = rows.select("file_id", F.col("idx").alias("i"), F.col("vec").alias("v"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
-        right = rows.select("file_id", F.col("idx").alias("j"), F.col("vec").alias("u"), stretch.alias("stretch"))
-        pairs = left.join(right, ["file_id", "stretch"]).filter((F.col("j") < F.col("i")) & (F.col("i") - F.col("j") <= window))
-    else:
-        left, right = rows.select("file_id", F.col("idx").alias("i"), F.col("vec").alias("v")), rows.select("file_id", F.col("idx").alias("j"), F.col("vec").alias("u"))
-        pairs = left.join(right, "file_id").filter(F.col("j") < F.col("i"))
-    return pairs.withColumn("sim", cosine(F.col("v"), F.col("u"))).filter(F.col("sim") >= threshold).select("file_id", "i", "j", "sim")
+    known = rows.filter(F.col("file_id").isNotNull() & F.col("idx").isNotNull()).select("file_id", F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<double>").alias("vec"))
+    dealt = _stretches(known, window, max(stretch, window)) if window else _stretch_pairs(known, stretch)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            if held:
+                group = pa.Table.from_batches(held)
+                found = _alike(group, window, threshold, nearest)
+                if found:
+                    i, j, sim = (np.concatenate(c) for c in zip(*found))
+                    file = pa.array([group["file_id"][0].as_py()], group["file_id"].type).take(pa.array(np.zeros(len(i), np.int64)))
+                    yield pa.RecordBatch.from_arrays([file, pa.array(i), pa.array(j), pa.array(sim)], names=["file_id", "i", "j", "sim"])
+
+        key = lambda b, at: tuple(b.column(c)[at].as_py() for c in ("file_id", "part", "other"))
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("file_id", "part", "other")]
+            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), len(batch)] if len(batch) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if held and key(held[0], 0) != key(batch, a):
+                    yield from done()
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+        yield from done()
+
+    kind, place = rows.schema["file_id"].dataType.simpleString(), rows.schema["idx"].dataType.simpleString()
+    ordered = dealt.repartition("file_id", "part", "other").sortWithinPartitions("file_id", "part", "other", "idx")
+    found = ordered.mapInArrow(scan, f"file_id {kind}, i long, j long, sim double")
+    return found.select("file_id", F.col("i").cast(place).alias("i"), F.col("j").cast(place).alias("j"), "sim")
 
 
 def duplicates_to_lines(dups: DataFrame, lines: DataFrame) -> DataFrame:

@@ -78,12 +78,14 @@ def sql_garbled() -> str:
     return oracle(f"SELECT {DIGEST}, n_runs, n_chars_garbled FROM (SELECT doc_id, g{prev} AS text, r{prev} AS n_runs, c{prev} AS n_chars_garbled FROM ({inner}))")
 
 
-BLACKLIST = ["QQ群[^\n]*", "https?://[^ \n]+", "er[a-z]+nd"]
+BLACKLIST = ["QQ群[^\n]*", "https?://[^ \n]+", "(?P<head>er)[[:lower:]]+nd", r"\bthe\s", r"\p{Han}{4,}", r"\Q锟斤拷\E", r"(?i)\bÜB\w*"]
+#: What RE2 refuses is skipped.
+NO_PATTERNS = ["(unclosed", "", r"\h+", r"(?=a)", r"(a)\1", r"\p{IsHan}"]
 TYPO_MAP = {"因该": "应该", "以经": "已经", "the": "THE", "de la": "DE-LA"}
 
 
 def q_ad_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = F.array(*map(F.lit, [*BLACKLIST, "(unclosed", ""]))
+    patterns = F.array(*map(F.lit, [*BLACKLIST, *NO_PATTERNS]))
     return digest(clean.ad_blacklist(view(spark, sf_dir, "seeded").withColumn("ad_blacklist", patterns)))
 
 
@@ -100,17 +102,20 @@ def sql_typo_map() -> str:
 
 
 def default_rules(spark: SparkSession) -> list[tuple[str, str]]:
-    """The enabled rules whose patterns compile; a short list."""
-    rules = [(r["pattern"], r["replacement"]) for r in corpus.rules_table(spark).filter("enabled").orderBy("id").collect()]
-    valid = set(clean.valid_patterns(spark, [p for p, _ in rules]))
-    return [r for r in rules if r[0] in valid]
+    """The enabled rules, a short list; `apply_rules` skips those that are no patterns."""
+    return [(r["pattern"], r["replacement"]) for r in corpus.rules_table(spark).filter("enabled").orderBy("id").collect()]
+
+
+#: A user's rules beside the default ones, and the same with DuckDB's templates; the last two are no patterns.
+USER_RULES = [("(?P<head>[[:upper:]])(?P<tail>[[:lower:]]+)ion\\b", "${tail}-${head}0$$", "\\2-\\10$"), ("(\\p{Han})[,.:]", "$1·", "\\1·"), ("(bad", "x", None), ("(?<!a)b", "x", None)]
 
 
 def q_apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(clean.apply_rules(view(spark, sf_dir, "seeded"), default_rules(spark)), "changed")
+    rules = default_rules(spark) + [(p, by) for p, by, _ in USER_RULES]
+    return digest(clean.apply_rules(view(spark, sf_dir, "seeded"), rules), "changed")
 
 
-RULE_STEPS = [(r[2], r[3]) for r in corpus.DEFAULT_RULES]
+RULE_STEPS = [(r[2], r[3]) for r in corpus.DEFAULT_RULES] + [(p, by) for p, _, by in USER_RULES if by]
 
 
 def step_cleaning(docs: DataFrame, rules: list[tuple[str, str]], config: str | None = None) -> DataFrame:
@@ -235,13 +240,17 @@ JOIN (SELECT doc_id, idx, t, row_number() OVER (PARTITION BY doc_id, t ORDER BY
 )
 
 
+#: The cosines from which the given vectors, most of them random, and paragraphs of random words are shown as alike.
+ALIKE, ALIKE_TEXT = 0.3, 0.9
+
+
 def q_near_dup(spark, sf_dir):
-    return dedup.near_duplicates(view(spark, sf_dir, "vectors")).withColumn("sim", F.round("sim", 6))
+    return dedup.near_duplicates(view(spark, sf_dir, "vectors"), threshold=ALIKE).withColumn("sim", F.round("sim", 6))
 
 
 COS = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))))"
 SQL_NEAR_DUP = oracle(
-    f"SELECT file_id, i, j, round(sim, 6) AS sim FROM (SELECT a.file_id, a.idx AS i, b.idx AS j, {COS.format('a.vec', 'b.vec')} AS sim FROM vectors a JOIN vectors b ON a.file_id = b.file_id AND b.idx < a.idx AND a.idx - b.idx <= {dedup.WINDOW}) WHERE sim >= {dedup.THRESHOLD}"
+    f"SELECT file_id, i, j, round(sim, 6) AS sim FROM (SELECT a.file_id, a.idx AS i, b.idx AS j, {COS.format('a.vec', 'b.vec')} AS sim FROM vectors a JOIN vectors b ON a.file_id = b.file_id AND b.idx < a.idx AND a.idx - b.idx <= {dedup.WINDOW}) WHERE sim >= {ALIKE}"
 )
 
 
@@ -258,7 +267,7 @@ def q_local_vector(spark, sf_dir):
 
 def q_near_paragraphs(spark, sf_dir):
     """Near-duplicate paragraphs of all documents by their local vectors, after the gates."""
-    return dedup.near_paragraphs(segment.paragraphs(view(spark, sf_dir, "plain"))).withColumn("sim", F.round("sim", 6))
+    return dedup.near_paragraphs(segment.paragraphs(view(spark, sf_dir, "plain")), threshold=ALIKE_TEXT).withColumn("sim", F.round("sim", 6))
 
 
 def sql_vectors(source: str) -> str:
@@ -273,7 +282,7 @@ def sql_vectors(source: str) -> str:
 SQL_LOCAL_VECTOR = oracle(f"SELECT doc_id, idx, round(list_sum(list_transform(v, lambda x, i: round(x, 9) * i)), 3) AS weighted, len(v) AS dims FROM {sql_vectors('paragraphs')}")
 SQL_NEAR_PARAGRAPHS = f"""WITH vs AS {sql_vectors(f"(SELECT doc_id, idx, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY idx) AS k FROM (SELECT *, {NORM} AS norm FROM {PLAIN_PARAGRAPHS})) WHERE k = 1 AND length(norm) >= {dedup.MIN_LENGTH})")}
 SELECT doc_id, idx, max(j) AS near_idx, round(arg_max(sim, j), 6) AS sim FROM (SELECT a.doc_id, a.idx, b.idx AS j, {COS.format("a.v", "b.v")} AS sim
- FROM vs a JOIN vs b ON a.doc_id = b.doc_id AND b.idx < a.idx AND a.idx - b.idx <= {dedup.WINDOW}) WHERE sim >= {dedup.THRESHOLD} GROUP BY doc_id, idx"""
+ FROM vs a JOIN vs b ON a.doc_id = b.doc_id AND b.idx < a.idx AND a.idx - b.idx <= {dedup.WINDOW}) WHERE sim >= {ALIKE_TEXT} GROUP BY doc_id, idx"""
 
 
 # ---------------------------------------------------------------- repairs and reviews

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,31 @@ def test_enqueue_caps_at_an_hour(spark):
     df = spark.createDataFrame([(1, 0, 0), (1, 1, 3), (1, 2, 9)], "file_id int, chunk_id int, retry_count int")
     got = [r.next_retry_at for r in catalog.enqueue(df, "2024-01-01 00:00:00").orderBy("chunk_id").collect()]
     assert [(g - dt.datetime(2024, 1, 1)).total_seconds() / 60 for g in got] == [1, 8, 60]
+
+
+@pytest.mark.parametrize("window,stretch,nearest", [(300, 4096, False), (7, 16, False), (7, 7, True), (0, 16, False), (0, 5, True), (90, 16, True)])
+def test_near_duplicates_equal_brute_force(spark, window, stretch, nearest):
+    rng = np.random.default_rng(window)
+    rows = []
+    for file in ("a", "b", None):
+        for i in range(60):
+            vec = [float(c) for c in rng.integers(-1, 2, 3)]
+            rows.append((file, i * 3 if file == "b" else i, vec if i % 9 else [None, [], [0.0, 0.0, 0.0], [1.0, 1.0], [1e200, 1e200, 0.0], [1e-200, 0.0, 0.0]][i // 9 % 6]))
+
+    def cos(a, b):
+        a, b = (np.array(v) / max(np.abs(v), default=1) if any(v) else np.array(v) for v in (a, b))
+        return float(a @ b / np.sqrt((a @ a) * (b @ b))) if len(a) == len(b) and len(a) and (a @ a) * (b @ b) > 0 else 0.0
+
+    want = {}
+    for f, i, v in rows:
+        for g, j, u in rows:
+            if f == g and f and v is not None and u is not None and j < i and (not window or i - j <= window) and cos(v, u) >= 0.7:
+                want[f, i, j] = cos(v, u)
+    found = dedup.near_duplicates(spark.createDataFrame(rows, "file_id string, idx int, vec array<double>"), window, 0.7, nearest, stretch).collect()
+    got = {(r.file_id, r.i, r.j): r.sim for r in found}
+    assert len(got) == len(found)
+    if nearest:
+        best = lambda pairs: {(f, i): max(j for g, k, j in pairs if (g, k) == (f, i)) for f, i, _ in pairs}
+        assert best(got) == best(want) and set(got) <= set(want)
+    else:
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 20
