@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from quire.functions.patterns import pattern, replacement
 from quire.functions.text import utrim
 
 # Entities and what they stand for; `&amp;` comes last so that nothing is decoded twice.
@@ -135,36 +133,23 @@ def garbled(docs: DataFrame) -> DataFrame:
     return df.drop("runs_")
 
 
-def valid_patterns(spark: SparkSession, patterns: list[str]) -> list[str]:
-    """Those that the regex engine compiles; for short lists of rules."""
-    ok = []
-    for p in patterns:
-        try:
-            spark.sql("SELECT regexp_like('', :p)", args={"p": p}).first()
-        except Exception:  # the engine's own error for a bad pattern
-            continue
-        ok.append(p)
-    return ok
-
-
-@lru_cache(10_000)
-def _compiles(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+@F.pandas_udf(ArrayType(StringType()))
+def translated(patterns: pd.Series) -> pd.Series:
+    """A row's patterns as Java's, in order; those that RE2 refuses, and empty ones, are left out. Lists repeat, so each is looked at once."""
+    seen: dict[tuple, list[str]] = {}
 
+    def one(ps) -> list[str]:
+        key = tuple(ps) if ps is not None else ()
+        if key not in seen:
+            seen[key] = [found.java for p in key if p and (found := pattern(p)) is not None]
+        return seen[key]
 
-@F.pandas_udf(ArrayType(StringType()))
-def compiling(patterns: pd.Series) -> pd.Series:
-    """Those of a row's patterns that compile, in order; empty ones are none."""
-    return patterns.map(lambda ps: [p for p in ps if p and _compiles(p)] if ps is not None else [])
+    return patterns.map(one)
 
 
 def ad_blacklist(docs: DataFrame, patterns: str = "ad_blacklist") -> DataFrame:
-    """Removes each row's own patterns (an array column) in order; those that do not compile are skipped."""
-    checked = docs.withColumn("patterns_", compiling(F.col(patterns)))
+    """Removes each row's own patterns (an array column, RE2 dialect) in order; those that are none are skipped."""
+    checked = docs.withColumn("patterns_", translated(F.col(patterns)))
     return checked.withColumn("text", F.aggregate("patterns_", F.col("text"), lambda t, p: F.regexp_replace(t, p, F.lit("")))).drop("patterns_")
 
 
@@ -180,9 +165,10 @@ def typo_map(docs: DataFrame, typos: str = "typo_map") -> DataFrame:
 
 
 def apply_rules(docs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Global regex rules (pattern, replacement) in order; `changed` says whether any did something."""
+    """Global regex rules (pattern, replacement; RE2 dialect) in order; those that are none are skipped. `changed` says whether any did something."""
     before = docs.withColumn("before_", F.col("text"))
-    return replaced(before, rules).withColumn("changed", F.col("text") != F.col("before_")).drop("before_")
+    steps = [(found.java, replacement(by, found)) for p, by in rules if (found := pattern(p)) is not None]
+    return replaced(before, steps).withColumn("changed", F.col("text") != F.col("before_")).drop("before_")
 
 
 def dict_repair(paragraphs: DataFrame) -> DataFrame:
