@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,8 @@ def pieces(text: bytes, most: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
         tail = (tail + words)[-(WINDOW - 1) :]
 
 
-def least_grams(texts: list[bytes]) -> np.ndarray:
-    """The minimiser of each window of the texts' words, one after the other."""
-    h = hash_words(texts)[0]
+def least_grams(h: np.ndarray) -> np.ndarray:
+    """The minimiser of each window, from the hashes of words."""
     n = len(h) - GRAM + 1
     g = h[:n].copy()
     for i in range(1, GRAM):
@@ -66,62 +66,72 @@ def least_grams(texts: list[bytes]) -> np.ndarray:
     return np.minimum(g[: len(g) - (span - width)], g[span - width :])
 
 
-def runs(docs: list[int], digests: list[int], texts: list[bytes], most: int = PIECE) -> Iterator[tuple]:
-    """Chunks of (doc, digest, first word, windows, minimiser, packed string) of all super-k-mers, as parallel arrays, and the strings."""
-    batch: list[tuple[int, int, int, list[bytes]]] = []
-    held = 0
+class Runs:
+    """The super-k-mers of a chunk, as parallel arrays: doc, digest, start (first word), count (windows), least (minimiser), and where
+    their words are among the chunk's words: as `numbers` of distinct words, and from which byte of `joined` to which."""
 
-    def flush():
-        words = [w for *_, ws in batch for w in ws]
+    def __init__(self, batch: list[tuple[int, int, int, list[bytes]]]):
+        vocabulary: dict[bytes, int] = defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
         sizes = np.array([len(ws) for *_, ws in batch])
-        least = least_grams([b" ".join(ws) for *_, ws in batch])
+        self.numbers = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(ws for *_, ws in batch)), np.int32, int(sizes.sum()))
+        words = list(vocabulary)
+        least = least_grams(hash_words([b" ".join(words)])[0][self.numbers])
         of = np.repeat(np.arange(len(batch)), sizes)
         whole = of[: len(least)] == of[WINDOW - 1 :]
         new = np.ones(len(least), bool)
-        new[1:] = (least[1:] != least[:-1]) | (of[1 : len(least)] != of[: len(least) - 1]) | ~whole[:-1]
-        begin = np.flatnonzero(new & whole)
+        new[1:] = (least[1:] != least[:-1]) | ~whole[:-1]
+        self.begin = np.flatnonzero(new & whole)
         stop = np.append(np.flatnonzero(new), len(least))
-        counts = stop[np.searchsorted(stop, begin, "right")] - begin
-        ends = begin + counts  # windows of a run that lie across two texts are none
         total = np.concatenate([[0], np.cumsum(whole)])
-        counts = total[ends] - total[begin]
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.cumsum(lengths + 1) - lengths - 1
-        joined = b" ".join(words)
-        last = begin + counts + WINDOW - 2
-        strings = [joined[a:b] for a, b in zip(at[begin].tolist(), (at[last] + lengths[last]).tolist())]
-        row = of[begin]
-        first_word = np.cumsum(sizes) - sizes
-        head = np.array([b[2] for b in batch])
-        yield np.array([b[0] for b in batch])[row], np.array([b[1] for b in batch])[row], (head[row] + begin - first_word[row]).astype(np.int32), counts.astype(np.int32), least[begin], strings
-
+        ends = stop[np.searchsorted(stop, self.begin, "right")]
+        self.count = (total[ends] - total[self.begin]).astype(np.int32)  # without windows across two texts
+        self.end = self.begin + self.count + (WINDOW - 1)
+        self.joined = b" ".join(chain.from_iterable(ws for *_, ws in batch))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))[self.numbers] + 1
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        self.bytes = at[self.begin], at[self.end] - 1
+        self.least = least[self.begin]
+        row, first = of[self.begin], np.cumsum(sizes) - sizes
+        column = lambda i: np.array([b[i] for b in batch])
+        self.doc, self.digest = column(0)[row], column(1)[row]
+        self.start = (column(2)[row] + self.begin - first[row]).astype(np.int32)
+
+    def travelling(self) -> np.ndarray:
+        """Of equal strings, which have the smallest document of the chunk."""
+        raw, least = self.numbers.tobytes(), {}
+        strings = [raw[a:b] for a, b in zip((4 * self.begin).tolist(), (4 * self.end).tolist())]
+        for s, d in zip(strings, self.doc.tolist()):
+            if d < least.setdefault(s, d):
+                least[s] = d
+        return self.doc == np.fromiter(map(least.__getitem__, strings), np.int64, len(strings))
+
+    def packed(self, some: np.ndarray, hot: np.ndarray) -> bytes:
+        """Some of the strings, one behind the other, with their arrays."""
+        strings = [self.joined[a:b] for a, b in zip(self.bytes[0][some].tolist(), self.bytes[1][some].tolist())]
+        return pack([self.doc[some], self.digest[some], self.start[some], self.count[some], hot[some]], b" ".join(strings))
+
+
+def runs(docs: list[int], digests: list[int], texts: list[bytes], most: int = PIECE) -> Iterator[Runs]:
+    """The super-k-mers of all texts, in chunks of about `most` bytes."""
+    batch: list[tuple[int, int, int, list[bytes]]] = []
+    held = 0
     for doc, digest, text in zip(docs, digests, texts):
-        for start, words in pieces(text):
+        for start, words in pieces(text, most):
             if len(words) >= WINDOW:
                 if held > most and batch:
-                    yield from flush()
-                    batch.clear()
-                    held = 0
+                    yield Runs(batch)
+                    batch, held = [], 0
                 batch.append((doc, digest, start, words))
                 held += sum(map(len, words)) + len(words)
     if batch:
-        yield from flush()
-
-
-def travelling(docs: np.ndarray, strings: list[bytes]) -> np.ndarray:
-    """Of equal strings, which have the smallest document of the chunk."""
-    least: dict[bytes, int] = {}
-    listed = docs.tolist()
-    for s, d in zip(strings, listed):
-        if d < least.setdefault(s, d):
-            least[s] = d
-    return docs == np.fromiter(map(least.__getitem__, strings), np.int64, len(strings))
+        yield Runs(batch)
 
 
 def pack(arrays: list[np.ndarray], text: bytes) -> bytes:
     """Arrays of one length and a text, as compressed bytes."""
     body = np.array([len(arrays[0])], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays) + text
-    return len(body).to_bytes(8, "little") + pa.Codec("zstd").compress(body, asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(body, asbytes=True)
 
 
 def unpack(blob: bytes, kinds: list[str]) -> tuple[list[np.ndarray], bytes]:
@@ -144,12 +154,12 @@ class Windows:
         self.vocabulary.default_factory = self.vocabulary.__len__
         self.parts: list[tuple] = []
 
-    def add(self, arrays: list[np.ndarray], text: bytes) -> None:
-        words = text.split(b" ")
+    def add(self, arrays: list[np.ndarray], words: list[bytes]) -> None:
+        """Strings by their arrays (RUN) and all their words."""
         self.parts.append((*arrays, np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))))
 
-    def decided(self) -> tuple[pa.RecordBatch, tuple | None]:
-        """Spans of windows that start in a smaller document here too; and of the hot strings the other windows."""
+    def decided(self) -> tuple[pa.RecordBatch, list[tuple] | None]:
+        """Spans of windows that start in a smaller document here too; and of the hot strings the other windows, as (doc, digest, places, window)."""
         doc, digest, start, count, hot, ids = (np.concatenate(p) for p in zip(*self.parts))
         self.parts.clear()
         offset = np.cumsum(count + (WINDOW - 1)) - count - (WINDOW - 1)
@@ -190,13 +200,18 @@ class Windows:
         left = np.flatnonzero(~marked & hot[of])
         if not len(left):
             return spans, None
-        words = list(self.vocabulary)
-        strings = [b" ".join([words[i] for i in r]) for r in ids[at[left][:, None] + np.arange(WINDOW)].tolist()]
-        return spans, (doc[of[left]], digest[of[left]], start[of[left]] + within[left], strings)
+        words, places = list(self.vocabulary), defaultdict(list)
+        numbers = ids[at[left][:, None] + np.arange(WINDOW)]
+        for d, g, p, r in zip(doc[of[left]].tolist(), digest[of[left]].tolist(), (start[of[left]] + within[left]).tolist(), numbers):
+            places[d, g, r.tobytes()].append(p)
+        return spans, [(d, g, at, b" ".join([words[i] for i in np.frombuffer(r, np.int32).tolist()])) for (d, g, r), at in places.items()]
+
+
+PLACES = pa.list_(pa.int32())
 
 
 def span_batch(doc, digest, first, last) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.nulls(len(doc), pa.binary())], names=["doc", "digest", "first", "last", "window"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.nulls(len(doc), PLACES), pa.nulls(len(doc), pa.binary())], names=["doc", "digest", "first", "last", "places", "window"])
 
 
 def rows_of(docs: DataFrame, key: str, text: str, own: bool = False) -> DataFrame:
@@ -213,11 +228,11 @@ def minimiser_sizes(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part, texts in text_parts(batch.column("text"), PIECE):
                 ids, digests = (batch.column(c).to_pylist()[part] for c in ("doc", "digest"))
-                for doc, _, _, counts, least, strings in runs(ids, digests, texts):
-                    go = travelling(doc, strings)
-                    values, at = np.unique(least[go], return_inverse=True)
-                    sizes = np.bincount(at, counts[go]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([*values.view(np.int64).tolist(), None], pa.int64()), pa.array([*sizes.tolist(), int(counts.sum())])], names=["minimiser", "windows"])
+                for r in runs(ids, digests, texts):
+                    go = r.travelling()
+                    values, at = np.unique(r.least[go], return_inverse=True)
+                    sizes = np.bincount(at, r.count[go]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([*values.view(np.int64).tolist(), None], pa.int64()), pa.array([*sizes.tolist(), int(r.count.sum())])], names=["minimiser", "windows"])
 
     return rows.mapInArrow(released(run), "minimiser long, windows long").groupBy("minimiser").agg(F.sum("windows").alias("windows"))
 
@@ -245,24 +260,23 @@ def to_buckets(rows: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray
         for batch in batches:
             for part, texts in text_parts(batch.column("text"), 2 * most):
                 ids, digests = (batch.column(c).to_pylist()[part] for c in ("doc", "digest"))
-                for doc, digest, start, counts, least, strings in runs(ids, digests, texts, most):
-                    go = travelling(doc, strings)
-                    at = np.searchsorted(hot, least)
-                    is_hot = np.r_[hot, np.uint64(0)][at] == least if len(hot) else np.zeros(len(least), bool)
-                    is_hot &= at < len(hot)
-                    salt = np.zeros(len(least), np.uint64)
-                    salt[is_hot] = mix(doc[is_hot].view(np.uint64) ^ digest[is_hot].view(np.uint64)) % parts[at[is_hot]] + np.uint64(1)
-                    bucket = (mix(least + salt * _B) % np.uint64(buckets)).astype(np.int32)
+                for r in runs(ids, digests, texts, most):
+                    go = r.travelling()
+                    at = np.searchsorted(hot, r.least)
+                    is_hot = (at < len(hot)) & (np.append(hot, np.uint64(0))[at] == r.least)
+                    salt = np.zeros(len(at), np.uint64)
+                    salt[is_hot] = mix(r.doc[is_hot].view(np.uint64) ^ r.digest[is_hot].view(np.uint64)) % parts[at[is_hot]] + np.uint64(1)
+                    bucket = (mix(r.least + salt * _B) % np.uint64(buckets)).astype(np.int32)
                     out = []
                     order = np.flatnonzero(go)[np.argsort(bucket[go], kind="stable")]
                     for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                        out.append((int(bucket[some[0]]), False, pack([doc[some], digest[some], start[some], counts[some], is_hot[some]], b" ".join([strings[i] for i in some.tolist()]))))
+                        out.append((int(bucket[some[0]]), False, r.packed(some, is_hot)))
                     if not go.all():
                         gone = np.flatnonzero(~go)
-                        first, last = start[gone], start[gone] + counts[gone] + np.int32(WINDOW - 1)
-                        cut = np.r_[True, (digest[gone][1:] != digest[gone][:-1]) | (doc[gone][1:] != doc[gone][:-1]) | (first[1:] > last[:-1]) | (first[1:] < first[:-1])]
+                        doc, digest, first, last = r.doc[gone], r.digest[gone], r.start[gone], r.start[gone] + r.count[gone] + np.int32(WINDOW - 1)
+                        cut = np.r_[True, (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] > last[:-1]) | (first[1:] < first[:-1])]
                         ends = np.r_[np.flatnonzero(cut)[1:], len(gone)] - 1
-                        out.append((int(bucket[gone[0]]), True, pack([doc[gone][cut], digest[gone][cut], first[cut], last[ends]], b"")))
+                        out.append((int(bucket[gone[0]]), True, pack([doc[cut], digest[cut], first[cut], last[ends]], b"")))
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], names=["bucket", "decided", "blob"])
 
     return rows.mapInArrow(released(run), "bucket int, decided boolean, blob binary")
@@ -279,8 +293,9 @@ def in_buckets(packed: DataFrame, tasks: int) -> DataFrame:
                 spans, left = windows.decided()
                 yield spans
                 if left:
-                    doc, digest, start, strings = left
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(start, pa.int32()), pa.nulls(len(doc), pa.int32()), pa.array(strings, pa.binary())], names=["doc", "digest", "first", "last", "window"])
+                    doc, digest, at, strings = zip(*left)
+                    none = pa.nulls(len(left), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), none, none, pa.array(at, PLACES), pa.array(strings, pa.binary())], names=["doc", "digest", "first", "last", "places", "window"])
 
         for batch in batches:
             for bucket, done, blob in zip(batch.column("bucket").to_pylist(), batch.column("decided").to_pylist(), batch.column("blob")):
@@ -290,33 +305,43 @@ def in_buckets(packed: DataFrame, tasks: int) -> DataFrame:
                 if done:
                     yield span_batch(*unpack(blob.as_py(), SPAN)[0])
                 else:
-                    windows.add(*unpack(blob.as_py(), RUN))
+                    arrays, text = unpack(blob.as_py(), RUN)
+                    windows.add(arrays, text.split(b" "))
         yield from finish()
 
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(released(run), f"{SPANS}, window binary")
+    return dealt.mapInArrow(released(run), f"{SPANS}, places array<int>, window binary")
 
 
 def by_window(left: DataFrame, buckets: int, tasks: int) -> DataFrame:
     """Spans of single windows that several buckets left; equal windows meet by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, windows = None, Windows()
+        now, windows, places = None, Windows(), []
+
+        def finish():
+            if windows.parts:
+                found = windows.decided()[0]  # its first word is the number of the row here
+                rows = [(d, g, p) for d, g, i in zip(*(found.column(c).to_pylist() for c in ("doc", "digest", "first"))) for p in places[i]]
+                doc, digest, first = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+                yield span_batch(doc, digest, first, first + WINDOW).select(["doc", "digest", "first", "last"])
+
         for batch in batches:
             bucket = batch.column("bucket").to_numpy()
             for some in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
                 if bucket[some[0]] != now:
-                    if windows.parts:
-                        yield windows.decided()[0]
-                    now, windows = bucket[some[0]], Windows()
+                    yield from finish()
+                    now, windows, places = bucket[some[0]], Windows(), []
                 mine = batch.slice(int(some[0]), len(some))
-                arrays = [mine.column(c).to_numpy() for c in ("doc", "digest", "first")]
-                windows.add([*arrays, np.ones(len(some), np.int32), np.zeros(len(some), bool)], b" ".join(mine.column("window").to_pylist()))
-        if windows.parts:
-            yield windows.decided()[0]
+                number = np.arange(len(places), len(places) + len(some), dtype=np.int32)
+                places += mine.column("places").to_pylist()
+                words = b" ".join(mine.column("window").to_pylist()).split(b" ")
+                # A row for each window: runs of one window never join, so each span names one row.
+                windows.add([mine.column("doc").to_numpy(), mine.column("digest").to_numpy(), number, np.ones(len(some), np.int32), np.zeros(len(some), bool)], words)
+        yield from finish()
 
     dealt = left.withColumn("bucket", F.pmod(F.xxhash64("window"), F.lit(buckets)).cast("int")).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(released(run), f"{SPANS}, window binary")
+    return dealt.select("bucket", "doc", "digest", "places", "window").mapInArrow(released(run), SPANS)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **plan) -> DataFrame:
@@ -324,15 +349,27 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **p
     rows = rows_of(docs, key, text)
     buckets, tasks, hot, parts = shares(rows, **plan)
     found = stored(in_buckets(to_buckets(rows, buckets, hot, parts), tasks), "repeats")
-    spans = found.filter("window IS NULL").drop("window")
+    spans = found.filter("window IS NULL").drop("places", "window")
     if len(hot):
         left = found.filter("window IS NOT NULL")
         n = left.count()
         again = max(buckets, -(-n // BUCKET_WINDOWS))
-        spans = spans.unionByName(by_window(left, again, tasks_for(rows, n, again)).drop("window"))
+        spans = spans.unionByName(by_window(left, again, tasks_for(rows, n, again)))
     return spans.distinct()
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """rows with their texts as compressed bytes, `body`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_parts(batch.column("text"), PIECE):
+                body = pa.array([pack([np.zeros(0)], t) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.start, len(texts)) for c in ("id", "doc", "digest")), body], names=["id", "doc", "digest", "body"])
+
+    return rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, doc long, digest long, body binary")
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **plan) -> DataFrame:
     """(key, n_words, n_removed, spans, kept): removed word ranges in order, not touching, and the words that stay, joined by one space."""
     marks = repeated_spans(docs, key, text, **plan).groupBy("doc", "digest").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
@@ -340,12 +377,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = batch.column("marks")
-            for part, texts in text_parts(batch.column("text"), PIECE):
-                ids = batch.column("id").slice(part.start, len(texts))
+            for part, bodies in text_parts(batch.column("body"), PIECE // 2):
+                ids = batch.column("id").slice(part.start, len(bodies))
                 out = []
-                for body, mark in zip(texts, marked.slice(part.start, len(texts))):
-                    words = body.split()
+                for body, mark in zip(bodies, batch.column("marks").slice(part.start, len(bodies))):
+                    words = unpack(body, [])[1].split()
                     ranges, kept, at = [], [], 0
                     for a, b in sorted((m["first"], m["last"]) for m in mark.as_py() or ()):
                         if ranges and a <= ranges[-1]["last"]:
@@ -360,7 +396,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
                 shape = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([o[i] for o in out], t) for i, t in enumerate(shape)), pa.array([o[3] for o in out], pa.binary()).cast(pa.string())], names=[key, "n_words", "n_removed", "spans", "kept"])
 
-    joined = rows.join(marks, ["doc", "digest"], "left").select("id", "text", "marks")
+    joined = compressed(rows).join(marks, ["doc", "digest"], "left").select("id", "body", "marks")
     kind = docs.schema[key].dataType.simpleString()
     return joined.mapInArrow(released(run), f"`{key}` {kind}, n_words long, n_removed long, spans array<struct<first:int,last:int>>, kept string")
 
