@@ -1,11 +1,11 @@
 """Phrase collocations by Toivonen mining: exact counts of all frequent phrases without counting all phrases.
 
-A sample of the documents proposes words and pairs of words. A full pass counts them and their negative border, which is every word,
-every pair of proposed words, and every triple of two proposed pairs. Words or pairs of the border that turn out frequent are its
-failures: what they extend to was not counted, so a further pass counts just that, until none is left. Then every frequent phrase has
-its exact count, whatever the sample was.
+A sample of the documents proposes words and pairs of words. A full pass counts what they propose, with triples of two proposed pairs,
+and the negative border: all other words, and all other pairs of proposed words. The border is counted by 64-bit keys of its phrases,
+which is never too low. What reaches the support there is a failure: the next pass counts it exactly and goes on from it, until there is no
+failure left. Then every frequent phrase has its exact count, whatever the sample was and wherever keys collide.
 
-Proposals reach the tasks as bitmaps of their hashes. A bitmap has FILTER_BITS bits at most, however many proposals there are; a
+Proposals reach the tasks as bitmaps of their keys. A bitmap has FILTER_BITS bits at most, however many proposals there are; a
 false hit only makes a pass count more than it had to. Each chunk of text adds up its own phrases before anything moves.
 
 Defined cases: a null language is `und`, a null text is empty. Empty texts have no words. Very long texts are cut between words, and
@@ -33,9 +33,10 @@ LONGEST, SUPPORT, MOST, COVER = 3, 10, 2000, 50
 #: One document in SAMPLE proposes what it has SAMPLE_SUPPORT times; the lower these are, the fewer failures and the larger the border.
 SAMPLE, SAMPLE_SUPPORT = 4, 2
 FILTER_BITS, SEGMENT = 1 << 28, 1 << 16
-CHUNK = 8 << 20
+#: Bytes of text that a chunk adds up, that become tokens at once, and for which there is a range of keys.
+CHUNK, PART, RANGE_BYTES = 10 << 20, 2 << 20, 24 << 20
 #: Candidates that one task ranks.
-RANKED = 200_000
+RANKED = 20_000
 # Marks that end a piece.
 MARKS = b".,;:!?\n\v\f\r"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + MARKS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(MARKS))
@@ -47,7 +48,7 @@ def tokens_of(body: bytes) -> list[bytes]:
     return [w for w in body.translate(_TABLE).replace(b"\n", b" \n ").split(b" ") if w]
 
 
-def token_chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[list[bytes], int]]:
+def token_chunks(texts: list[bytes], most: int) -> Iterator[tuple[list[bytes], int]]:
     """(tokens, carried): texts as one list with piece ends between them; a text of over `most` bytes in parts, each of which begins
     with the last tokens of the one before, `carried` of them, which are counted there."""
     small = [t for t in texts if len(t) <= most]
@@ -78,7 +79,7 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Members:
-    """Bitmaps of proposed words and pairs; a key is a member if any of them has it."""
+    """Bitmaps of proposed words and pairs by their keys; a key is a member if any of them has it."""
 
     def __init__(self, bitmaps: list[tuple[Broadcast, int]]):
         self.bitmaps = bitmaps
@@ -88,110 +89,183 @@ class Members:
         found = np.zeros(len(keys), bool)
         for bits, hashes in self.bitmaps[:first]:
             data = np.frombuffer(bits.value, np.uint8)
-            hit = np.ones(len(keys), bool)
-            for place in places(keys, hashes, 8 * len(data)):
+            base, hit = segment_of(keys, 8 * len(data) // SEGMENT) * np.uint64(SEGMENT), np.ones(len(keys), bool)
+            for place in offsets(keys, hashes):
+                place += base
                 hit &= (data[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             found |= hit
         return found
 
 
-def places(keys: np.ndarray, hashes: int, bits: int) -> Iterator[np.ndarray]:
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """By the key's leading bits; `segments` is a power of two."""
+    return keys >> np.uint64(65 - segments.bit_length()) if segments > 1 else np.zeros(len(keys), np.uint64)
+
+
+def offsets(keys: np.ndarray, hashes: int) -> Iterator[np.ndarray]:
     for i in range(hashes):
-        yield mix(keys + np.uint64(i * int(_B) % (1 << 64))) & np.uint64(bits - 1)
-
-
-def chunk_counts(tokens: list[bytes], carried: int, lang: str, members: Members | None, done: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(length, phrases, counts) of one chunk. Without members: all words and pairs. With them: words if done is 0, and those pairs and
-    triples whose parts are members by all bitmaps but not by the first `done` ones, which earlier passes counted."""
-    ids: dict[bytes, int] = defaultdict()
-    ids.default_factory = ids.__len__
-    ids[b"\n"]
-    x = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
-    words = pa.array(list(ids), pa.binary())
-    n = len(words)
-    counted = np.arange(len(x)) >= carried
-    if done == 0:
+        yield mix(keys + np.uint64(i * int(_B) % (1 << 64))) & np.uint64(SEGMENT - 1)
+
+
+class Counter:
+    """Words of one language in a chunk, as numbers of a vocabulary; 0 ends a piece."""
+
+    def __init__(self, lang: str):
+        self.lang, self.size = lang, 0
+        self.ids: dict[bytes, int] = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        self.ids[b"\n"]
+        self.parts: list[np.ndarray] = []
+        self.counted: list[np.ndarray] = []
+
+    def add(self, texts: list[bytes], most: int = PART) -> None:
+        for tokens, carried in token_chunks(texts, most):
+            self.parts += [np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens)), np.zeros(1, np.int32)]
+            self.counted.append(np.arange(len(tokens) + 1) >= carried)
+        self.size += sum(map(len, texts))
+
+    def results(self, members: Members | None, done: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array | None]]:
+        """(length, keys, counts, phrases). Without members: keys of all words and pairs. With them, for each phrase in one pass only:
+        the words and pairs that are members by all bitmaps but not by the first `done` ones, and the triples of two member pairs, with
+        their phrases; and the border, words in the first pass and pairs of member words, by keys alone. Length 0 counts all words."""
+        x, counted = np.concatenate(self.parts).astype(np.int64), np.concatenate(self.counted)
+        n = len(self.ids)
+        words = pa.array(list(self.ids), pa.binary())
+        key = np.concatenate([np.zeros(1, np.uint64), word_keys(list(self.ids)[1:], language_hash(self.lang))])
         each = np.bincount(x[counted], minlength=n)
         each[0] = 0
-        yield 0, pa.array([b""], pa.binary()), np.array([each.sum()])
-        some = np.flatnonzero(each)
-        yield 1, words.take(pa.array(some)), each[some]
-    pair = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
-    code, of = np.unique(x[pair] * n + x[pair + 1], return_inverse=True)
-    if not len(code):
-        return
-    a, b = code // n, code % n
-    if members is None:
-        go = np.ones(len(code), bool)
-    else:
-        key = np.concatenate([np.zeros(1, np.uint64), word_keys(list(ids)[1:], language_hash(lang))])
+        pair = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
+        code, of = np.unique(x[pair] * n + x[pair + 1], return_inverse=True)
+        a, b = code // n, code % n
+        keys, times = pair_keys(key[a], key[b]), np.bincount(of[counted[pair + 1]], minlength=len(code))
+        if members is None:
+            yield 1, key[each > 0], each[each > 0], None
+            yield 2, keys[times > 0], times[times > 0], None
+            return
         now, before = members(key), members(key, done)
-        go = now[a] & now[b] & ~(before[a] & before[b])
-    each = np.bincount(of[counted[pair + 1]], minlength=len(code))
-    some = np.flatnonzero(go & (each > 0))
-    yield 2, pc.binary_join_element_wise(words.take(pa.array(a[some])), words.take(pa.array(b[some])), b" "), each[some]
-    if members is None:
-        return
-    keys = pair_keys(key[a], key[b])
-    now, before = members(keys), members(keys, done)
-    at = np.full(len(x), -1, np.int64)
-    at[pair] = of
-    one, two = at[:-2], at[1:-1]
-    whole = (one >= 0) & (two >= 0) & counted[2:]
-    one, two = one[whole], two[whole]
-    go = now[one] & now[two] & ~(before[one] & before[two])
-    code, each = np.unique(one[go] * n + b[two[go]], return_counts=True)
-    first, last = code // n, code % n
-    yield 3, pc.binary_join_element_wise(words.take(pa.array(a[first])), words.take(pa.array(b[first])), words.take(pa.array(last)), b" "), each
-
-
-def counts(docs: DataFrame, members: Members | None, done: int) -> DataFrame:
-    """(lang, length, phrase, f) of what a pass counts, from (lang, text); length 0 has a language's number of words."""
+        some = np.flatnonzero(now & ~before & (each > 0))
+        yield 1, key[some], each[some], words.take(pa.array(some))
+        if done == 0:
+            yield 0, np.zeros(1, np.uint64), np.array([each.sum()]), pa.array([b""], pa.binary())
+            yield 1, key[~now & (each > 0)], each[~now & (each > 0)], None
+        border = now[a] & now[b] & ~(before[a] & before[b])
+        now, before = members(keys), members(keys, done)
+        some = np.flatnonzero(now & ~before & (times > 0))
+        yield 2, keys[some], times[some], pc.binary_join_element_wise(words.take(pa.array(a[some])), words.take(pa.array(b[some])), b" ")
+        border &= ~now & (times > 0)
+        yield 2, keys[border], times[border], None
+        at = np.full(len(x), -1, np.int64)
+        at[pair] = of
+        one, two = at[:-2], at[1:-1]
+        whole = (one >= 0) & (two >= 0) & counted[2:]
+        one, two = one[whole], two[whole]
+        go = now[one] & now[two] & ~(before[one] & before[two])
+        code, times = np.unique(one[go] * n + b[two[go]], return_counts=True)
+        first, last = code // n, code % n
+        yield 3, pair_keys(keys[first], key[last]), times, pc.binary_join_element_wise(words.take(pa.array(a[first])), words.take(pa.array(b[first])), words.take(pa.array(last)), b" ")
+
+
+def squeezed(body: bytes) -> bytes:
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def expanded(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
+def counts(docs: DataFrame, members: Members | None, done: int, support: int, parts: int) -> DataFrame:
+    """(lang, length, phrase, f, key) of what a pass counts and finds at least `support` times, from (lang, text): phrases without key,
+    keys of the border without phrase. Counts of a chunk go to `parts` ranges of keys, a blob each; a task adds up a range at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def flush():
+            out = []
+            for counter in held.values():
+                for length, keys, f, phrases in counter.results(members, done):
+                    if not len(keys):
+                        continue
+                    order = np.argsort(keys)
+                    keys, f = keys[order], f[order]
+                    part = segment_of(keys, parts).astype(np.int64)
+                    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                    listed = phrases.take(pa.array(order)).to_pylist() if phrases is not None else None
+                    for start, end in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)]):
+                        body = b"\n".join(listed[start:end]) if listed is not None else keys[start:end].tobytes()
+                        out.append((int(part[start]), counter.lang, length, listed is not None, end - start, squeezed(f[start:end].astype("<i8").tobytes() + body)))
+            held.clear()
+            names, kinds = ["part", "lang", "length", "named", "n", "blob"], (pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+            for at in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out[at : at + 1000]], t) for i, t in enumerate(kinds)], names=names)
+
         for batch in batches:
-            for part, texts in text_parts(batch.column("text"), CHUNK):
+            for part, texts in text_parts(batch.column("text"), PART):
                 by: dict[str, list[bytes]] = defaultdict(list)
                 for lang, text in zip(batch.column("lang").slice(part.start, len(texts)).to_pylist(), texts):
                     by[lang].append(text)
                 for lang, mine in by.items():
-                    for tokens, carried in token_chunks(mine):
-                        for length, phrases, f in chunk_counts(tokens, carried, lang, members, done):
-                            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), length, np.int32)), phrases.cast(pa.string()), pa.array(f.astype(np.int64))], names=["lang", "length", "phrase", "f"])
+                    held.setdefault(lang, Counter(lang)).add(mine)
+                if sum(c.size for c in held.values()) > CHUNK:
+                    yield from flush()
+        yield from flush()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keyed, named = None, [], []
+
+        def finish():
+            if keyed:
+                keys, f = (np.concatenate(c) for c in zip(*keyed))
+                order = np.argsort(keys)
+                keys, f = keys[order], f[order]
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                total = np.add.reduceat(f, first)
+                go = total >= support
+                k = int(go.sum())
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.string()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.array(total[go]), pa.array(keys[first][go].view(np.int64))], names=NAMES)
+            if named:
+                sums = pa.concat_tables(named).group_by(["lang", "length", "phrase"]).aggregate([("f", "sum")])
+                sums = sums.filter(pc.or_(pc.greater_equal(sums["f_sum"], support), pc.equal(sums["length"], 0)))
+                found = pa.table([sums["lang"], sums["length"], sums["phrase"].cast(pa.string()), sums["f_sum"], pa.nulls(len(sums), pa.int64())], names=NAMES)
+                yield from found.combine_chunks().to_batches()
 
-    return docs.mapInArrow(released(run), "lang string, length int, phrase string, f long").groupBy("lang", "length", "phrase").agg(F.sum("f").alias("f"))
+        for batch in batches:
+            for part, lang, length, has, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "length", "named", "n", "blob"))):
+                if part != now:
+                    yield from finish()
+                    now, keyed, named = part, [], []
+                body = expanded(blob)
+                f = np.frombuffer(body, "<i8", n)
+                if has:
+                    named.append(pa.table({"lang": pa.array([lang] * n, pa.string()), "length": pa.array([length] * n, pa.int32()), "phrase": pa.array(body[8 * n :].split(b"\n"), pa.binary()), "f": f}))
+                else:
+                    keyed.append((np.frombuffer(body, "<u8", n, 8 * n), f))
+        yield from finish()
+
+    packed = docs.mapInArrow(released(run), "part int, lang string, length int, named boolean, n int, blob binary")
+    dealt = packed.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(released(add_up), "lang string, length int, phrase string, f long, key long")
 
 
-def phrase_keys(batch: pa.RecordBatch) -> np.ndarray:
-    """The keys of phrases of one or two words."""
-    phrases, lengths = batch.column("phrase").cast(pa.binary()).to_pylist(), batch.column("length").to_numpy()
-    langs = {v: language_hash(v) for v in set(batch.column("lang").to_pylist())}
-    lang = np.array([langs[v] for v in batch.column("lang").to_pylist()], np.uint64)
-    words = [w for p in phrases for w in p.split(b" ")]
-    key = word_keys(words, np.repeat(lang, lengths))
-    at = np.cumsum(lengths) - lengths
-    found = key[at]
-    two = lengths == 2
-    found[two] = pair_keys(key[at[two]], key[at[two] + 1])
-    return found
+NAMES = ["lang", "length", "phrase", "f", "key"]
 
 
-def bitmap(proposals: DataFrame, n: int) -> tuple[Broadcast, int]:
-    """The bitmap of n phrases of one or two words, about 16 bits each up to FILTER_BITS, and its number of hashes.
+def bitmap(keys: DataFrame, n: int) -> tuple[Broadcast, int]:
+    """The bitmap of n keys, about 16 bits each up to FILTER_BITS, and its number of hashes.
 
-    Tasks send places by segments of 8 KB; the segments, 32 MB at most, go to the driver and are broadcast.
+    A key has all its bits in one segment of 8 KB, chosen by its leading bits. Tasks send offsets by segment; the segments, 32 MB at
+    most, go to the driver and are broadcast.
     """
     bits = min(FILTER_BITS, max(SEGMENT, 1 << (16 * n - 1).bit_length()))
     hashes = max(1, min(4, round(0.7 * bits / max(n, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            place = np.unique(np.concatenate(list(places(phrase_keys(batch), hashes, bits))))
-            segment = (place // np.uint64(SEGMENT)).astype(np.int32)
-            cut = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(segment[cut]), pa.array([p.tobytes() for p in np.split((place % np.uint64(SEGMENT)).astype("<u2"), cut[1:])], pa.binary())], names=["segment", "part"])
+        held = [batch.column("key").to_numpy().view(np.uint64) for batch in batches]
+        key = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        segment = segment_of(key, bits // SEGMENT).astype(np.int32)
+        cut = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(key) else []
+        marks = [np.concatenate([o.astype("<u2") for o in offsets(k, hashes)]).tobytes() for k in np.split(key, cut[1:])] if len(key) else []
+        yield pa.RecordBatch.from_arrays([pa.array(segment[cut] if len(key) else [], pa.int32()), pa.array(marks, pa.binary())], names=["segment", "part"])
 
     def merge(group: pa.Table) -> pa.Table:
         marks = np.zeros(SEGMENT, np.uint8)
@@ -199,38 +273,27 @@ def bitmap(proposals: DataFrame, n: int) -> tuple[Broadcast, int]:
         return pa.table({"segment": group["segment"][:1], "part": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
     whole = bytearray(bits // 8)
-    for r in proposals.mapInArrow(released(run), "segment int, part binary").groupBy("segment").applyInArrow(merge, "segment int, part binary").toLocalIterator():
+    for r in keys.mapInArrow(released(run), "segment int, part binary").groupBy("segment").applyInArrow(merge, "segment int, part binary").toLocalIterator():
         whole[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = r["part"]
-    return proposals.sparkSession.sparkContext.broadcast(bytes(whole)), hashes
-
-
-def failures(frequent: DataFrame, members: Members) -> DataFrame:
-    """Frequent words and pairs that are no members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                yield batch.filter(pa.array(~members(phrase_keys(batch))))
-
-    return frequent.filter("length IN (1, 2)").mapInArrow(released(run), frequent.schema)
+    return keys.sparkSession.sparkContext.broadcast(bytes(whole)), hashes
 
 
 def frequent_phrases(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", support: int = SUPPORT, sample: int = SAMPLE, sample_support: int = SAMPLE_SUPPORT) -> tuple[DataFrame, int]:
     """(lang, length, phrase, f): every phrase of 1 to 3 words with f >= support, and each language's number of words (length 0);
     and the number of full passes."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(sample)).alias("deal"))
-    proposed = stored(counts(rows.filter("deal = 0").drop("deal"), None, 0).filter((F.col("f") >= sample_support) & (F.col("length") > 0)), "proposed")
-    rows, found, bitmaps = rows.drop("deal"), None, []
-    new = proposed
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 << max(4, (size // RANGE_BYTES).bit_length())
+    proposed = counts(rows.filter("deal = 0").drop("deal"), None, 0, sample_support, parts)
+    new, rows, found, bitmaps = stored(proposed, "proposed").select("key"), rows.drop("deal"), None, []
     while True:
         n = new.count()
         if n == 0 and found is not None:
             return found, len(bitmaps)
         bitmaps.append(bitmap(new, n))
-        members = Members(bitmaps)
-        now = stored(counts(rows, members, len(bitmaps) - 1).filter((F.col("f") >= support) | (F.col("length") == 0)), "frequent")
+        now = stored(counts(rows, Members(bitmaps), len(bitmaps) - 1, support, parts), "frequent")
+        new, now = now.filter("key IS NOT NULL").select("key"), now.filter("key IS NULL").drop("key")
         found = now if found is None else found.unionByName(now)
-        new = stored(failures(now if len(bitmaps) == 1 else found, members), "failures")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:

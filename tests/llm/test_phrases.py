@@ -64,9 +64,8 @@ def test_equals_brute_force_whatever_the_sample(spark, plan):
 
 
 def test_small_bitmaps_only_count_more(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "FILTER_BITS", 1 << 16)
-    monkeypatch.setattr(phrases, "SEGMENT", 1 << 10)
-    rows = texts(2, 60, 400)
+    monkeypatch.setattr(phrases, "FILTER_BITS", phrases.SEGMENT)
+    rows = texts(2, 60, 400) + [(i, "en", " ".join(f"v{j * j % 30011}" for j in range(60_000))) for i in (900, 901)]  # three bits full of four
     assert run(spark, rows, sample=2, sample_support=1)[0] == sorted(brute(rows))
 
 
@@ -77,32 +76,22 @@ def test_ranks_in_parts(spark, monkeypatch):
     assert run(spark, rows, most=20)[0] == want
 
 
-def test_long_texts_are_cut_between_words():
-    text = b"a b c d. e f g " * 40
-    whole = Counter()
-    for tokens, carried in phrases.token_chunks([text]):
-        for k, found, f in phrases.chunk_counts(tokens, carried, "en", None, 0):
-            whole.update(dict(zip(((k, p) for p in found.to_pylist()), f.tolist())))
-    for most in (1, 7, 50):
-        got = Counter()
-        for tokens, carried in phrases.token_chunks([text], most):
-            for k, found, f in phrases.chunk_counts(tokens, carried, "en", None, 0):
-                got.update(dict(zip(((k, p) for p in found.to_pylist()), f.tolist())))
-        assert +got == +whole
-
-
-def test_triples_across_a_cut(spark):
+@pytest.mark.parametrize("most", [1, 7, 50])
+def test_long_texts_are_cut_between_words(most):
     class All(phrases.Members):
         def __call__(self, keys, first=None):
             return phrases.np.full(len(keys), first is None)
 
-    text, got = b"a b c d e f g h " * 5, {}
-    for most in (1, 9, 1000):
-        got[most] = Counter()
-        for tokens, carried in phrases.token_chunks([text], most):
-            for k, found, f in phrases.chunk_counts(tokens, carried, "en", All([]), 0):
-                got[most].update({p: n for p, n in zip(found.to_pylist(), f.tolist()) if k == 3})
-    assert +got[1] == +got[9] == +got[1000] and got[1][b"h a b"] == 4
+    def found(members, most):
+        counter, out = phrases.Counter("en"), Counter()
+        counter.add([b"a b c d. e f g h " * 40, b"x", b""], most)
+        for length, keys, f, names in counter.results(members, 0):
+            out.update(dict(zip(((length, k) for k in (keys.tolist() if names is None else names.to_pylist())), f.tolist())))
+        return +out
+
+    for members in (None, All([])):
+        assert found(members, most) == found(members, 10**6)
+    assert found(All([]), most)[3, b"g h a"] == 39 and (3, b"c d e") not in found(All([]), most)
 
 
 def test_scores_are_exact(spark):
