@@ -18,7 +18,7 @@ WEIGHTS = {TAG: 0.99, PASSAGE: 0.95, NAME: 0.9, MENTION: 0.6}
 V = r"(?:version |v ?)?"
 LIC = r"(?: public| software| open source)? licen[sc]e"
 
-# Label, identifier in tags as words, and how the name is written in running text.
+# Label, identifier in tags as words, and how the name is written in running text.
 NAMES = [
     ("mit", "mit", r"(?:mit|expat)(?: x11)?" + LIC),
     ("mit-0", "mit 0", r"mit no attribution"),
@@ -176,7 +176,7 @@ NAMES = [
     ("zpl-2.1", "zpl 2 1", r"zope public licen[sc]e"),
 ]
 
-# Passages of the licences themselves (label, regex).
+# Passages of the licences themselves (label, regex).
 PASSAGES = [
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", r"the above copyright notice and this permission notice shall be included in all copies"),
@@ -225,7 +225,7 @@ PASSAGES = [
     ("proprietary", r"trade secrets?(?: [^ ]+){0,6} may not be disclosed without(?: prior)? written permission"),
 ]
 
-# General mentions (label, regex).
+# General mentions (label, regex).
 MENTIONS = [
     ("gpl", r"(?:gnu )?general public license"),
     ("lgpl", r"(?:gnu )?lesser general public license"),
@@ -259,7 +259,7 @@ MENTIONS = [
     ("eula", r"end user licen[sc]e agreement"),
 ]
 
-# Parts of the Creative Commons licences, as written in identifiers and in names.
+# Parts of the Creative Commons licences, as written in identifiers and in names.
 CC_KINDS = {
     "by": "attribution",
     "by sa": "attribution share ?alike",

@@ -85,8 +85,13 @@ def keep_outer(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, base (array of struct label, n, first, last) and detections (suppression applied)."""
-    norm = docs.select("*", normal(F.col(text)).alias("norm_")).withColumn("n_words", F.greatest(F.lit(0), F.when(F.col("norm_") == "  ", 0).otherwise(spaces(F.col("norm_")) - 1)).cast("long"))
+    """Adds n_words, base (array of struct label, n, first, last) and detections (suppression applied).
+
+    The row's own columns are carried as one struct, so no name of theirs clashes with one used here; only columns that have the name of
+    one of the three results are replaced by it.
+    """
+    own = [c for c in docs.columns if c not in ("n_words", "base", "detections")]
+    norm = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row_"), normal(F.col(text)).alias("norm_")).withColumn("n_words", F.greatest(F.lit(0), F.when(F.col("norm_") == "  ", 0).otherwise(spaces(F.col("norm_")) - 1)).cast("long"))
     base = [
         F.when(F.col(f"base_{i}").isNotNull(), F.struct(F.lit(label).alias("label"), *[F.col(f"base_{i}")[k].cast("long").alias(k) for k in ("n", "first", "last")]))
         for i, label in enumerate(BASE.values())
@@ -99,7 +104,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         norm.withColumn("base", F.array_compact(F.array(*base)))
         .withColumn("found_", F.when(gate, detections(F.col("norm_"))).otherwise(none))
         .withColumn("detections", keep_outer(F.col("found_")))
-        .drop("norm_", "found_", *[f"base_{i}" for i in range(len(BASE))])
+        .select(*[F.col("row_")[c].alias(c) for c in own], "n_words", "base", "detections")
     )
 
 

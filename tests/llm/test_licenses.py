@@ -55,8 +55,15 @@ def test_against_brute_force(spark):
 
 
 def test_empty_table_and_clashing_names(spark):
-    df = spark.createDataFrame([], "doc_id long, text string, n_words string")
-    assert licenses.scan(df.drop("n_words")).count() == 0
+    names = ["norm_", "found_", "row_", "base_0", "base_1", "start", "rule"]
+    text = "Licensed under the Apache License, Version 2.0. CC BY"
+    rows = [(1, text, *"abcdefg", "x", 5, [1])]
+    shape = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names) + ", n_words string, base int, detections array<int>"
+    df = spark.createDataFrame(rows, shape)
+    got, plain = licenses.scan(df).first(), licenses.scan(df.select("doc_id", "text")).first()
+    assert [got[n] for n in names] == list("abcdefg") and licenses.scan(df).columns == ["doc_id", "text", *names, "n_words", "base", "detections"]
+    assert (got.n_words, got.base, got.detections) == (plain.n_words, plain.base, plain.detections) and got.n_words == 10 and got.detections
+    assert licenses.scan(df.limit(0)).count() == 0
 
 
 def test_rules_are_reachable():
