@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import schema_of, stored, table
+from quire.llm.common import released, schema_of, stored, table
 from quire.llm.graph import block_pairs, components
 
 COSINE = 0.93
@@ -99,8 +99,11 @@ def _vectors(column) -> list[np.ndarray | None]:
         x = None
         if v and None not in v:
             x = np.array(v, float)
-            if not np.isfinite(x).all() or not np.isfinite(x @ x) or not (x @ x) > 0:
+            largest = np.abs(x).max()
+            if not np.isfinite(x).all() or not largest > 0:
                 x = None
+            elif not 1e-140 < largest < 1e140:
+                x = x / largest  # squares would over- or underflow
         out.append(x)
     return out
 
@@ -117,7 +120,7 @@ def _emit(batches: Iterator[pa.RecordBatch], hashes: int, tables: int, probes: i
     for batch in batches:
         for start in range(0, batch.num_rows, 4096):
             part = batch.slice(start, 4096)
-            vectors = [np.array(v, float) for v in part.column(3).to_pylist()]
+            vectors = _vectors(part.column(3))
             for d in sorted({len(v) for v in vectors}):
                 rows = np.array([i for i, v in enumerate(vectors) if len(v) == d])
                 x = np.stack([vectors[i] for i in rows])
@@ -204,7 +207,7 @@ def _compare(t: pa.Table, cosine: float) -> pa.Table:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None) -> DataFrame:
     """(vec_id, embedding, label) -> vec_id, n_links, component_id."""
     rows = vectors.select("vec_id", "embedding", "label")
-    marked = stored(rows.mapInArrow(_digests, schema_of(rows, "digest binary")), "near-vectors").withColumn("cid", F.when(F.col("digest").isNotNull(), F.xxhash64("label", "digest")))
+    marked = stored(rows.mapInArrow(released(_digests), schema_of(rows, "digest binary")), "near-vectors").withColumn("cid", F.when(F.col("digest").isNotNull(), F.xxhash64("label", "digest")))
     classes = marked.filter("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
     classes = stored(classes, "near-classes")
     largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -213,7 +216,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int | No
     tables, probes = tables or usual[0], probes or usual[1]
     kind = classes.schema["label"].dataType.simpleString()
     shape = f"cid long, label {kind}, n long, dims int, vector binary, keys binary, key long"
-    emitted = classes.select("cid", "label", "n", "embedding").mapInArrow(lambda it: _emit(it, hashes, tables, probes), shape)
+    emitted = classes.select("cid", "label", "n", "embedding").mapInArrow(released(lambda it: _emit(it, hashes, tables, probes)), shape)
     group = ["label", "dims", "key"]
     dealt = block_pairs(stored(emitted, "near-buckets"), group, "cid", BLOCK).withColumn("group", F.xxhash64(*group, "block_a", "block_b"))
     bins = max(1, math.ceil(classes.count() * tables * probes / BIN))

@@ -115,3 +115,10 @@ def test_recall_stays_with_more_hashes(hashes, d):
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     a, b = (neardup.bucket_keys(v, hashes, tables, probes).reshape(n, tables, probes) for v in (x, 0.93 * x + np.sqrt(1 - 0.93**2) * y))
     assert (a[..., None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.99
+
+
+def test_cosines_of_huge_and_tiny_vectors(spark):
+    """Squares that over- or underflow are no reason to leave a vector out."""
+    rows = [(1, [1e200, 0.0], 1), (2, [1e200, 1e190], 1), (3, [1e-200, 0.0], 2), (4, [1e-200, 1e-210], 2), (5, [0.0, 0.0], 1), (6, [3.0, 0.0], 1)]
+    got = {r[0]: r[1:] for r in run(spark, rows)}
+    assert got == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
