@@ -1,6 +1,6 @@
 """A FLAC codec for 8-bit mono PCM that works on many frames at once with numpy.
 
-Streams are written with the fixed predictors of order 0-4 and one Rice parameter a frame, and carry a seek point for
+Streams are written with the fixed predictors of order 0-2 (those of text bytes gain nothing by more) and one Rice parameter a frame, and carry a seek point for
 each frame. The reader takes any mono stream of up to 16 bits: constant, verbatim, fixed and LPC subframes, both Rice
 codings with partitions and escapes, wasted bits, and checks CRC-8, CRC-16 and MD5. Frames whose place is known from the
 seek table are decoded side by side: step s of the loop reads code s of every frame.
@@ -54,6 +54,13 @@ def _shifted(n: int) -> np.ndarray:
 _STACK: list[np.ndarray] = [np.zeros((0, 256), np.uint16)]
 
 
+def forget() -> None:
+    """Drops what the checksums keep; for the end of a task."""
+    _STACK[0] = np.zeros((0, 256), np.uint16)
+
+
+
+
 def crc16(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """CRC-16 of data[start:end] for each frame; the checksum is linear, so bytes add up by exclusive or."""
     lengths = ends - starts

@@ -19,13 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import schema_of, stored, table, text_parts, text_slices
+from quire.llm.common import released, schema_of, stored, table, text_parts, text_slices
 
 PAD = 64
 #: Text bytes that one call of the codec gets at most (a longer text goes alone).
 AT_ONCE = 2 << 20
 
 
+def _forget() -> None:
+    from quire.llm import flac
+
+    flac.forget()
+
+
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from quire.llm import flac
 
@@ -40,7 +46,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_flac(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, media)."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_write, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(_write), f"doc_id {kind}, n_bytes long, media binary")
 
 
 def _feature(pcm) -> str:
@@ -88,7 +94,7 @@ def read_flac(media: DataFrame) -> DataFrame:
     """(..., media) -> the same with pcm, blocks (sample_offset, n_samples), feature, error. Samples over 8 bits are little-endian 16-bit."""
     head = [c for c in media.columns if c != "media"]
     shape = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in [*head, "media"])
-    return media.select(*head, "media").mapInArrow(_read, f"{shape}, pcm binary, blocks array<struct<sample_offset: bigint, n_samples: int>>, feature string, error string")
+    return media.select(*head, "media").mapInArrow(released(_read, _forget), f"{shape}, pcm binary, blocks array<struct<sample_offset: bigint, n_samples: int>>, feature string, error string")
 
 
 def _sought(batches: Iterator[pa.RecordBatch], first: int, count: int) -> Iterator[pa.RecordBatch]:
@@ -116,7 +122,7 @@ def pcm_range(media: DataFrame, first: int, count: int) -> DataFrame:
     """(..., media) -> the same with range: `count` samples from offset `first` (below zero: from the end); null where media is null or damaged there."""
     head = [c for c in media.columns if c != "media"]
     rows = media.select(*head, "media")
-    return rows.mapInArrow(lambda it: _sought(it, first, count), schema_of(rows, "range binary"))
+    return rows.mapInArrow(released(lambda it: _sought(it, first, count), _forget), schema_of(rows, "range binary"))
 
 
 def pcm_blocks(read: DataFrame, sample_bytes: int = 1) -> DataFrame:
