@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from quire.llm.bytewords import hash_words, mix
 from quire.llm.common import released, stored, table, text_parts
@@ -351,7 +352,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component: the one with the least (doc_id, MD5 of the text), null ids first.
+    """docs without all but one document of each component: the one with the least (doc_id, MD5 of the text, other columns), null ids first.
 
     Documents without n-grams all stay. Columns stay as they are.
     """
@@ -360,5 +361,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row_"), key.alias("key_"))
     kept = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_")).agg(F.max("n_shingles").alias("n_"))
     mine = keyed.join(kept, F.col("key_") == F.col("kept_"))
-    first = F.row_number().over(W.partitionBy("key_").orderBy(F.lit(0)))
+    # Rows of one id and text differ in their other columns only; the least of those stays, whatever order they came in.
+    others = [F.col("row_")[f.name] for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    plain = [F.to_json(F.struct(c)) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else c for c, f in zip(others, [f for f in docs.schema.fields if f.name not in ("doc_id", "text")])]
+    first = F.row_number().over(W.partitionBy("key_").orderBy(*plain or [F.lit(0)]))
     return mine.withColumn("first_", first).filter("first_ = 1 or n_ = 0").select(*[F.col("row_")[c].alias(c) for c in docs.columns])

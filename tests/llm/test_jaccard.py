@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import jaccard
 
@@ -102,3 +103,12 @@ def test_one_of_each_keeps_columns(spark):
     got = jaccard.one_of_each(df)
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == [0, 2, 4, 5, 5]
+
+
+def test_which_of_equal_rows_stays_is_defined(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, s, [s]) for s in ("b", "a", "c", None)] + [(2, None, "x", ["y"]), (2, None, "x", ["y"])]
+    for seed in (1, 2, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, tags array<string>").repartition(seed).orderBy(F.rand(seed))
+        got = sorted(((r.doc_id, r.source) for r in jaccard.one_of_each(df).collect()), key=str)
+        assert got == [(1, None), (2, "x"), (2, "x")]
