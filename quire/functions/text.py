@@ -100,5 +100,8 @@ def local_vector(text: Column) -> Column:
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of whole texts; narrow bands first, so that long texts that are alike take little time."""
-    near, far = (F.levenshtein(a, b, n) for n in (16, 256))
-    return F.when(near >= 0, near).when(far >= 0, far).otherwise(F.levenshtein(a, b))
+    found = F.levenshtein(a, b)
+    for band in (4096, 256, 16):
+        within = F.levenshtein(a, b, band)
+        found = F.when(within >= 0, within).otherwise(found)
+    return found

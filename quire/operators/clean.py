@@ -187,10 +187,21 @@ def post_format(docs: DataFrame) -> DataFrame:
 
 
 def post_chapters(docs: DataFrame) -> DataFrame:
-    """A blank line before and after each chapter heading, unless a line end is there; counts headings."""
-    n = F.regexp_count(F.col("text"), F.lit(CHAPTERS)).cast("long")
-    steps = [(f"({CHAPTERS})", "\x01$1\x02"), ("(?<=[^\\n])\x01", "\n\n"), ("\x02(?=[^\\n\x01])", "\n\n"), ("\x02(?=\x01)", "\n\n"), ("[\x01\x02]", "")]
-    return replaced(docs.withColumn("n_chapters", n), steps)
+    """A blank line before and after each chapter heading, unless a line end is there; counts headings.
+
+    The text is cut at its headings. Where a part is empty, two headings touch, and one blank line goes between them.
+    """
+    cut = docs.withColumn("heads_", F.regexp_extract_all(F.col("text"), F.lit(CHAPTERS), F.lit(0))).withColumn("parts_", F.split("text", CHAPTERS, -1))
+    blank = F.lit("\n\n")
+
+    def spaced(part: Column, i: Column) -> Column:
+        head = F.get("heads_", i)
+        after = F.when((i > 0) & (part != "") & ~part.startswith("\n"), blank).otherwise("")
+        before = F.when(F.when(part == "", i > 0).otherwise(~part.endswith("\n")), blank).otherwise("")
+        return F.concat(after, part, F.when(head.isNull(), "").otherwise(F.concat(before, head)))
+
+    text = F.when(F.size("heads_") > 0, F.array_join(F.transform("parts_", spaced), "")).otherwise(F.col("text"))
+    return cut.withColumn("n_chapters", F.size("heads_").cast("long")).withColumn("text", text).drop("heads_", "parts_")
 
 
 def post_punct(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -270,40 +271,100 @@ def chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFr
 _TOKEN = re.compile(r"[一-鿿㐀-䶿豈-﫿]|[a-zA-Z]+|[0-9]+|\s+|.", re.DOTALL)
 
 
+def _furthest(reach: np.ndarray, d: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One more edit on all diagonals at once: the diagonals, where each path is after the edit, and where after the equal tokens behind it."""
+    zero = len(reach) // 2
+    k = np.arange(-d, d + 1, 2)
+    left, right = reach[zero + k - 1], reach[zero + k + 1]
+    x = np.where((k == -d) | ((k != d) & (left < right)), right, left + 1)
+    u = x.copy()
+    on = np.flatnonzero((u < len(p)) & (u - k < len(q)))
+    while len(on):
+        on = on[p[u[on]] == q[u[on] - k[on]]]
+        u[on] += 1
+        on = on[(u[on] < len(p)) & (u[on] - k[on] < len(q))]
+    reach[zero + k] = u
+    return k, x, u
+
+
+def _middle(p: np.ndarray, q: np.ndarray) -> tuple[int, int, int, int]:
+    """A stretch of equal tokens (x, y, u, v) in the middle of a shortest edit script: the two sides search from both ends at once and keep
+    only their furthest places on each diagonal, so space grows with the lengths and time with lengths times distance (Myers 1986)."""
+    n, delta, most = len(p), len(p) - len(q), (len(p) + len(q) + 1) // 2
+    forward, backward = np.full(2 * most + 5, -1), np.full(2 * most + 5, -1)
+    zero = len(forward) // 2
+    forward[zero + 1] = backward[zero + 1] = 0
+    for d in range(most + 1):
+        k, x, u = _furthest(forward, d, p, q)
+        if delta % 2:
+            met = np.flatnonzero(np.abs(k - delta) < d)
+            met = met[u[met] + backward[zero + delta - k[met]] >= n]
+            if len(met):
+                i = int(met[0])
+                return int(x[i]), int(x[i] - k[i]), int(u[i]), int(u[i] - k[i])
+        k, x, u = _furthest(backward, d, p[::-1], q[::-1])
+        if delta % 2 == 0:
+            met = np.flatnonzero(np.abs(k - delta) <= d)
+            met = met[u[met] + forward[zero + delta - k[met]] >= n]
+            if len(met):
+                i = int(met[0])
+                return n - int(u[i]), len(q) - int(u[i] - k[i]), n - int(x[i]), len(q) - int(x[i] - k[i])
+    raise AssertionError("two paths always meet")
+
+
+def _equal_runs(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(place in p, place in q, length) of the equal stretches of a shortest edit script, in order."""
+
+    def same(a: np.ndarray, b: np.ndarray) -> int:
+        k = min(len(a), len(b))
+        differ = np.flatnonzero(a[:k] != b[:k])
+        return int(differ[0]) if len(differ) else k
+
+    # Ranges of both sides that are still to be compared, or that are equal, the next one on top.
+    stack = [(0, len(p), 0, len(q), False)]
+    while stack:
+        a, b, c, d, equal = stack.pop()
+        if equal:
+            yield a, c, b - a
+            continue
+        head = same(p[a:b], q[c:d])
+        tail = same(p[a + head : b][::-1], q[c + head : d][::-1])
+        if head:
+            yield a, c, head
+        if tail:
+            stack.append((b - tail, b, d - tail, d, True))
+        a, b, c, d = a + head, b - tail, c + head, d - tail
+        if a < b and c < d:
+            i, j, u, v = _middle(p[a:b], q[c:d])
+            stack += [(a + u, b, c + v, d, False), (a + i, a + u, c + j, c + v, True), (a, a + i, c, c + j, False)]
+
+
+def edit_steps(x: list[str], y: list[str]) -> Iterator[tuple[str, list[str]]]:
+    """A shortest script of insertions and deletions, in order, as (equal, delete or insert, tokens). Tokens that one side alone has are
+    never equal, so only the others are compared."""
+    number: dict[str, int] = {}
+    p, q = (np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (x, y))
+    both = np.intersect1d(p, q)
+    in_p, in_q = np.flatnonzero(np.isin(p, both)), np.flatnonzero(np.isin(q, both))
+    a = b = 0
+    for i, j, n in _equal_runs(p[in_p], q[in_q]):
+        for u, v in zip(in_p[i : i + n].tolist(), in_q[j : j + n].tolist()):
+            yield from (("delete", x[a:u]), ("insert", y[b:v]), ("equal", x[u : u + 1]))
+            a, b = u + 1, v + 1
+    yield from (("delete", x[a:]), ("insert", y[b:]))
+
+
 def diff_tokens(a: str, b: str) -> list[tuple[str, str]]:
     """A shortest edit script over tokens as (equal, delete or insert, text), neighbours of one kind joined."""
-    x, y = _TOKEN.findall(a), _TOKEN.findall(b)
-    head = 0
-    while head < min(len(x), len(y)) and x[head] == y[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    p, q = x[head : len(x) - tail], y[head : len(y) - tail]
-    longest = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-    for i in reversed(range(len(p))):
-        for j in reversed(range(len(q))):
-            longest[i][j] = longest[i + 1][j + 1] + 1 if p[i] == q[j] else max(longest[i + 1][j], longest[i][j + 1])
-    steps = [("equal", t) for t in x[:head]]
-    i = j = 0
-    while i < len(p) or j < len(q):
-        if i < len(p) and j < len(q) and p[i] == q[j]:
-            steps.append(("equal", p[i]))
-            i, j = i + 1, j + 1
-        elif i < len(p) and (j == len(q) or longest[i + 1][j] >= longest[i][j + 1]):
-            steps.append(("delete", p[i]))
-            i += 1
-        else:
-            steps.append(("insert", q[j]))
-            j += 1
-    steps += [("equal", t) for t in x[len(x) - tail :]]
-    out: list[tuple[str, str]] = []
-    for kind, t in steps:
+    out: list[tuple[str, list[str]]] = []
+    for kind, tokens in edit_steps(_TOKEN.findall(a), _TOKEN.findall(b)):
+        if not tokens:
+            continue
         if out and out[-1][0] == kind:
-            out[-1] = (kind, out[-1][1] + t)
+            out[-1][1].extend(tokens)
         else:
-            out.append((kind, t))
-    return out
+            out.append((kind, list(tokens)))
+    return [(kind, "".join(tokens)) for kind, tokens in out]
 
 
 def paragraph_diff(review: DataFrame) -> DataFrame:

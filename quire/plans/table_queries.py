@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from quire.plans.text_queries import DIGEST, digest
 from quire.plans.views import NOW, oracle, view
 from quire.plans.views import review as review_rows
 from quire.sources import corpus
-from quire.streaming import jobs
+from quire.sources.shared import shared_folder
+from quire.streaming import ingest, jobs, ordered
 
 #: Moments that lie within the tables' times, and sizes of quotas.
 SHIP_NOW = "1996-06-01 00:00:00"
@@ -168,10 +171,23 @@ SQL_REPORT = oracle(
 
 
 def q_st_ingest(spark, sf_dir):
-    """Documents as a stream of file contents: each content is catalogued once."""
+    """Documents as a stream of file contents, some of them again in GBK: each content is catalogued once, cleaned and cut."""
     docs = jobs.stream_of(spark, sf_dir, "documents")
-    files = docs.select(F.concat(F.lit("/in/"), F.md5("text"), F.lit("-t.txt")).alias("path"), F.lit(NOW).cast("timestamp").alias("modificationTime"), F.col("text").cast("binary").alias("content"))
-    return jobs.finished(jobs.ingest(files)).select("md5", "file_size")
+    contents = F.explode(F.array(F.col("text").cast("binary"), F.concat(F.unhex(F.lit("C4E3BAC30A")), F.col("text").cast("binary")), F.col("text").cast("binary")))
+    files = docs.select("doc_id", F.lit(NOW).cast("timestamp").alias("modificationTime"), contents.alias("content")).withColumn("path", F.concat(F.lit("/in/some one-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    base = f"{shared_folder(spark)}/quire-ingest-{uuid.uuid4().hex}"
+    ingest.ingest(files, base, lambda d: clean.html_entities(d).drop("n"))
+    found = ingest.catalogue(spark, base).join(ingest.stored_paragraphs(spark, base).groupBy("md5").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.char_length("text")).alias("chars")), "md5", "left")
+    return found.select("md5", "file_size", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
+_chain = "t"
+for _what, _by in clean.ENTITIES.items():
+    _chain = f"replace({_chain}, '{_what}', '{_by.replace(chr(39), chr(39) * 2)}')"
+#: Each content twice: as it is, and with a line in GBK before it; then its text, cleaned and cut.
+SQL_ST_INGEST = rf"""SELECT m AS md5, octet_length(b) AS file_size, CAST(len(l) AS BIGINT) AS paragraphs, CAST(coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) AS BIGINT) AS chars FROM (
+ SELECT m, b, list_filter(list_transform(string_split(regexp_replace({_chain}, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '{T}', '', 'g')), lambda x: x <> '') AS l FROM (
+  SELECT DISTINCT md5(encode(text)) AS m, encode(text) AS b, text AS t FROM documents UNION SELECT DISTINCT md5(unhex('C4E3BAC30A') || encode(text)), unhex('C4E3BAC30A') || encode(text), '你好' || chr(10) || text FROM documents))"""
 
 
 def q_st_rates(spark, sf_dir):
@@ -187,12 +203,12 @@ SQL_ST_RATES = """SELECT window_start, hits, retries, round(hits * 100.0::DOUBLE
 
 def q_st_health(spark, sf_dir):
     checks = jobs.stream_of(spark, sf_dir, "events").selectExpr("user_id AS service", "event_id", "ts", "event_type <> 'error' AS healthy", "CAST(floor(value) AS BIGINT) AS duration_ms")
-    return jobs.finished(jobs.health(checks))
+    return jobs.finished(ordered.health(checks))
 
 
 def q_st_quota(spark, sf_dir):
     requests = jobs.stream_of(spark, sf_dir, "events").selectExpr("user_id AS key", "event_id", "ts")
-    return jobs.finished(jobs.quota(requests, LIMIT, SECONDS))
+    return jobs.finished(ordered.quota(requests, LIMIT, SECONDS))
 
 
 def q_st_cleaning(spark, sf_dir):
@@ -213,6 +229,30 @@ def rate(job, column: str):
     return query
 
 
+def recursive(source: str, sql: str) -> str:
+    """SQL with recursive parts over one of the stand-in tables."""
+    probe = f"SELECT 1 FROM {source}"
+    return oracle(probe).removesuffix(probe).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + sql
+
+
+SQL_QUOTA = recursive(
+    "requests",
+    f"""r AS MATERIALIZED (SELECT key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS k FROM requests),
+s AS (SELECT key, event_id, k, us + {SECONDS * 1_000_000} AS e, 1 AS c, true AS allowed FROM r WHERE k = 1
+ UNION ALL SELECT r.key, r.event_id, r.k, CASE WHEN r.us > s.e THEN r.us + {SECONDS * 1_000_000} ELSE s.e END, CASE WHEN r.us > s.e THEN 1 WHEN s.c >= {LIMIT} THEN s.c ELSE s.c + 1 END, r.us > s.e OR s.c < {LIMIT}
+ FROM s JOIN r ON r.key = s.key AND r.k = s.k + 1)
+SELECT key, event_id, allowed FROM s""",
+)
+SQL_HEALTH = recursive(
+    "checks",
+    f"""r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS k FROM checks),
+s AS (SELECT DISTINCT service, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS avg_ms, CAST(0 AS BIGINT) AS errors, true AS healthy, false AS flipped, true AS enabled FROM r
+ UNION ALL SELECT r.service, r.event_id, r.k, CASE WHEN NOT r.healthy THEN avg_ms WHEN avg_ms = 0 THEN r.duration_ms ELSE (avg_ms * 9 + r.duration_ms) // 10 END, CASE WHEN r.healthy THEN 0 ELSE errors + 1 END,
+  r.healthy, r.healthy <> s.healthy, s.enabled AND NOT (r.healthy <> s.healthy AND CASE WHEN r.healthy THEN 0 ELSE errors + 1 END >= {health.ERROR_LIMIT})
+ FROM s JOIN r ON r.service = s.service AND r.k = s.k + 1)
+SELECT service, event_id, avg_ms, errors, flipped, enabled FROM s WHERE k > 0""",
+)
+
 DAY = f"created_at >= TIMESTAMP '{SHIP_NOW}' - INTERVAL 1 DAY"
 COUNTS = f"(SELECT (SELECT count(*) FROM cache WHERE {DAY}) AS h, (SELECT count(*) FROM retries WHERE {DAY.replace('created_at', 'updated_at')}) AS r)"
 
@@ -252,7 +292,7 @@ QUERIES = {
     "win_upsert_latest": (q_upsert, SQL_UPSERT),
     "win_best_prompt": (q_best_prompt, SQL_BEST_PROMPT),
     "win_health_runs": (on("checks", lambda c: health.health_runs(c).select("service", "event_id", "flipped", "errors")), SQL_HEALTH_RUNS),
-    "win_health_ema": (on("checks", health.health_ema), None),
+    "win_health_ema": (on("checks", health.health_ema), SQL_HEALTH),
     "top_list_files": (on("files", lambda f: catalog.page(f, 50, 100).select("id", "created_at")), oracle("SELECT id, created_at FROM files ORDER BY created_at DESC, id LIMIT 50 OFFSET 100")),
     "top_due_retries": (
         on("retries", lambda r: catalog.due_retries(r, SHIP_NOW, 100).select("file_id", "chunk_id", "next_retry_at").groupBy("file_id", "chunk_id").agg(F.max("next_retry_at").alias("next_retry_at"))),
@@ -270,10 +310,10 @@ QUERIES = {
         on("retries", lambda r: catalog.enqueue(r, SHIP_NOW).select("file_id", "chunk_id", "retry_count", "next_retry_at", "status")),
         oracle(f"SELECT file_id, chunk_id, retry_count, TIMESTAMP '{SHIP_NOW}' + to_minutes(CAST(least(pow(2, retry_count), 60) AS INT)) AS next_retry_at, 'pending' AS status FROM retries"),
     ),
-    "st_ingest": (q_st_ingest, "SELECT DISTINCT md5(text) AS md5, octet_length(encode(text)) AS file_size FROM documents"),
+    "st_ingest": (q_st_ingest, SQL_ST_INGEST),
     "st_rates": (q_st_rates, SQL_ST_RATES),
-    "st_health": (q_st_health, None),
-    "st_quota": (q_st_quota, None),
-    "st_quota_batch": (on("requests", lambda r: health.quota(r, LIMIT, SECONDS)), None),
+    "st_health": (q_st_health, SQL_HEALTH),
+    "st_quota": (q_st_quota, SQL_QUOTA),
+    "st_quota_batch": (on("requests", lambda r: health.quota(r, LIMIT, SECONDS)), SQL_QUOTA),
     "st_cleaning": (q_st_cleaning, SQL_ST_CLEANING),
 }

@@ -9,11 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as fn
-from quire.operators import clean, dedup, review, segment
-from quire.plans.views import lines, oracle, paragraphs, view
+from quire.operators import changes, clean, dedup, review, segment
+from quire.plans.views import lines, oracle, paragraphs, repairs, view
 from quire.plans.views import review as review_rows
 from quire.sources import corpus
-from quire.streaming.jobs import shared_folder
+from quire.sources.shared import shared_folder
 
 T = fn.TRIM
 MARK = clean.MARKER
@@ -63,7 +63,7 @@ BASIC_SPACE = sql_chain(sql_chain(sql_chain(sql_chain("text", [(clean.CONTROL, "
 PRE_SPACE = sql_chain(sql_chain(sql_chain("text", [("[ \t\f\r]+", " ")]), [(" \n", "\n"), ("\n ", "\n")], True), [("\n{3,}", "\n\n"), (T, "")])
 #: The context rule for half-width marks, character by character.
 CJK_CHAR = (
-    "lambda c, i: CASE WHEN strpos(',.:;?!()[]', c) > 0 AND len(list_filter(list_slice(cs, i - 3, i + 2), lambda x: regexp_matches(x, '\\p{Han}'))) > 0 "
+    "lambda c, i: CASE WHEN strpos(',.:;?!()[]', c) > 0 AND len(list_filter(list_slice(cs, greatest(i - 3, 1), i + 2), lambda x: regexp_matches(x, '\\p{Han}'))) > 0 "
     "THEN substr('，。：；？！（）【】', strpos(',.:;?!()[]', c), 1) ELSE c END"
 )
 
@@ -147,11 +147,68 @@ SIMPLE = f"translate({{}}, '{clean.TRADITIONAL}', '{clean.SIMPLIFIED}')"
 
 
 def q_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of the whole cleaning, with its place."""
+    found = changes.change_rows(view(spark, sf_dir, "seeded"))
+    return found.select("doc_id", "step", "nth", "stage", "kind", "original", "replacement", "position", "confidence")
+
+
+def q_ads_changes(steps: list[changes.Step]):
+    return lambda spark, sf_dir: changes.change_rows(view(spark, sf_dir, "seeded"), steps).select("doc_id", "step", "nth", "original", "position")
+
+
+def q_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned documents with their changes taken back."""
+    return digest(changes.undone(changes.logged(view(spark, sf_dir, "seeded").select("doc_id", "text"))))
+
+
+#: What DuckDB needs in another form: a pattern without look-around, and what the hit itself is.
+TRAILING, CONTEXT = "[ \t]+(?=\n|\\z)", clean.NEAR_HAN
+
+
+def sql_log(steps: list[changes.Step], source: str = "seeded", more: str = "", text: str = "t") -> str:
+    """A CTE for each step's text, and the records of all steps."""
+    ctes, rows = [f"c0 AS MATERIALIZED (SELECT doc_id, text AS t FROM {source})"], []
+    for k, step in enumerate(steps):
+        p = quote("[ \t]+(?:\n|\\z)" if step.pattern == TRAILING else step.pattern)
+        head = f"{k + 1} AS step, '{step.stage}' AS stage, '{step.kind}' AS kind"
+        if step.pattern == CONTEXT:
+            ctes.append(f"p{k} AS MATERIALIZED (SELECT doc_id, cs, list_transform(cs, {CJK_CHAR}) AS ds FROM (SELECT doc_id, string_split(t, '') AS cs FROM c{k}))")
+            ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT doc_id, array_to_string(ds, '') AS t FROM p{k})")
+            rows.append(f"SELECT doc_id, {head}, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth, cs[i] AS original, ds[i] AS replacement, i - 1 AS position FROM (SELECT doc_id, cs, ds, unnest(range(1, len(cs) + 1)) AS i FROM p{k}) WHERE cs[i] <> ds[i]")
+            continue
+        if step.kind == "garbled":
+            by = f"'{MARK[0]}' || length(h) || '{MARK[1]}'"
+            new = f"array_to_string(list_transform(list_zip(string_split_regex(t, {p}), regexp_extract_all(t, {p})), lambda z: z[1] || coalesce('{MARK[0]}' || length(z[2]) || '{MARK[1]}', '')), '')"
+        elif step.kind == "traditional":
+            by, new = SIMPLE.format("h"), SIMPLE.format("t")
+        else:
+            by, new = quote(step.by), f"regexp_replace(t, {p}, {quote(step.by)}, 'g')"
+        if step.pattern == TRAILING:
+            new = f"regexp_replace(t, '[ \t]+(\n|\\z)', '\\1', 'g')"
+        ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT doc_id, {new} AS t FROM c{k})")
+        rows.append(
+            f"""SELECT doc_id, {head}, i AS nth, h AS original, {by} AS replacement, position FROM (SELECT doc_id, i, rtrim(hits[i], {"chr(10)" if step.pattern == TRAILING else "''"}) AS h,
+ CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS position
+FROM (SELECT doc_id, hits, parts, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS hits, string_split_regex(t, {p}) AS parts FROM c{k}) WHERE len(hits) > 0))"""
+        )
+    body = " UNION ALL ".join(f"SELECT doc_id, step, stage, kind, CAST(nth AS BIGINT) AS nth, original, replacement, position FROM ({r})" for r in rows)
+    return f"{', '.join(ctes)}, log AS ({body})"
+
+
+def with_log(steps: list[changes.Step], select: str) -> str:
+    """The log of the seeded texts, and a SELECT over it and c0, c1, ..."""
+    views = oracle("SELECT 1 FROM seeded").removesuffix("SELECT 1 FROM seeded").rstrip()
+    return f"{views}, {sql_log(steps)} {select}"
+
+
+SQL_CHANGES = with_log(changes.ALL, "SELECT doc_id, step, nth, stage, kind, original, replacement, position, CAST(CASE kind WHEN 'garbled' THEN 1 ELSE 0 END AS DOUBLE) AS confidence FROM log")
+
+def q_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.changes(view(spark, sf_dir, "seeded"))
 
 
 def q_clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_changes(spark, sf_dir).groupBy("stage", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    return q_change_counts(spark, sf_dir).groupBy("stage", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 def sql_changes() -> str:
@@ -289,22 +346,21 @@ SELECT doc_id, idx, max(j) AS near_idx, round(arg_max(sim, j), 6) AS sim FROM (S
 
 
 def q_valid_repair(spark, sf_dir):
-    r = review_rows(spark, sf_dir)
-    suggested = F.when(F.col("idx") % 3 == 0, F.col("suggested_text")).when(F.col("idx") % 3 == 1, F.concat("original_text", "original_text")).otherwise(F.reverse("original_text"))
-    return r.withColumn("s", F.when(F.col("idx") % 4 == 0, F.col("suggested_text")).otherwise(suggested)).select("doc_id", "idx", review.repair_verdict(F.col("original_text"), F.col("s")).alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    return q_valid_repair_rows(spark, sf_dir).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_valid_repair_ascii(spark, sf_dir):
-    r = review_rows(spark, sf_dir).filter(~F.col("original_text").rlike("[^\\x00-\\x7F]"))
-    s = F.when(F.col("idx") % 4 == 0, F.col("suggested_text")).otherwise(F.replace("original_text", F.lit("e"), F.lit("")))
-    return r.select("doc_id", "idx", review.repair_verdict(F.col("original_text"), s).alias("verdict"))
+def q_valid_repair_rows(spark, sf_dir):
+    """All rows, whatever their script, with suggestions of many kinds."""
+    return repairs(spark, sf_dir).select("doc_id", "idx", review.repair_verdict(F.col("original"), F.col("suggested")).alias("verdict"))
 
 
+#: DuckDB's distance is of bytes: characters beyond ASCII become control bytes, which no text has here.
+BYTES = "translate({}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü。', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(14) || chr(15) || chr(16) || chr(17) || chr(18) || chr(19) || chr(20) || chr(21) || chr(22) || chr(23) || chr(24) || chr(25) || chr(26) || chr(27))"
+DISTANCE = f"levenshtein({BYTES.format('o')}, {BYTES.format('s')})"
 SQL_VALID_REPAIR = oracle(
-    r"""SELECT doc_id, idx, CASE WHEN a = 0 OR b = 0 THEN 'empty' WHEN least(a, b) < 15 AND a <> b THEN 'short_changed'
- WHEN abs(a - b) > 2 AND abs(a - b) / greatest(a, b) > 0.2 THEN 'length' WHEN greatest(a, b) <= 500 AND levenshtein(o, s) / greatest(a, b) > 0.25 THEN 'distance' ELSE 'ok' END AS verdict
-FROM (SELECT *, length(o) AS a, length(s) AS b FROM (SELECT doc_id, idx, original_text AS o, CASE WHEN idx % 4 = 0 THEN suggested_text ELSE replace(original_text, 'e', '') END AS s FROM review
- WHERE NOT regexp_matches(original_text, '[^\x00-\x7F]')))"""
+    f"""SELECT doc_id, idx, CASE WHEN a = 0 OR b = 0 THEN 'empty' WHEN regexp_matches(s[1], '{review.ENDS}') AND s[1] = o[-1] AND o[1] <> s[1] THEN 'moved_mark' WHEN least(a, b) < 15 AND a <> b THEN 'short_changed'
+ WHEN abs(a - b) > 2 AND abs(a - b) / greatest(a, b) > 0.2 THEN 'length' WHEN CASE WHEN greatest(a, b) <= 500 THEN {DISTANCE} / greatest(a, b) > 0.25 ELSE false END THEN 'distance' ELSE 'ok' END AS verdict
+FROM (SELECT *, length(o) AS a, length(s) AS b FROM (SELECT doc_id, idx, original AS o, suggested AS s FROM repairs))"""
 )
 
 
@@ -396,10 +452,16 @@ def q_paragraph_diff(spark, sf_dir):
     r = review_rows(spark, sf_dir).withColumn("suggested_text", F.replace("original_text", F.lit("the"), F.lit("THE!")))
     d = segment.paragraph_diff(r)
     side = lambda kinds: F.array_join(F.transform(F.filter("ops", lambda o: o["type"].isin(*kinds)), lambda o: o["value"]), "")
-    return d.select("doc_id", "idx", F.md5(side(["equal", "delete"]).cast("binary")).alias("before_md5"), F.md5(side(["equal", "insert"]).cast("binary")).alias("after_md5"))
+    kept = F.aggregate(F.filter("ops", lambda o: o["type"] == "equal"), F.lit(0).cast("long"), lambda n, o: n + F.regexp_count(o["value"], F.lit(TOKEN)))
+    return d.select("doc_id", "idx", F.md5(side(["equal", "delete"]).cast("binary")).alias("before_md5"), F.md5(side(["equal", "insert"]).cast("binary")).alias("after_md5"), kept.alias("kept"))
 
 
-SQL_PARAGRAPH_DIFF = oracle("SELECT doc_id, idx, md5(original_text) AS before_md5, md5(replace(original_text, 'the', 'THE!')) AS after_md5 FROM review")
+#: A token of a diff, as Java and RE2 write it. No token of the new text has `the`, and all others can stay.
+TOKEN = "(?s)[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]|[a-zA-Z]+|[0-9]+|\\s+|."
+SQL_PARAGRAPH_DIFF = oracle(
+    f"""SELECT doc_id, idx, md5(original_text) AS before_md5, md5(replace(original_text, 'the', 'THE!')) AS after_md5,
+ CAST(len(list_filter(regexp_extract_all(original_text, '{TOKEN}'), lambda t: NOT contains(t, 'the'))) AS BIGINT) AS kept FROM review"""
+)
 
 
 def q_join_paragraphs(spark, sf_dir):
@@ -407,8 +469,8 @@ def q_join_paragraphs(spark, sf_dir):
 
 
 def q_levenshtein(spark, sf_dir):
-    """All review rows, whole texts of any script; DuckDB's distance is of bytes, so there is no SQL."""
-    return review_rows(spark, sf_dir).select("doc_id", "idx", fn.edit_distance(F.col("original_text"), F.col("suggested_text")).alias("distance"))
+    """All repairs, whole texts of any script."""
+    return repairs(spark, sf_dir).select("doc_id", "idx", fn.edit_distance(F.col("original"), F.col("suggested")).cast("long").alias("distance"))
 
 
 def q_positional(spark, sf_dir):
@@ -533,7 +595,12 @@ SQL_DICT_REPAIR = oracle(
     f"SELECT doc_id, idx, CAST(CASE WHEN length(text) >= 10 THEN {TYPO_HITS} ELSE 0 END AS BIGINT) AS n, md5(CASE WHEN length(text) >= 10 THEN {sql_chain('text', list(clean.TYPOS), True)} ELSE text END) AS text_md5 FROM paragraphs"
 )
 
-CHAPTER_STEPS = [(f"({clean.CHAPTERS})", "\x01\\1\x02"), ("([^\n])\x01", "\\1\n\n"), ("\x02([^\n\x01])", "\n\n\\1"), ("\x02\x01", "\n\n"), ("[\x01\x02]", "")]
+SQL_POST_CHAPTERS = oracle(
+    f"""SELECT {DIGEST}, n_chapters FROM (SELECT doc_id, CAST(len(h) AS BIGINT) AS n_chapters, array_to_string(list_transform(p, lambda x, i:
+ CASE WHEN i > 1 AND x <> '' AND x[1] <> chr(10) THEN chr(10) || chr(10) ELSE '' END || x ||
+ CASE WHEN i > len(h) THEN '' WHEN (x = '' AND i > 1) OR (x <> '' AND x[-1] <> chr(10)) THEN chr(10) || chr(10) || h[i] ELSE h[i] END), '') AS text
+FROM (SELECT doc_id, regexp_extract_all(text, '{clean.CHAPTERS}') AS h, string_split_regex(text, '{clean.CHAPTERS}') AS p FROM seeded))"""
+)
 #: A full stop is looked at with its neighbours; then runs of each mark collapse.
 SQL_POST_PUNCT = oracle(
     f"""SELECT {DIGEST} FROM (SELECT doc_id, {sql_chain("t", [(m + "+", m) for m in "，。：；？！"])} AS text FROM (SELECT doc_id, array_to_string(list_transform(cs, lambda c, i:
@@ -570,16 +637,20 @@ QUERIES = {
     ),
     "cl_sanitize_paragraph": (lambda s, d: digest(view(s, d, "seeded").withColumn("text", clean.sanitize_paragraph(F.col("text")))), sql_text("regexp_replace(text, '[\\r\\n]', '', 'g')")),
     "cl_post_format": (cleaned(clean.post_format), sql_text(sql_chain("text", [("\n{3,}", "\n\n"), (T, "")]))),
-    "cl_post_chapters": (cleaned(clean.post_chapters, "n_chapters"), sql_text(sql_chain("text", CHAPTER_STEPS), f"CAST(len(regexp_extract_all(text, '{clean.CHAPTERS}')) AS BIGINT) AS n_chapters")),
+    "cl_post_chapters": (cleaned(clean.post_chapters, "n_chapters"), SQL_POST_CHAPTERS),
     "cl_post_punct": (cleaned(clean.post_punct), SQL_POST_PUNCT),
     "cl_step_cleaning": (q_step_cleaning, None),
-    "cl_changes": (q_changes, sql_changes()),
+    "cl_changes": (q_changes, SQL_CHANGES),
+    "cl_changes_undone": (q_undone, oracle(f"SELECT {DIGEST} FROM seeded")),
+    "cl_ads_basic_changes": (q_ads_changes(changes.ADS_BASIC), with_log(changes.ADS_BASIC, "SELECT doc_id, step, nth, original, position FROM log")),
+    "cl_ads_pre_changes": (q_ads_changes(changes.ADS_PRE), with_log(changes.ADS_PRE, "SELECT doc_id, step, nth, original, position FROM log")),
+    "cl_change_counts": (q_change_counts, sql_changes()),
     "agg_clean_stats": (q_clean_stats, f"SELECT stage, kind, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM ({sql_changes()}) GROUP BY stage, kind"),
     "flt_needs_resegmentation": (q_gate, SQL_GATE),
     "flt_chapter_title": (q_title, oracle(f"SELECT doc_id, idx, regexp_matches(regexp_replace(text, '{T}', '', 'g'), '{segment.TITLE}') AS is_title FROM paragraphs".replace("[\\s\\S]", "[\\x00-\\x{10FFFF}]"))),
     "flt_short_paragraph": (q_short, oracle(f"SELECT doc_id, idx, length({NORM}) < {dedup.MIN_LENGTH} AS dedup_short, length(text) < {segment.MIN_PARAGRAPH} AS merge_short FROM paragraphs")),
-    "flt_valid_repair": (q_valid_repair_ascii, SQL_VALID_REPAIR),
-    "flt_valid_repair_all": (q_valid_repair, None),
+    "flt_valid_repair": (q_valid_repair_rows, SQL_VALID_REPAIR),
+    "flt_valid_repair_all": (q_valid_repair, f"SELECT verdict, count(*) AS n FROM ({SQL_VALID_REPAIR}) GROUP BY verdict"),
     "flt_bad_rewrite": (q_bad_rewrite, SQL_BAD_REWRITE),
     "flt_error_class": (q_error_class, oracle(f"SELECT id, regexp_matches(concat(details, action, CAST(id AS STRING)), '{review.RETRYABLE}') AS retryable FROM logs")),
     "gen_paragraphs": (q_paragraphs, oracle("SELECT doc_id, idx, text FROM paragraphs")),
@@ -603,7 +674,7 @@ QUERIES = {
     "set_review_union": (q_review_union, SQL_REVIEW_UNION),
     "fn_local_vector": (q_local_vector, SQL_LOCAL_VECTOR),
     "fn_cosine": (q_cosine, oracle(f"SELECT a.idx, round({COS.format('a.vec', 'b.vec')}, 6) AS cosine FROM vectors a JOIN vectors b ON a.idx = b.idx + 1")),
-    "fn_levenshtein": (q_levenshtein, None),
+    "fn_levenshtein": (q_levenshtein, oracle(f"SELECT doc_id, idx, {DISTANCE} AS distance FROM (SELECT doc_id, idx, original AS o, suggested AS s FROM repairs)")),
     "fn_positional_similarity": (q_positional, SQL_POSITIONAL),
     "fn_normalize_paragraph": (lambda s, d: paragraphs(s, d).select("doc_id", "idx", fn.normalize_paragraph(F.col("text")).alias("norm")), oracle(f"SELECT doc_id, idx, {NORM} AS norm FROM paragraphs")),
     "fn_utrim": (lambda s, d: digest(view(s, d, "seeded").withColumn("text", fn.utrim(F.concat(F.lit("　 "), "text", F.lit("  "))))), sql_text(f"regexp_replace(concat('　 ', text, chr(160), chr(8195)), '{T}', '', 'g')")),

@@ -46,6 +46,12 @@ FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "requests": "SELECT user_id AS key, event_id, ts FROM {events}",
 }
 
+#: A suggestion for every review row: an added mark, other letters, moved or reversed parts, longer words, a moved end mark, nothing.
+REPAIR = "(doc_id + CAST(idx / 2 AS INT)) % 8"
+SUGGESTED = f"""CASE {REPAIR} WHEN 0 THEN concat(text, '*') WHEN 1 THEN replace(text, 'e', 'é') WHEN 2 THEN concat(substr(text, 41), substr(text, 1, 40)) WHEN 3 THEN replace(text, 'the', 'THE!')
+ WHEN 4 THEN concat('。', text) WHEN 5 THEN substr(text, 31) WHEN 6 THEN concat(reverse(substr(text, 1, 60)), substr(text, 61)) ELSE CASE WHEN doc_id % 3 = 0 THEN '' ELSE replace(text, ' ', '') END END"""
+ORIGINAL = f"CASE {REPAIR} WHEN 4 THEN concat(text, '。') ELSE text END"
+
 #: Lines of documents and the review rows made from them; Spark's side is in `lines` and `review`.
 ORACLE_VIEWS = {
     "lines": "SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS idx, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
@@ -53,6 +59,7 @@ ORACLE_VIEWS = {
   CASE (doc_id + idx) % 3 WHEN 0 THEN 'duplicate_paragraph' ELSE 'llm_repair' END AS kind,
   CASE (doc_id + idx) % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'edited' ELSE 'pending' END AS status
 FROM lines WHERE idx % 2 = 0""",
+    "repairs": f"SELECT doc_id, idx, {ORIGINAL} AS original, {SUGGESTED} AS suggested FROM lines WHERE idx % 2 = 0",
     "paragraphs": r"""SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS idx, unnest(l) AS text FROM (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '{TRIM}', '', 'g')), lambda x: x <> '') AS l FROM seeded)""",
 }
@@ -76,6 +83,10 @@ def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).filter("idx % 2 = 0").selectExpr("doc_id", "idx", f"{ORIGINAL} AS original", f"{SUGGESTED} AS suggested")
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.paragraphs(view(spark, sf_dir, "seeded"))
 

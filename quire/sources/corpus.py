@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions.text import parse_filename
 
@@ -52,6 +53,28 @@ def decode_corpus(files: DataFrame, key: str = "path") -> DataFrame:
     return good.unionByName(bad)
 
 
+@F.pandas_udf(StringType())
+def _decoded_whole(content: pd.Series) -> pd.Series:
+    def one(raw) -> str | None:
+        if raw is None:
+            return None
+        lines = []
+        for line in bytes(raw).split(b"\n"):
+            try:
+                lines.append(line.decode())
+            except UnicodeDecodeError:
+                lines.append(_decoded(line)[0])
+        return "\n".join(lines)
+
+    return content.map(one)
+
+
+def decoded(content: Column) -> Column:
+    """The text of a file's bytes: UTF-8 if all of it is, else line by line as `decode_corpus` does. Only such files go to Python."""
+    valid = F.is_valid_utf8(content.cast("string"))
+    return F.coalesce(F.when(valid, content.cast("string")), _decoded_whole(F.when(~valid, content)))
+
+
 def file_catalog(files: DataFrame) -> DataFrame:
     """(path, content) -> md5, size, file_name, author, title."""
     name = F.regexp_extract("path", r"([^/]*)\z", 1)

@@ -1,28 +1,15 @@
-"""Streams: ingest, rates, health, quotas, cleaning. Each has a batch twin that gives the same rows."""
+"""Streams: rates and cleaning, and how a stream runs to its end. Each has a batch twin that gives the same rows."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.clean import basic_clean
-from quire.operators.health import HEALTH_SCHEMA, ServiceState, Window_
-from quire.sources.corpus import file_catalog
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one if the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quire-stream-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from quire.sources.shared import shared_folder
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +30,6 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
 
 
-def ingest(files: DataFrame) -> DataFrame:
-    """A binaryFile stream -> catalogue rows of contents not seen before."""
-    timed = files.withColumn("seen_at", F.col("modificationTime"))
-    rows = file_catalog(timed).withColumn("one", F.lit(1))
-    return rows.drop("one").dropDuplicates(["md5"])
-
-
 def rates(events: DataFrame) -> DataFrame:
     """(ts, is_retry) -> per sliding day, hour by hour: hits, retries, hit_rate, error_rate; rows an hour late are dropped."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
@@ -58,34 +38,6 @@ def rates(events: DataFrame) -> DataFrame:
     return counted.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "hits", "retries", (F.col("hits") * 100.0 / total).alias("hit_rate"), (F.col("retries") * 100.0 / total).alias("error_rate"))
 
 
-def health(checks: DataFrame) -> DataFrame:
-    """The state after each check, per service; a batch's checks are taken in order of time."""
-
-    def update(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        now = ServiceState(*state.get) if state.exists else ServiceState()
-        out = [(key[0], e, *now.take(bool(h), int(ms))) for e, h, ms in zip(rows.event_id, rows.healthy, rows.duration_ms)]
-        state.update((now.avg, now.errors, now.healthy, now.enabled))
-        yield pd.DataFrame(out, columns=["service", "event_id", "avg_ms", "errors", "flipped", "enabled"])
-
-    shape = "avg long, errors long, healthy boolean, enabled boolean"
-    return checks.groupBy("service").applyInPandasWithState(update, HEALTH_SCHEMA, shape, "append", GroupStateTimeout.NoTimeout)
-
-
-def quota(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """(key, event_id, ts) -> key, event_id, allowed; a key's window opens at its first request."""
-
-    def update(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        window = Window_(limit, seconds, *state.get) if state.exists else Window_(limit, seconds)
-        out = [(key[0], e, window.allow(at)) for e, at in zip(rows.event_id, rows["at"])]
-        state.update((window.end, window.count))
-        yield pd.DataFrame(out, columns=["key", "event_id", "allowed"])
-
-    timed = requests.select("key", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return timed.groupBy("key").applyInPandasWithState(update, "key long, event_id long, allowed boolean", "end double, count long", "append", GroupStateTimeout.NoTimeout)
-
-
 def cleaning(docs: DataFrame, job: Callable[[DataFrame], DataFrame] = basic_clean) -> DataFrame:
     """Cleaning is stateless, so a stream takes the batch job as it is."""
     return job(docs)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -226,3 +228,40 @@ def test_near_duplicates_equal_brute_force(spark, window, stretch, nearest):
         assert best(got) == best(want) and set(got) <= set(want)
     else:
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 20
+
+
+def longest_common(x, y):
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            t[i + 1][j + 1] = t[i][j] + 1 if a == b else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_diffs_are_shortest():
+    rng = random.Random(1)
+    text = lambda: [rng.choice("abc12") for _ in range(rng.randint(0, 16))]
+    for _ in range(500):
+        x, y = text(), text()
+        steps = list(segment.edit_steps(x, y))
+        assert [t for k, ts in steps if k != "insert" for t in ts] == x and [t for k, ts in steps if k != "delete" for t in ts] == y
+        assert sum(len(ts) for k, ts in steps if k == "equal") == longest_common(x, y)
+
+
+def test_long_diffs_in_bounded_space():
+    rng = random.Random(2)
+    x = [str(rng.randrange(2000)) for _ in range(6000)]
+    y = [t if rng.random() < 0.8 else "new" for t in x] + [str(i) for i in range(10**6, 10**6 + 20_000)]
+    tracemalloc.start()
+    steps = list(segment.edit_steps(x, y))
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20  # a table of both sides would have 1.6e8 cells
+    tracemalloc.stop()
+    assert sum(len(ts) for k, ts in steps if k == "equal") == sum(a == b for a, b in zip(x, y))
+
+
+def test_headings_get_blank_lines_and_nothing_is_lost(spark):
+    texts = ["a\x01b\x02c", "第一章第二章x", "x◇a◇", "x\n第1章\ny", "Chapter 3", "", None, "\x02第一章\x01"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.text, r.n_chapters) for r in clean.post_chapters(df).collect()}
+    assert [got[i][0] for i in range(8)] == ["a\x01b\x02c", "第一章\n\n第二章\n\nx", "x\n\n◇a◇", "x\n第1章\ny", "Chapter 3", "", None, "\x02\n\n第一章\n\n\x01"]
+    assert [got[i][1] for i in (0, 1, 4)] == [0, 2, 1]
