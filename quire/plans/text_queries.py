@@ -12,7 +12,7 @@ from quire.functions import text as fn
 from quire.operators import changes, clean, dedup, review, segment
 from quire.plans.views import lines, oracle, paragraphs, repairs, view
 from quire.plans.views import review as review_rows
-from quire.sources import corpus
+from quire.sources import corpus, files
 from quire.sources.shared import shared_folder
 
 T = fn.TRIM
@@ -513,12 +513,18 @@ SQL_SRC_CORPUS = "SELECT CAST(doc_id % 16 AS INT) AS part, CAST(sum(octet_length
 
 
 def q_src_decode(spark, sf_dir):
-    """Documents as bytes; every line that holds Chinese text is decoded from GBK-like bytes where it isn't UTF-8."""
-    docs = view(spark, sf_dir, "plain").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.unhex(F.lit("C4E3BAC30A")), F.col("text").cast("binary")).alias("content"))
-    return corpus.decode_corpus(docs).groupBy("path", "encoding").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("text")).alias("chars"))
+    """Documents as files of bytes, each with a line in GBK before its UTF-8 lines, read back by ranges of lines and decoded line by line."""
+    path = _stage(spark)
+    raw = F.concat(F.unhex(F.lit("C4E3BAC30A")), F.col("text").cast("binary"))
+    files.write_files(view(spark, sf_dir, "plain").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), raw.alias("content")), path)
+    found = corpus.decode_lines(files.read_lines(spark, path, RANGE))
+    doc_id = F.regexp_extract("path", r"([0-9]+)\.txt\z", 1).cast("long").alias("doc_id")
+    return found.groupBy(doc_id, "encoding").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("text")).alias("chars"))
 
 
-SQL_SRC_DECODE = "SELECT 'doc/' || doc_id AS path, 'utf-8' AS encoding, len(string_split(text, chr(10))) AS lines, CAST(length(replace(text, chr(10), '')) AS BIGINT) AS chars FROM documents UNION ALL SELECT 'doc/' || doc_id, 'gbk', 1, 2 FROM documents"
+#: Bytes of a range of lines.
+RANGE = 8 << 20
+SQL_SRC_DECODE = "SELECT doc_id, 'utf-8' AS encoding, len(string_split(text, chr(10))) AS lines, CAST(length(replace(text, chr(10), '')) AS BIGINT) AS chars FROM documents UNION ALL SELECT doc_id, 'gbk', 1, 2 FROM documents"
 
 
 def q_src_file_catalog(spark, sf_dir):
@@ -560,34 +566,47 @@ SQL_FILE_RULES = """SELECT doc_id, doc_id % 6 <> 2 AS enableAdCleaning, CAST(CAS
  CASE doc_id % 6 WHEN 3 THEN 'q1|q2|q3' WHEN 4 THEN 'u|v' ELSE '' END AS ads, CASE doc_id % 6 WHEN 1 THEN 'b|' || source WHEN 2 THEN source ELSE '' END AS typo_values FROM documents"""
 
 
+#: A file's rules as JSON, in both ways of writing them; some files have none, one kind is broken.
+FILE_CONFIG = """CASE id % 5 WHEN 0 THEN concat('{"typoMap":{"the":"', upper(author), '"},"adBlacklist":"er[a-z]+nd"}') WHEN 1 THEN concat('{"typoMap":"the=', upper(author), ', de la=DE-LA"}')
+ WHEN 2 THEN '{"adBlacklist":["er[[:lower:]]+nd","(bad"]}' WHEN 3 THEN '{bad' END"""
+
+
 def q_join_file_rules(spark, sf_dir):
-    """Documents with their source's rules: one row a source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rules = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs")).withColumn("typo_map", F.create_map(F.lit("the"), F.upper("source")))
-    return digest(clean.typo_map(docs.join(rules, "source").select("doc_id", "text", "typo_map")))
+    """Documents with the parsed rules of their files, which then act on them."""
+    rules = view(spark, sf_dir, "files").selectExpr("id AS doc_id", f"{FILE_CONFIG} AS config").filter("id % 7 <> 6").select("doc_id", corpus.file_rules(F.col("config")).alias("r"))
+    docs = corpus.with_file_rules(view(spark, sf_dir, "plain"), rules)
+    return digest(clean.typo_map(clean.ad_blacklist(docs.withColumn("ad_blacklist", F.col("r.ad_blacklist")).withColumn("typo_map", F.col("r.typo_map")))))
 
 
-SQL_JOIN_FILE_RULES = f"SELECT {DIGEST} FROM (SELECT doc_id, regexp_replace(text, '\\bthe\\b', upper(source), 'g') AS text FROM documents)"
+SQL_JOIN_FILE_RULES = f"""SELECT {DIGEST} FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN text WHEN doc_id % 5 = 0 THEN regexp_replace(regexp_replace(text, 'er[a-z]+nd', '', 'g'), '\\bthe\\b', upper(source), 'g')
+ WHEN doc_id % 5 = 1 THEN regexp_replace(regexp_replace(text, '\\bde la\\b', 'DE-LA', 'g'), '\\bthe\\b', upper(source), 'g') WHEN doc_id % 5 = 2 THEN regexp_replace(text, 'er[a-z]+nd', '', 'g') ELSE text END AS text FROM documents)"""
 
 
 def q_final_text(spark, sf_dir):
+    """One file for each document, read back."""
     path = _stage(spark)
-    docs = view(spark, sf_dir, "plain").select((F.col("doc_id") % 16).alias("file_id"), F.regexp_replace("text", "\n", " ").alias("content"))
-    corpus.write_final(docs, path)
-    back = spark.read.text(path)
-    return back.groupBy("file_id").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.char_length("value")).alias("chars")).select(F.col("file_id").cast("long").alias("file_id"), "texts", "chars")
+    corpus.write_final(view(spark, sf_dir, "plain").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content")), path)
+    back = files.read_files(spark, path)
+    return digest(back.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("doc_id"), F.col("content").alias("text")))
 
 
-SQL_FINAL_TEXT = "SELECT doc_id % 16 AS file_id, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1"
+SQL_FINAL_TEXT = f"SELECT {DIGEST} FROM documents"
 
 
 def q_step_versions(spark, sf_dir):
+    """A step written, written again, and read back with its texts."""
+    base = _stage(spark)
     texts = view(spark, sf_dir, "plain").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
-    return corpus.step_versions(texts, "cleaning", view(spark, sf_dir, "versions"))
+    versions = view(spark, sf_dir, "versions")
+    corpus.write_step(texts, "cleaning", versions, base)
+    corpus.write_step(texts, "cleaning", versions, base)
+    kept = corpus.read_step_texts(spark, base).groupBy("file_id", "step", "version_md5").agg(F.count(F.lit(1)).alias("texts"), F.max(F.md5(F.col("content").cast("binary"))).alias("text_md5"))
+    rows = corpus.read_versions(spark, base).select("file_id", "step", "version_md5", "parent_id")
+    return rows.join(kept, ["file_id", "step", "version_md5"]).select("file_id", "step", "version_md5", "parent_id", "texts", "text_md5")
 
 
 SQL_STEP_VERSIONS = oracle(
-    "SELECT d.doc_id AS file_id, 'cleaning' AS step, md5(text) AS version_md5, coalesce(p, doc_id) AS parent_id FROM documents d LEFT JOIN (SELECT original_id, arg_max(version_id, (created_at, id)) AS p FROM versions GROUP BY 1) v ON d.doc_id = v.original_id"
+    "SELECT d.doc_id AS file_id, 'cleaning' AS step, md5(text) AS version_md5, coalesce(p, doc_id) AS parent_id, CAST(1 AS BIGINT) AS texts, md5(text) AS text_md5 FROM documents d LEFT JOIN (SELECT original_id, arg_max(version_id, (created_at, id)) AS p FROM versions GROUP BY 1) v ON d.doc_id = v.original_id"
 )
 
 TYPO_HITS = " + ".join(f"(length(text) - length(replace(text, {quote(w)}, ''))) // {len(w)}" for w, _ in clean.TYPOS)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions.text import parse_filename
+from quire.sources.files import write_files
 
 MAX_SIZE = 100 << 20
 # The rules that apply if there is no rule file.
@@ -75,6 +77,12 @@ def decoded(content: Column) -> Column:
     return F.coalesce(F.when(valid, content.cast("string")), _decoded_whole(F.when(~valid, content)))
 
 
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("encoding", StringType())]))
+def _decoded_lines(lines: pd.Series) -> pd.DataFrame:
+    found = [(None, None) if x is None else _decoded(bytes(x)) for x in lines]
+    return pd.DataFrame(found, columns=["text", "encoding"])
+
+
 def file_catalog(files: DataFrame) -> DataFrame:
     """(path, content) -> md5, size, file_name, author, title."""
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
@@ -116,6 +124,12 @@ def file_rules(config: Column) -> Column:
     )
 
 
+def with_file_rules(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with `r`, the parsed rules (key, r) of their files; a file without rules has the defaults. Rules are joined by the key: there is
+    a row a file, so they grow with the documents and are broadcast only if Spark finds them small."""
+    return docs.join(rules.select(key, "r"), key, "left").withColumn("r", F.coalesce("r", file_rules(F.lit(""))))
+
+
 def step_versions(texts: DataFrame, step: str, versions: DataFrame) -> DataFrame:
     """Version rows for a step's texts (file_id, content): MD5 of the content, parent the newest version so far, else the file."""
     newest = versions.groupBy("original_id").agg(F.max_by("version_id", F.struct("created_at", "id")).alias("parent_id"))
@@ -123,14 +137,60 @@ def step_versions(texts: DataFrame, step: str, versions: DataFrame) -> DataFrame
     return rows.select("file_id", F.lit(step).alias("step"), F.md5(F.col("content").cast("binary")).alias("version_md5"), F.coalesce("parent_id", "file_id").alias("parent_id"))
 
 
-def write_step(texts: DataFrame, path: str) -> None:
-    """Full texts of a step as Parquet, one folder a step."""
-    texts.write.mode("append").partitionBy("step").parquet(path)
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    """The attempts below a folder that wrote their mark."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/attempt=*/_SUCCESS")
+    found = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
+VERSIONS = "file_id long, step string, version_md5 string, parent_id long"
+
+
+def read_versions(spark: SparkSession, base: str) -> DataFrame:
+    """The version rows of finished attempts, with the attempt that has their texts."""
+    paths = _committed(spark, f"{base}/versions")
+    if not paths:
+        return spark.createDataFrame([], VERSIONS + ", attempt string")
+    return spark.read.schema(VERSIONS + ", attempt string").option("basePath", f"{base}/versions").parquet(*paths)
+
+
+def read_step_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(file_id, step, version_md5, content) of all version rows; texts of attempts that did not finish are not seen."""
+    paths = _committed(spark, f"{base}/texts")
+    rows = read_versions(spark, base)
+    if not paths:
+        return rows.select("file_id", "step", "version_md5", F.lit(None).cast("string").alias("content"))
+    texts = spark.read.schema("file_id long, step string, version_md5 string, content string, attempt string").option("basePath", f"{base}/texts").parquet(*paths)
+    return rows.join(texts, ["attempt", "file_id", "step", "version_md5"]).select("file_id", "step", "version_md5", "content")
+
+
+def write_step(texts: DataFrame, step: str, versions: DataFrame, base: str) -> None:
+    """A step's texts (file_id, content) and their version rows below `base`, in two parts: the texts into a folder of this attempt, and
+    only when all of them are there the version rows, whose folder's mark makes both visible. What has a version row for its file, step
+    and MD5 already is not written again, so a repeated step adds nothing, and one that was cut off leaves nothing to be seen."""
+    spark = texts.sparkSession
+    attempt = uuid.uuid4().hex
+    known = read_versions(spark, base).select("file_id", "step", "version_md5")
+    rows = step_versions(texts, step, versions).select(F.col("file_id").cast("long").alias("file_id"), "step", "version_md5", F.col("parent_id").cast("long").alias("parent_id"))
+    bodies = texts.select(F.col("file_id").cast("long").alias("file_id"), F.lit(step).alias("step"), F.md5(F.col("content").cast("binary")).alias("version_md5"), "content")
+    key = ["file_id", "step", "version_md5"]
+    bodies.join(known, key, "left_anti").dropDuplicates(key).write.parquet(f"{base}/texts/attempt={attempt}")
+    written = spark.read.schema("file_id long, step string, version_md5 string, content string").parquet(f"{base}/texts/attempt={attempt}").select(*key)
+    rows.dropDuplicates(key).join(written, key).write.parquet(f"{base}/versions/attempt={attempt}")
 
 
 def write_final(texts: DataFrame, path: str) -> None:
-    """(file_id, content): one folder a file with its final text."""
-    texts.select("file_id", F.col("content").alias("value")).repartition("file_id").write.mode("append").partitionBy("file_id").option("lineSep", "\n").text(path)
+    """(file_id, content): one file a row, named by the id; see `files.write_files`."""
+    write_files(texts.select(F.concat(F.col("file_id").cast("string"), F.lit(".txt")).alias("name"), "content"), path)
+
+
+def decode_lines(lines: DataFrame) -> DataFrame:
+    """(path, start, line) -> (path, start, text, encoding), by the rule of `decode_corpus`. Lines of one file may be in many tasks."""
+    text = F.col("line").cast("string")
+    valid = F.is_valid_utf8(text)
+    other = _decoded_lines(F.when(~valid, F.col("line")))
+    return lines.withColumn("other_", other).select("path", "start", F.when(valid, text).otherwise(F.col("other_.text")).alias("text"), F.when(valid, "utf-8").otherwise(F.col("other_.encoding")).alias("encoding"))
 
 
 def report(files: DataFrame, review: DataFrame, logs: DataFrame, versions: DataFrame) -> DataFrame:
