@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import TRIM as T
 from quire.operators import catalog, clean, health, review
 from quire.plans.text_queries import DIGEST, digest
-from quire.plans.views import NOW, oracle, view
+from quire.plans.views import NOW, oracle, recursive, view
 from quire.plans.views import review as review_rows
 from quire.sources import corpus
 from quire.sources.shared import shared_folder
@@ -229,12 +229,6 @@ def rate(job, column: str):
     return query
 
 
-def recursive(source: str, sql: str) -> str:
-    """SQL with recursive parts over one of the stand-in tables."""
-    probe = f"SELECT 1 FROM {source}"
-    return oracle(probe).removesuffix(probe).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + sql
-
-
 SQL_QUOTA = recursive(
     "requests",
     f"""r AS MATERIALIZED (SELECT key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS k FROM requests),

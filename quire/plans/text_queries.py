@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as fn
 from quire.operators import changes, clean, dedup, review, segment
-from quire.plans.views import lines, oracle, paragraphs, repairs, view
+from quire.plans.views import lines, oracle, paragraphs, recursive, repairs, view
 from quire.plans.views import review as review_rows
 from quire.sources import corpus, files
 from quire.sources.shared import shared_folder
@@ -118,19 +119,26 @@ def q_apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULE_STEPS = [(r[2], r[3]) for r in corpus.DEFAULT_RULES] + [(p, by) for p, _, by in USER_RULES if by]
 
 
-def step_cleaning(docs: DataFrame, rules: list[tuple[str, str]], config: str | None = None) -> DataFrame:
-    """The cleaning step: pre-clean, basic clean, the file's own advertisements and typos, rules, paragraphs, titles.
-
-    config is a column with the file's rule JSON. Without enableBasicCleaning the text stays as it is; traditionalToSimple
-    and enableAdCleaning (blacklist and typos) act for their parts.
-    """
-    own = docs.select("doc_id", F.col("text").alias("raw_"), "text", corpus.file_rules(F.col(config) if config else F.lit("")).alias("r_"))
+def step_columns(docs: DataFrame, rules: list[tuple[str, str]], config: str | None = None, content: str | None = None) -> DataFrame:
+    """The cleaning step up to its line ends: pre-clean, basic clean, the file's own advertisements and typos, rules. Also raw_, the text
+    as it was, and r_, the file's rules. With `content`, a column of bytes, the text is decoded from it."""
+    text = corpus.decoded(F.col(content)) if content else F.col("text")
+    own = docs.select("doc_id", text.alias("text"), corpus.file_rules(F.col(config) if config else F.lit("")).alias("r_")).withColumn("raw_", F.col("text"))
     spaced = clean.basic_clean(clean.preprocess(own), simplify=F.col("r_.traditionalToSimple"))
     listed = spaced.withColumn("ads_", F.when(F.col("r_.enableAdCleaning"), F.col("r_.ad_blacklist"))).withColumn("typos_", F.when(F.col("r_.enableAdCleaning"), F.col("r_.typo_map")))
     mended = listed
     if config:
         mended = clean.typo_map(clean.ad_blacklist(listed, "ads_").withColumn("typos_", F.coalesce("typos_", F.expr("cast(map() as map<string,string>)"))), "typos_")
-    ready = clean.apply_rules(mended, rules)
+    return clean.apply_rules(mended, rules)
+
+
+def step_cleaning(docs: DataFrame, rules: list[tuple[str, str]], config: str | None = None, content: str | None = None) -> DataFrame:
+    """The cleaning step: decoding, pre-clean, basic clean, the file's own advertisements and typos, rules, paragraphs, titles.
+
+    config is a column with the file's rule JSON. Without enableBasicCleaning the text stays as it is; traditionalToSimple
+    and enableAdCleaning (blacklist and typos) act for their parts.
+    """
+    ready = step_columns(docs, rules, config, content)
     return segment.newlines_fixed(ready, keep=(~F.col("r_.enableBasicCleaning"), F.col("raw_")))
 
 
@@ -139,8 +147,18 @@ STEP_CONFIG = """CASE doc_id % 7 WHEN 1 THEN '{"traditionalToSimple":false}' WHE
 
 
 def q_step_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = view(spark, sf_dir, "seeded").select("doc_id", "text", F.expr(STEP_CONFIG).alias("config"))
-    return digest(step_cleaning(docs, default_rules(spark), "config"))
+    return digest(step_cleaning(step_input(spark, sf_dir), default_rules(spark), "config", "content"))
+
+
+def step_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as bytes, every fifth with a line in GBK before its UTF-8 lines."""
+    raw = F.col("text").cast("binary")
+    return view(spark, sf_dir, "seeded").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.unhex(F.lit("C4E3BAC30A")), raw)).otherwise(raw).alias("content"), F.expr(STEP_CONFIG).alias("config"))
+
+
+def q_step_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = step_columns(step_input(spark, sf_dir), default_rules(spark), "config", "content")
+    return digest(ready.withColumn("text", F.when(F.col("r_.enableBasicCleaning"), F.col("text")).otherwise(F.col("raw_"))))
 
 
 SIMPLE = f"translate({{}}, '{clean.TRADITIONAL}', '{clean.SIMPLIFIED}')"
@@ -203,6 +221,17 @@ def with_log(steps: list[changes.Step], select: str) -> str:
 
 SQL_CHANGES = with_log(changes.ALL, "SELECT doc_id, step, nth, stage, kind, original, replacement, position, CAST(CASE kind WHEN 'garbled' THEN 1 ELSE 0 END AS DOUBLE) AS confidence FROM log")
 
+def sql_step_columns() -> str:
+    """The texts of the change log's chain, with and without the traditional characters, then the files' own rules and the global ones."""
+    views = oracle("SELECT 1 FROM seeded").removesuffix("SELECT 1 FROM seeded").rstrip()
+    decoded = "files_ AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '你好' || chr(10) || text ELSE text END AS text FROM seeded)"
+    kept = [s for s in changes.ALL if s.kind != "traditional"]
+    chain = lambda steps: sql_log(steps, "files_").split(", log AS (")[0]
+    full, plain = chain(changes.ALL), re.sub(r"\b([cp]\d+)\b", r"x\1", chain(kept))
+    rules = sql_chain("CASE WHEN a.doc_id % 7 = 3 THEN regexp_replace(regexp_replace(a.t, 'er[a-z]+nd', '', 'g'), '\\bthe\\b', 'THE', 'g') WHEN a.doc_id % 7 = 1 THEN b.t ELSE a.t END", [(r[2], r[3]) for r in corpus.DEFAULT_RULES])
+    return f"{views}, {decoded}, {full}, {plain} SELECT {DIGEST} FROM (SELECT f.doc_id, CASE WHEN f.doc_id % 7 = 2 THEN f.text ELSE {rules} END AS text FROM files_ f JOIN c{len(changes.ALL)} a ON a.doc_id = f.doc_id JOIN xc{len(kept)} b ON b.doc_id = f.doc_id)"
+
+
 def q_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.changes(view(spark, sf_dir, "seeded"))
 
@@ -448,6 +477,18 @@ def q_merge_short(spark, sf_dir):
     return segment.merge_short(paragraphs(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
+IS_TITLE = f"regexp_matches(regexp_replace({{}}, '{T}', '', 'g'), '{segment.TITLE}')".replace("[\\s\\S]", "[\\x00-\\x{{10FFFF}}]").replace(T, T.replace("{", "{{").replace("}", "}}"))
+#: Paragraph by paragraph: what the last one has grown to, and how many joins there were.
+SQL_MERGE_SHORT = recursive(
+    "paragraphs",
+    f"""p AS MATERIALIZED (SELECT doc_id, text, {IS_TITLE.format("text")} AS title, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM paragraphs),
+s AS (SELECT doc_id, k, text AS t, 0 AS joins FROM p WHERE k = 1
+ UNION ALL SELECT doc_id, k, CASE WHEN j THEN t || chr(10) || text ELSE text END, joins + CAST(j AS INT)
+ FROM (SELECT p.doc_id, p.k, s.t, p.text, joins, length(s.t) < {segment.MIN_PARAGRAPH} AND NOT {IS_TITLE.format("s.t")} AND NOT title AS j FROM s JOIN p ON p.doc_id = s.doc_id AND p.k = s.k + 1))
+SELECT doc_id, count(*) - max(joins) AS n, CAST(sum(length(p.text)) + max(joins) AS BIGINT) AS chars FROM p JOIN s USING (doc_id, k) GROUP BY doc_id""",
+)
+
+
 def q_paragraph_diff(spark, sf_dir):
     r = review_rows(spark, sf_dir).withColumn("suggested_text", F.replace("original_text", F.lit("the"), F.lit("THE!")))
     d = segment.paragraph_diff(r)
@@ -659,6 +700,7 @@ QUERIES = {
     "cl_post_chapters": (cleaned(clean.post_chapters, "n_chapters"), SQL_POST_CHAPTERS),
     "cl_post_punct": (cleaned(clean.post_punct), SQL_POST_PUNCT),
     "cl_step_cleaning": (q_step_cleaning, None),
+    "cl_step_columns": (q_step_columns, sql_step_columns()),
     "cl_changes": (q_changes, SQL_CHANGES),
     "cl_changes_undone": (q_undone, oracle(f"SELECT {DIGEST} FROM seeded")),
     "cl_ads_basic_changes": (q_ads_changes(changes.ADS_BASIC), with_log(changes.ADS_BASIC, "SELECT doc_id, step, nth, original, position FROM log")),
@@ -675,7 +717,7 @@ QUERIES = {
     "gen_paragraphs": (q_paragraphs, oracle("SELECT doc_id, idx, text FROM paragraphs")),
     "gen_baseline_lines": (lambda s, d: lines(s, d), oracle("SELECT doc_id, idx, text FROM lines")),
     "gen_resegment": (q_resegment, None),
-    "gen_merge_short": (q_merge_short, None),
+    "gen_merge_short": (q_merge_short, SQL_MERGE_SHORT),
     "gen_split_chapter_titles": (lambda s, d: digest(segment.split_chapter_titles(view(s, d, "seeded"))), None),
     "gen_chunks": (q_chunks, None),
     "gen_paragraph_diff": (q_paragraph_diff, SQL_PARAGRAPH_DIFF),
