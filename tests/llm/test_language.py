@@ -1,6 +1,10 @@
 import itertools
+import math
+import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm import language
 
@@ -111,3 +115,81 @@ def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     got = language.op6_language_id(spark, sf_dir).join(docs, "doc_id").filter("held_out").toPandas()
     assert len(got) > 20 and (got.lang == got.lang_pred).mean() > 0.95
+
+
+def plain_model(rows, rounds):
+    """Piece probabilities by language: expected counts over all segmentations, word by word, in logarithms."""
+    import public_tokenizers as public
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    names = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
+    known = {p for p in names if p.removeprefix("▁").isalpha() and p == p.lower() or p == "▁"}
+    longest, other = max(map(len, known)), None
+    words = {}
+    for lang, text in rows:
+        words.setdefault(lang, Counter()).update(language.words_of(text))
+
+    def edges(s):
+        for a in range(len(s)):
+            found = [s[a:b] for b in range(a + 1, min(len(s), a + longest) + 1) if s[a:b] in known]
+            yield from ((a, a + len(p), p) for p in found)
+            if s[a] not in known:
+                yield a, a + 1, other
+
+    cuts = {w: sorted(edges("▁" + w), key=lambda e: e[1]) for found in words.values() for w in found}
+
+    def add(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf and b > -math.inf else max(a, b)
+
+    def forward(w, p):
+        alpha = [0.0] + [-math.inf] * (len(w) + 1)
+        for a, b, piece in cuts[w]:
+            alpha[b] = add(alpha[b], alpha[a] + p(piece))
+        return alpha
+
+    models = {}
+    for lang, counts in words.items():
+        logs, least = {}, -math.log(len(known) + 1)
+        p = lambda piece: logs.get(piece, least)  # noqa: B023, E731
+        for _ in range(rounds):
+            total = Counter()
+            for w, n in counts.items():
+                alpha = forward(w, p)
+                beta = [-math.inf] * (len(w) + 1) + [0.0]
+                for a, b, piece in sorted(cuts[w], key=lambda e: -e[0]):
+                    beta[a] = add(beta[a], beta[b] + p(piece))
+                for a, b, piece in cuts[w]:
+                    total[piece] += n * math.exp(alpha[a] + p(piece) + beta[b] - alpha[-1])
+            mass = sum(total.values()) + language.PSEUDO * (len(known) + 1)
+            new = {k: max((v + language.PSEUDO) / mass, language.LEAST) for k, v in total.items()}
+            new[other] = max(new.get(other, language.PSEUDO / mass), language.UNKNOWN)
+            logs, least = {k: math.log(v) for k, v in new.items()}, math.log(max(language.PSEUDO / mass, language.LEAST))
+        models[lang] = (logs, least)
+
+    def score(text):
+        out = {}
+        for lang, (logs, least) in models.items():
+            out[lang] = 0.0
+            for w, n in Counter(language.words_of(text)).items():
+                cuts.setdefault(w, sorted(edges("▁" + w), key=lambda e: e[1]))
+                out[lang] += n * forward(w, lambda piece: logs.get(piece, least))[-1]
+        return out
+
+    return score
+
+
+def test_training_and_prediction_equal_plain_python(spark, sf_dir):
+    """The query on whole documents against a model without tries, scaling or Spark; the documents are few enough for plain Python."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) < 1500 AND doc_id % 3 = 0").select("doc_id", "text", "lang")
+    given = docs.collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in given}
+    score = plain_model([(r.lang, r.text) for r in given if not held[r.doc_id] and r.lang and r.text], language.ROUNDS)
+    model = language.train(docs.filter(language.crc_mod(F.col("doc_id"), 4) != 2))
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    assert len(got) == len(given) > 20 and any(held.values())
+    for r in given:
+        logs = score(r.text)
+        best = max(logs, key=logs.get)
+        assert got[r.doc_id].lang_pred == best
+        assert abs(got[r.doc_id].score - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-6

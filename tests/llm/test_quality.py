@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from quire.llm import quality
@@ -36,3 +38,26 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = quality.op1_quality_qda(spark, sf).join(labels, "doc_id").filter("held_out").toPandas()
     assert len(got) > 50 and (got.predicted == got.quality).mean() > 0.95
+
+
+def test_query_equals_an_independent_fit(spark, sf_dir):
+    """Every score of the query against numpy on all rows: who is learned from, the classes' moments, shrinkage and densities."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs}
+    x = {r.doc_id: np.array(quality.statistics(r.text)) for r in docs}
+    fit = [np.stack([x[i] for i, y in labels.items() if y == c and i in x and not held[i]]) for c in (0, 1)]
+    total = sum(map(len, fit))
+    assert total < quality.TRAINING_ROWS  # so the bounded sample is all of them
+    pooled = np.maximum(quality.FLOOR, sum(len(f) / total * f.var(axis=0) for f in fit))
+    every = np.stack([x[r.doc_id] for r in docs])
+    logs = []
+    for f in fit:
+        s = (1 - quality.SHRINKAGE) * np.cov(f.T, bias=True) + np.diag(quality.SHRINKAGE * pooled + quality.FLOOR)
+        diff = every - f.mean(axis=0)
+        logs.append(np.log(len(f) / total) - 0.5 * (np.linalg.slogdet(s)[1] + np.einsum("ij,jk,ik->i", diff, np.linalg.inv(s), diff)))
+    want = dict(zip((r.doc_id for r in docs), 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))))
+    got = quality.op1_quality_qda(spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.held_out == held[r.doc_id] and abs(r.score - want[r.doc_id]) < 1e-6 and r.predicted == int(r.score >= 0.7)
