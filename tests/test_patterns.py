@@ -46,7 +46,8 @@ def test_taken_patterns_do_what_re2_does(spark, duck):
 
 def test_what_re2_refuses_is_refused(duck):
     assert [p for p in REFUSED if pattern(p) is not None] == []
-    known = {"(a{999}){9}"}  # refused by Go's rule on nested counts only
+    # A nested count of more than 1000 is refused by Go's rule only; a name given twice is refused by RE2's, but not in DuckDB's build.
+    known = {"(a{999}){9}", "(?P<a>x)(?P<a>y)"}
     taken = []
     for p in set(REFUSED) - known:
         try:
