@@ -23,7 +23,7 @@ from quire.llm.common import released, schema_of, stored, table, text_parts, tex
 
 PAD = 64
 #: Text bytes that one call of the codec gets at most (a longer text goes alone).
-AT_ONCE = 2 << 20
+AT_ONCE = 3 << 18
 
 
 def _forget() -> None:
