@@ -149,8 +149,12 @@ def translated(patterns: pd.Series) -> pd.Series:
 
 def ad_blacklist(docs: DataFrame, patterns: str = "ad_blacklist") -> DataFrame:
     """Removes each row's own patterns (an array column, RE2 dialect) in order; those that are none are skipped."""
-    checked = docs.withColumn("patterns_", translated(F.col(patterns)))
-    return checked.withColumn("text", F.aggregate("patterns_", F.col("text"), lambda t, p: F.regexp_replace(t, p, F.lit("")))).drop("patterns_")
+    return without(docs.withColumn("patterns_", translated(F.col(patterns))), "patterns_").drop("patterns_")
+
+
+def without(docs: DataFrame, patterns: str) -> DataFrame:
+    """Removes each row's own patterns, as `translated` gives them, in order."""
+    return docs.withColumn("text", F.aggregate(patterns, F.col("text"), lambda t, p: F.regexp_replace(t, p, F.lit(""))))
 
 
 def typo_map(docs: DataFrame, typos: str = "typo_map") -> DataFrame:

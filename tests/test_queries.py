@@ -135,3 +135,9 @@ def test_distances_of_whole_texts(spark, sf_dir):
     rows = registry.queries()["fn_levenshtein"](spark, sf_dir).collect()
     assert len(rows) == review(spark, sf_dir).count() and len({r.distance for r in rows}) > 50
     assert {r.verdict for r in registry.queries()["flt_valid_repair_all"](spark, sf_dir).collect()} == {"ok", "empty", "moved_mark", "short_changed", "length", "distance"}
+
+
+def test_the_cleaning_step_is_written_out_once(spark, sf_dir):
+    for name in ("cl_step_columns", "cl_step_cleaning"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") <= 10  # four kinds of garbled runs
