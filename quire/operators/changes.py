@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from quire.functions.text import TRIM
+from quire.functions.text import JAVA_TRIM, TRIM
 from quire.operators import clean
 
 
@@ -29,11 +29,22 @@ class Step:
     pattern: str
     by: str | Callable[[Column], Column]
     confidence: float = 0.0
+    #: The same hits in a form that Java finds faster.
+    java: str | None = None
 
     def replacement(self, hit: Column) -> Column:
         return F.lit(self.by) if isinstance(self.by, str) else self.by(hit)
 
 
+def one_of(chars: str, group: int = 14) -> str:
+    """A class of BMP characters for Java, which tries a class's characters one by one: neighbours stand behind their common range, and all
+    of them behind the range of the whole, so that other characters are done after one comparison."""
+    points = sorted({ord(c) for c in chars})
+    span = lambda part: rf"\x{{{part[0]:04X}}}-\x{{{part[-1]:04X}}}"
+    parts = [points[i : i + group] for i in range(0, len(points), group)]
+    return f"[{span(points)}&&[" + "".join(f"[{span(part)}&&[{''.join(map(chr, part))}]]" for part in parts) + "]]"
+
+
 def _steps(stage: str, kind: str, *pairs: tuple[str, str]) -> list[Step]:
     return [Step(stage, kind, what, by) for what, by in pairs]
 
@@ -52,7 +63,7 @@ BASIC = [
     Step("basic", "punctuation", clean.NEAR_HAN, lambda hit: F.translate(hit, clean.HALF, clean.FULL)),
     *_steps("basic", "control", (clean.CONTROL, "")),
     *_steps("basic", "whitespace", ("\r\n", "\n"), ("\r", "\n"), ("\n{3,}", "\n\n"), ("[ \t]+(?=\n|\\z)", ""), ("[ \t]{2,}", " "), (TRIM, "")),
-    Step("basic", "traditional", f"[{clean.TRADITIONAL}]", lambda hit: F.translate(hit, clean.TRADITIONAL, clean.SIMPLIFIED)),
+    Step("basic", "traditional", f"[{clean.TRADITIONAL}]", lambda hit: F.translate(hit, clean.TRADITIONAL, clean.SIMPLIFIED), java=one_of(clean.TRADITIONAL)),
     *ADS_BASIC,
 ]
 #: All that `clean.preprocess` and then `clean.basic_clean` do.
@@ -99,9 +110,10 @@ def logged(docs: DataFrame, steps: list[Step] = ALL) -> DataFrame:
     none = F.expr("cast(array() as array<struct<step:int,original:string,replacement:string,gap:int>>)")
     df = docs.withColumn("log_", none)
     for number, step in enumerate(steps, 1):
-        df = df.withColumn("hits_", F.regexp_extract_all(F.col("text"), F.lit(step.pattern), F.lit(0)))
+        pattern = JAVA_TRIM if step.pattern == TRIM else step.java or step.pattern
+        df = df.withColumn("hits_", F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0)))
         some = F.size("hits_") > 0
-        df = df.withColumn("parts_", F.when(some, F.split("text", step.pattern, -1)))
+        df = df.withColumn("parts_", F.when(some, F.split("text", pattern, -1)))
         record = lambda hit, i: F.struct(F.lit(number).alias("step"), hit.alias("original"), step.replacement(hit).alias("replacement"), F.char_length(F.get("parts_", i)).alias("gap"))  # noqa: B023, E731
         df = df.withColumn("log_", F.when(some, F.concat("log_", F.transform("hits_", record))).otherwise(F.col("log_")))
         whole = F.array_join(F.zip_with("parts_", "hits_", lambda part, hit: F.concat(part, F.when(hit.isNull(), "").otherwise(step.replacement(hit)))), "")  # noqa: B023

@@ -1,9 +1,12 @@
 """Change records: cleaning with records equals cleaning, undoing gives the text back, and places are what a plain replay finds."""
 
 import random
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from quire.functions.text import JAVA_WHITE, WHITE
 from quire.operators import changes, clean
 from quire.plans.views import view
 
@@ -60,3 +63,23 @@ def test_places_against_a_character_by_character_replay():
             text = out
         here, source = changes.places_of(*(np.array(c, np.int64) for c in (step, gap, before, after)))
         assert list(zip(here.tolist(), source.tolist())) == want
+
+
+def test_classes_for_java_find_the_same_and_soon(spark):
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1F600, 0x1F610)]))
+    pairs = [(f"[{clean.TRADITIONAL}]", changes.one_of(clean.TRADITIONAL)), (WHITE, JAVA_WHITE)]
+    df = spark.createDataFrame([(every,)], "text string")
+    for plain, fast in pairs:
+        a, b = (df.select(F.regexp_extract_all("text", F.lit(p), F.lit(0))).first()[0] for p in (plain, fast))
+        assert a == b and len(a) > 20
+    [step] = [s for s in changes.ALL if s.kind == "traditional"]
+    text, seconds = "some plain words, " * 200_000, []
+    for p in (step.pattern, step.java):
+        found = spark._jvm.java.util.regex.Pattern.compile(p)
+        least = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert not found.matcher(text).find()
+            least.append(time.perf_counter() - began)
+        seconds.append(min(least))
+    assert seconds[1] < seconds[0] / 3
