@@ -1,12 +1,14 @@
 """Every registered query against its SQL in DuckDB, and streams against their batch twins."""
 
 import os
+import random
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions.text import MARKS, edit_distance, local_vector
+from quire.functions.text import MARKS, distance, edit_distance, local_vector
 from quire.operators import dedup, health, segment
 from quire.plans import registry
 from quire.plans.table_queries import LIMIT, SECONDS
@@ -141,3 +143,18 @@ def test_the_cleaning_step_is_written_out_once(spark, sf_dir):
     for name in ("cl_step_columns", "cl_step_cleaning"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all(") <= 10  # four kinds of garbled runs
+
+
+def test_distances_by_bits(spark):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abé中😀") for _ in range(n))
+    for _ in range(300):
+        a, b = some(rng.randint(0, 40)), some(rng.randint(0, 40))
+        b = rng.choice([b, a[: len(a) // 2] + b[:3] + a[len(a) // 2 + 2 :], a])
+        assert distance(a, b) == distance(b, a) == brute_distance(a, b)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(40_000))
+    began = time.perf_counter()
+    assert 0 < distance(a, a.replace(" ", "")) <= a.count(" ") and distance("x" + a, a + "y") == 2
+    assert time.perf_counter() - began < 20
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("ab", "b")], "a string, b string")
+    assert [r[0] for r in df.select(edit_distance(F.col("a"), F.col("b"))).collect()] == [None, None, 1]
