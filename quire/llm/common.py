@@ -9,23 +9,12 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.tables import texts
+from quire.sources.tables import small_batches, texts
 
 #: A word for the operators that split on white space only (fixed pattern).
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch. Spark bounds batches by rows only, and its default (10,000) is much where rows are documents.
-BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lets Arrow batches have BATCH_ROWS rows, if the session has Spark's default: what JVM and worker hold of a batch falls tenfold."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == DEFAULT_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return texts(spark, sf_dir, name)

@@ -158,3 +158,9 @@ def test_distances_by_bits(spark):
     assert time.perf_counter() - began < 20
     df = spark.createDataFrame([(None, "a"), ("a", None), ("ab", "b")], "a string, b string")
     assert [r[0] for r in df.select(edit_distance(F.col("a"), F.col("b"))).collect()] == [None, None, 1]
+
+
+def test_python_tasks_get_batches_of_few_rows(spark, sf_dir):
+    view(spark, sf_dir, "plain")
+    sizes = spark.range(0, 5000, 1, 1).mapInPandas(lambda frames: (f.assign(id=len(f)).head(1) for f in frames), "id long")
+    assert max(r.id for r in sizes.collect()) <= 1000
