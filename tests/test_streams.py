@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.operators import health
@@ -74,3 +75,55 @@ def test_health_goes_on_from_run_to_run(spark, tmp_path):
 
 def test_a_finished_stream_has_all_rows(spark, sf_dir):
     assert jobs.finished(jobs.stream_of(spark, sf_dir, "events").select("event_id")).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+class Held:
+    """A state store in memory that counts the messages that a processor would send."""
+
+    def __init__(self):
+        self.list, self.map, self.timers, self.sent = [], {}, set(), 0
+
+    getListState = getMapState = lambda self, name, *shape: self
+
+    def registerTimer(self, at):
+        self.sent, self.timers = self.sent + 1, self.timers | {at}
+
+    def appendValue(self, value):
+        self.sent, self.list = self.sent + 1, [*self.list, value]
+
+    def exists(self):
+        return bool(self.list)
+
+    def get(self):
+        return list(self.list)
+
+    def clear(self):
+        self.list = []
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+
+class Mark:
+    def getCurrentWatermarkInMs(self):
+        return 1 << 40
+
+
+def test_keys_of_a_bucket_share_frames_and_messages():
+    """Rows of 600 keys wait with two messages and come back in one frame, each key in its own order, a null one too."""
+    held, processor = Held(), ordered.HealthInOrder()
+    processor.init(held)
+    rows = [(k % 599, k % 600 == 7, t, 600 * t + k, (k + t) % 4 > 0, k * t % 50) for t in (2, 0, 1) for k in range(600)]
+    list(processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["key", "none", "at", "event_id", "healthy", "duration_ms"])]), Mark()))
+    assert held.sent == 2
+    (frame,) = processor.handleExpiredTimer((0,), Mark(), None)
+    want, states = [], {}
+    for key, none, _, event, healthy, ms in sorted(rows, key=lambda r: r[:4]):
+        state = states.setdefault((key, none), health.ServiceState())
+        want.append((None if none else key, event, *state.take(healthy, ms)))
+    got = [(None if pd.isna(k) else k, *r) for k, *r in frame.itertuples(index=False)]
+    assert sorted(got, key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+    assert held.list == [] and len(held.map) == len(states)
