@@ -133,8 +133,9 @@ def with_file_rules(docs: DataFrame, rules: DataFrame, key: str = "doc_id") -> D
 def step_versions(texts: DataFrame, step: str, versions: DataFrame) -> DataFrame:
     """Version rows for a step's texts (file_id, content): MD5 of the content, parent the newest version so far, else the file."""
     newest = versions.groupBy("original_id").agg(F.max_by("version_id", F.struct("created_at", "id")).alias("parent_id"))
-    rows = texts.join(newest, F.col("file_id") == F.col("original_id"), "left")
-    return rows.select("file_id", F.lit(step).alias("step"), F.md5(F.col("content").cast("binary")).alias("version_md5"), F.coalesce("parent_id", "file_id").alias("parent_id"))
+    # The MD5 is taken before the join, so that no text moves.
+    rows = texts.select("file_id", F.md5(F.col("content").cast("binary")).alias("version_md5")).join(newest, F.col("file_id") == F.col("original_id"), "left")
+    return rows.select("file_id", F.lit(step).alias("step"), "version_md5", F.coalesce("parent_id", "file_id").alias("parent_id"))
 
 
 def _committed(spark: SparkSession, path: str) -> list[str]:
@@ -155,14 +156,20 @@ def read_versions(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(VERSIONS + ", attempt string").option("basePath", f"{base}/versions").parquet(*paths)
 
 
+STEP_KEY = ["file_id", "step", "version_md5"]
+
+
 def read_step_texts(spark: SparkSession, base: str) -> DataFrame:
-    """(file_id, step, version_md5, content) of all version rows; texts of attempts that did not finish are not seen."""
-    paths = _committed(spark, f"{base}/texts")
-    rows = read_versions(spark, base)
+    """(file_id, step, version_md5, content) of all version rows; texts of attempts that did not finish are not seen.
+
+    An attempt's texts are those of its version rows, so the marks of its two folders tell what is to be seen, and no text moves.
+    """
+    finished = {p.rsplit("/", 1)[-1] for p in _committed(spark, f"{base}/versions")}
+    paths = [p for p in _committed(spark, f"{base}/texts") if p.rsplit("/", 1)[-1] in finished]
     if not paths:
-        return rows.select("file_id", "step", "version_md5", F.lit(None).cast("string").alias("content"))
-    texts = spark.read.schema("file_id long, step string, version_md5 string, content string, attempt string").option("basePath", f"{base}/texts").parquet(*paths)
-    return rows.join(texts, ["attempt", "file_id", "step", "version_md5"]).select("file_id", "step", "version_md5", "content")
+        return spark.createDataFrame([], "file_id long, step string, version_md5 string, content string")
+    texts = spark.read.schema("file_id long, step string, version_md5 string, content string").parquet(*paths)
+    return texts.filter(" and ".join(f"{k} is not null" for k in STEP_KEY))  # what lacks one has no version row
 
 
 def write_step(texts: DataFrame, step: str, versions: DataFrame, base: str) -> None:
@@ -171,13 +178,19 @@ def write_step(texts: DataFrame, step: str, versions: DataFrame, base: str) -> N
     and MD5 already is not written again, so a repeated step adds nothing, and one that was cut off leaves nothing to be seen."""
     spark = texts.sparkSession
     attempt = uuid.uuid4().hex
-    known = read_versions(spark, base).select("file_id", "step", "version_md5")
-    rows = step_versions(texts, step, versions).select(F.col("file_id").cast("long").alias("file_id"), "step", "version_md5", F.col("parent_id").cast("long").alias("parent_id"))
+    known = read_versions(spark, base).select(*STEP_KEY)
     bodies = texts.select(F.col("file_id").cast("long").alias("file_id"), F.lit(step).alias("step"), F.md5(F.col("content").cast("binary")).alias("version_md5"), "content")
-    key = ["file_id", "step", "version_md5"]
-    bodies.join(known, key, "left_anti").dropDuplicates(key).write.parquet(f"{base}/texts/attempt={attempt}")
-    written = spark.read.schema("file_id long, step string, version_md5 string, content string").parquet(f"{base}/texts/attempt={attempt}").select(*key)
-    rows.dropDuplicates(key).join(written, key).write.parquet(f"{base}/versions/attempt={attempt}")
+    # Keys are counted first: where all texts are new, or none is, as in most steps, no text moves.
+    keys = bodies.select(*STEP_KEY).groupBy(*STEP_KEY).agg(F.count(F.lit(1)).alias("rows_"))
+    found = keys.join(known.distinct().withColumn("known_", F.lit(True)), STEP_KEY, "left").agg(F.count_if(F.col("known_").isNull()).alias("new"), F.sum("rows_").alias("rows")).first()
+    if not found["new"]:
+        return
+    if found["new"] < found["rows"]:
+        bodies = bodies.join(known, STEP_KEY, "left_anti").dropDuplicates(STEP_KEY)
+    bodies.write.parquet(f"{base}/texts/attempt={attempt}")
+    written = spark.read.schema("file_id long, step string, version_md5 string, content string").parquet(f"{base}/texts/attempt={attempt}").select(*STEP_KEY)
+    rows = step_versions(texts, step, versions).select(F.col("file_id").cast("long").alias("file_id"), "step", "version_md5", F.col("parent_id").cast("long").alias("parent_id"))
+    rows.dropDuplicates(STEP_KEY).join(written, STEP_KEY).write.parquet(f"{base}/versions/attempt={attempt}")
 
 
 def write_final(texts: DataFrame, path: str) -> None:

@@ -80,3 +80,26 @@ def test_steps_are_written_once_and_only_whole(spark, tmp_path):
     (tmp_path / "steps/versions/attempt=half").mkdir()
     (tmp_path / "steps/versions/attempt=half/part-0.parquet").write_bytes(b"not whole")
     assert len(got()) == 5
+
+
+def test_a_step_moves_no_text_unless_it_must(spark, tmp_path, capsys):
+    versions = spark.createDataFrame([], "id long, original_id long, version_id long, created_at timestamp")
+    base, shape = f"file://{tmp_path}/steps", "file_id long, content string"
+    attempts = lambda: len(list((tmp_path / "steps" / "texts").iterdir()))
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "n")], shape)
+    corpus.write_step(first, "cleaning", versions, base)
+    # The same again writes nothing, not even an empty attempt; without the rows that have no key no text is new.
+    again = first.filter("file_id is not null and content is not null")
+    corpus.write_step(again, "cleaning", versions, base)
+    assert attempts() == 1
+    # Some known, some new, one given twice.
+    corpus.write_step(spark.createDataFrame([(1, "a"), (2, "c"), (2, "c"), (4, "d")], shape), "cleaning", versions, base)
+    assert attempts() == 2
+    back = corpus.read_step_texts(spark, base)
+    assert sorted((r.file_id, r.content) for r in back.collect()) == [(1, "a"), (2, "b"), (2, "c"), (4, "d")]
+    back.explain()
+    shown = capsys.readouterr().out
+    assert "Exchange" not in shown and "Join" not in shown
+    # An attempt whose version rows are not there is not seen.
+    next((tmp_path / "steps" / "versions").iterdir()).joinpath("_SUCCESS").unlink()
+    assert corpus.read_step_texts(spark, base).count() == 2
