@@ -104,3 +104,20 @@ def test_added_tokens_have_the_ids_of_the_json_file(spark):
     want = {i: t.encode(x, add_special_tokens=False).ids + [packing.END_TOKEN] for i, x in enumerate(texts)}
     assert want[0] == [64, 220, 50256, 275, packing.END_TOKEN]
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == want
+
+
+def test_rare_words_are_not_encoded_one_by_one():
+    import time
+
+    w, rng = packing.words(), np.random.default_rng(4)
+    rare = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(60_000)]
+
+    def seconds(job) -> float:
+        start = time.process_time()
+        job()
+        return time.process_time() - start
+
+    w.ids("a b")
+    at_once = min(seconds(lambda: w.ids(" ".join(rare))) for _ in range(3))
+    one_by_one = min(seconds(lambda: [w.plain(" " + x) for x in rare]) for _ in range(3))
+    assert at_once < 0.75 * one_by_one
