@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def released(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
-    """run over a task's batches; at the end its caches are forgotten and Arrow's unused memory goes back to the system.
+    """run over a task's batches; at the end its caches are forgotten, and unused memory of Arrow and of the C library goes back to the system.
 
     Python workers live on for later stages, so what a task leaves behind would add up.
     """
@@ -35,10 +35,20 @@ def released(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | N
             if forget:
                 forget()
             pa.default_memory_pool().release_unused()
+            _trim()
 
     return task
 
 
+def _trim() -> None:
+    """Gives the C library's free memory back to the system, where it can (glibc)."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
