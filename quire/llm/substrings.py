@@ -146,22 +146,36 @@ def unpack(blob: bytes, kinds: list[str]) -> tuple[list[np.ndarray], bytes]:
 RUN, SPAN = ["<i8", "<i8", "<i4", "<i4", "?"], ["<i8", "<i8", "<i4", "<i4"]
 
 
+def word_array(text: bytes) -> pa.Array:
+    """Words joined by one space, as an Arrow array over the text's own bytes; each keeps the space behind it."""
+    text += b" "
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20) + 1
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer(text)])
+
+
 class Windows:
-    """All windows of one bucket; words are numbers from one vocabulary."""
+    """All windows of one bucket; words are numbers from one dictionary, which Arrow makes from the texts without an object a word."""
 
     def __init__(self):
-        self.vocabulary: dict[bytes, int] = defaultdict()
-        self.vocabulary.default_factory = self.vocabulary.__len__
         self.parts: list[tuple] = []
+        self.words: list[pa.Array] = []
 
     def add(self, arrays: list[np.ndarray], words: list[bytes]) -> None:
         """Strings by their arrays (RUN) and all their words."""
-        self.parts.append((*arrays, np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))))
+        self.add_text(arrays, b" ".join(words))
+
+    def add_text(self, arrays: list[np.ndarray], text: bytes) -> None:
+        """The same, with the words joined by one space."""
+        self.parts.append(tuple(arrays))
+        self.words.append(word_array(text))
 
     def decided(self) -> tuple[pa.RecordBatch, list[tuple] | None]:
         """Spans of windows that start in a smaller document here too; and of the hot strings the other windows, as (doc, digest, places, window)."""
-        doc, digest, start, count, hot, ids = (np.concatenate(p) for p in zip(*self.parts))
+        doc, digest, start, count, hot = (np.concatenate(p) for p in zip(*self.parts))
+        numbered = pa.chunked_array(self.words).dictionary_encode().unify_dictionaries()
+        ids, dictionary = np.concatenate([c.indices.to_numpy() for c in numbered.chunks]), numbered.chunk(0).dictionary
         self.parts.clear()
+        self.words.clear()
         offset = np.cumsum(count + (WINDOW - 1)) - count - (WINDOW - 1)
         of = np.repeat(np.arange(len(count)), count)
         within = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
@@ -200,7 +214,7 @@ class Windows:
         left = np.flatnonzero(~marked & hot[of])
         if not len(left):
             return spans, None
-        words, places = list(self.vocabulary), defaultdict(list)
+        words, places = [w[:-1] for w in dictionary.to_pylist()], defaultdict(list)
         numbers = ids[at[left][:, None] + np.arange(WINDOW)]
         for d, g, p, r in zip(doc[of[left]].tolist(), digest[of[left]].tolist(), (start[of[left]] + within[left]).tolist(), numbers):
             places[d, g, r.tobytes()].append(p)
@@ -306,7 +320,7 @@ def in_buckets(packed: DataFrame, tasks: int) -> DataFrame:
                     yield span_batch(*unpack(blob.as_py(), SPAN)[0])
                 else:
                     arrays, text = unpack(blob.as_py(), RUN)
-                    windows.add(arrays, text.split(b" "))
+                    windows.add_text(arrays, text)
         yield from finish()
 
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
@@ -335,9 +349,9 @@ def by_window(left: DataFrame, buckets: int, tasks: int) -> DataFrame:
                 mine = batch.slice(int(some[0]), len(some))
                 number = np.arange(len(places), len(places) + len(some), dtype=np.int32)
                 places += mine.column("places").to_pylist()
-                words = b" ".join(mine.column("window").to_pylist()).split(b" ")
+                text = b" ".join(mine.column("window").to_pylist())
                 # A row for each window: runs of one window never join, so each span names one row.
-                windows.add([mine.column("doc").to_numpy(), mine.column("digest").to_numpy(), number, np.ones(len(some), np.int32), np.zeros(len(some), bool)], words)
+                windows.add_text([mine.column("doc").to_numpy(), mine.column("digest").to_numpy(), number, np.ones(len(some), np.int32), np.zeros(len(some), bool)], text)
         yield from finish()
 
     dealt = left.withColumn("bucket", F.pmod(F.xxhash64("window"), F.lit(buckets)).cast("int")).repartition(tasks, "bucket").sortWithinPartitions("bucket")

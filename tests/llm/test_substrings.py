@@ -118,3 +118,15 @@ def test_query_equals_its_sql(spark, sf_dir):
     got = [tuple(r[n] for n in names) for r in substrings.op11_substring_dedup(spark, sf_dir).collect()]
     assert sorted(got) == sorted(result.fetchall()) and sum(r[2] for r in got) > 0
     assert all(len(r[3]) == len(hashlib.sha256(b"").hexdigest()) for r in got)
+
+
+def test_words_of_several_texts_get_the_same_numbers():
+    """Words are numbered by Arrow, over all texts of a bucket; a window of one text meets its equal in another one."""
+    assert [w[:-1] for w in substrings.word_array("ä bb  ä".replace("  ", " ").encode()).to_pylist()] == ["ä".encode(), b"bb", "ä".encode()]
+    w, words = substrings.Windows(), [b"w%d" % i for i in range(substrings.WINDOW)]
+    one = lambda x, t: substrings.np.array([x], t)
+    for doc, ws in ((3, words), (1, words[::-1]), (2, words)):
+        w.add_text([one(doc, "i8"), one(0, "i8"), one(5, "i4"), one(1, "i4"), one(True, "?")], b" ".join(ws))
+    spans, left = w.decided()
+    assert spans.to_pylist() == [{"doc": 3, "digest": 0, "first": 5, "last": 5 + substrings.WINDOW, "places": None, "window": None}]
+    assert sorted((d, s) for d, _, _, s in left) == [(1, b" ".join(words[::-1])), (2, b" ".join(words))]
