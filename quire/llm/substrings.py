@@ -172,7 +172,8 @@ class Windows:
     def decided(self) -> tuple[pa.RecordBatch, list[tuple] | None]:
         """Spans of windows that start in a smaller document here too; and of the hot strings the other windows, as (doc, digest, places, window)."""
         doc, digest, start, count, hot = (np.concatenate(p) for p in zip(*self.parts))
-        numbered = pa.chunked_array(self.words).dictionary_encode().unify_dictionaries()
+        # Arrow fills one dictionary over all texts, so each has it whole; unifying them would read it again for each text.
+        numbered = pa.chunked_array(self.words).dictionary_encode()
         ids, dictionary = np.concatenate([c.indices.to_numpy() for c in numbered.chunks]), numbered.chunk(0).dictionary
         self.parts.clear()
         self.words.clear()

@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -130,3 +131,27 @@ def test_words_of_several_texts_get_the_same_numbers():
     spans, left = w.decided()
     assert spans.to_pylist() == [{"doc": 3, "digest": 0, "first": 5, "last": 5 + substrings.WINDOW, "places": None, "window": None}]
     assert sorted((d, s) for d, _, _, s in left) == [(1, b" ".join(words[::-1])), (2, b" ".join(words))]
+
+
+def test_many_texts_of_a_bucket_cost_what_one_does():
+    """The dictionary is one for all texts and is not read again for each of them."""
+    words = [b"w%d" % (i * 7919 % 60_000) for i in range(120_000)]
+    one = lambda x, t: substrings.np.array([x], t)
+
+    def decided(size):
+        w, before = substrings.Windows(), time.process_time()
+        for i in range(0, len(words), size):
+            w.add_text([one(i, "i8"), one(0, "i8"), one(i, "i4"), one(size - substrings.WINDOW + 1, "i4"), one(False, "?")], b" ".join(words[i : i + size]))
+        spans = w.decided()[0]
+        return time.process_time() - before, spans.column("first").to_pylist()
+
+    decided(len(words))
+    whole, many = decided(len(words)), decided(60)
+    assert whole[1] == [] and many[1] == list(range(60_000, 120_000, 60))
+    assert many[0] < 5 * whole[0] + 1
+
+
+def test_arrow_has_one_dictionary_for_all_texts():
+    numbered = substrings.pa.chunked_array([substrings.word_array(t) for t in (b"a b", b"c a", b"", b"d")]).dictionary_encode()
+    assert len({c.dictionary.buffers()[2].address for c in numbered.chunks}) == 1
+    assert all(c.dictionary.to_pylist() == [b"a ", b"b ", b"c ", b" ", b"d "] for c in numbered.chunks)
