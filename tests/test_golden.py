@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 import random
+import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -260,6 +262,48 @@ def test_long_diffs_in_bounded_space():
     assert sum(len(ts) for k, ts in steps if k == "equal") == sum(a == b for a, b in zip(x, y))
 
 
+def test_pairs_are_compared_at_once():
+    """Many pairs at once give what each gives alone; whole words are one token, all else is as the token pattern has it."""
+    rng = random.Random(3)
+    token = re.compile(r"[一-鿿㐀-䶿豈-﫿]|[a-zA-Z]+|[0-9]+|\s+|.", re.DOTALL)
+    text = lambda: "".join(rng.choice([*"ab1 \n\t他é!。𠀀\x1c\u3000\x85", "the", "THE", "12"]) for _ in range(rng.randint(0, 20)))
+    pairs = [(t, t.replace("the", "THE!") if i % 2 else text()) for i, t in enumerate(text() for _ in range(600))] + [("", ""), ("", "x y"), ("x y", "")]
+    got = segment.diffs(*map(list, zip(*pairs))).to_pylist()
+    for (a, b), ops in zip(pairs, got):
+        want: list[list] = []
+        for kind, tokens in segment.edit_steps(token.findall(a), token.findall(b)):
+            if tokens and want and want[-1][0] == kind:
+                want[-1][1] += "".join(tokens)
+            elif tokens:
+                want.append([kind, "".join(tokens)])
+        assert [[o["type"], o["value"]] for o in ops] == want and segment.diff_tokens(a, b) == [tuple(w) for w in want]
+    assert segment.diffs([], []).to_pylist() == []
+
+
+def test_a_diff_takes_less_than_two_passes_of_a_token_pattern():
+    """Tokens are places in one array, so cutting, numbering and comparing them takes no step a token."""
+    token = re.compile(r"[一-鿿㐀-䶿豈-﫿]|[a-zA-Z]+|[0-9]+|\s+|.", re.DOTALL)
+    a = ["the word, 12 " * 600] * 100
+    b = [t.replace("the", "THE!") for t in a]
+
+    def least(job):
+        taken = []
+        for _ in range(3):
+            before = time.process_time()
+            job()
+            taken.append(time.process_time() - before)
+        return min(taken)
+
+    assert least(lambda: segment.diffs(a, b)) < 1.5 * least(lambda: [token.findall(t) for t in a + b])
+
+
+def test_diff_rows_keep_their_keys(spark):
+    rows = [(5, 0, "a the b", "a THE! b"), (5, 3, None, "x"), (None, 1, "y", None), (6, 2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, idx int, original_text string, suggested_text string")
+    got = {(r.doc_id, r.idx): [(o.type, o.value) for o in r.ops] for r in segment.paragraph_diff(df).collect()}
+    assert got == {(5, 0): [("equal", "a "), ("delete", "the"), ("insert", "THE!"), ("equal", " b")], (5, 3): [("insert", "x")], (None, 1): [("delete", "y")], (6, 2): []}
+
+
 def test_headings_get_blank_lines_and_nothing_is_lost(spark):
     texts = ["a\x01b\x02c", "第一章第二章x", "x◇a◇", "x\n第1章\ny", "Chapter 3", "", None, "\x02第一章\x01"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
