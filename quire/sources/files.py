@@ -1,4 +1,4 @@
-"""Text files as Spark data sources: large files read by ranges of lines, and one file written for each row.
+"""Text files as Spark data sources: large files read by ranges of lines, and one file written, and read, for each row.
 
 Both work with any file system that Arrow knows (local, HDFS, S3, ...), in tasks; nothing of a file's content goes through the driver.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-RANGE_BYTES, READ_BYTES, BATCH_LINES = 32 << 20, 1 << 20, 10_000
+RANGE_BYTES, READ_BYTES, BATCH_LINES, BATCH_FILES = 32 << 20, 1 << 20, 10_000, 1000
 
 
 def file_system(path: str):
@@ -113,12 +113,18 @@ class LineReader(DataSourceReader):
 
 
 class FileForEachRow(DataSource):
-    """Rows (name, content) as files of a folder, `path`."""
+    """Rows (name, content) as files of a folder, `path`; read back with the content as bytes, of names that end in `suffix`."""
 
     @classmethod
     def name(cls) -> str:
         return "quire_files"
 
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return GroupReader(self.options["path"], self.options.get("suffix", ".txt"))
+
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return FileWriter(self.options["path"])
 
@@ -176,6 +182,51 @@ class FileWriter(DataSourceWriter):
             system.delete_dir(f"{root}/_attempt-{self.attempt}")
 
 
+class Group(InputPartition):
+    """The files that one task of a write made."""
+
+    def __init__(self, folder: str):
+        super().__init__(folder)
+        self.folder = folder
+
+
+class GroupReader(DataSourceReader):
+    """A task for each committed group lists and reads its files, so the driver sees folders only, as many as writing had tasks."""
+
+    def __init__(self, path: str, suffix: str):
+        self.path, self.suffix = path, suffix
+
+    def partitions(self) -> list[Group]:
+        from pyarrow import fs
+
+        system, root = file_system(self.path)
+        found = [i for i in system.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory and not i.base_name.startswith("_")]
+        return [Group(i.path) for i in sorted(found, key=lambda i: i.path)] or [Group("")]
+
+    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        if not partition.folder:
+            return
+        system, _ = file_system(self.path)
+        names, bodies, size = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["name", "content"])
+
+        for info in system.get_file_info(fs.FileSelector(partition.folder)):
+            if info.type == fs.FileType.File and info.base_name.endswith(self.suffix):
+                with system.open_input_stream(info.path) as stream:
+                    bodies.append(stream.read())
+                names.append(info.base_name)
+                size += len(bodies[-1])
+                if len(names) >= BATCH_FILES or size >= READ_BYTES:
+                    yield batch()
+                    names, bodies, size = [], [], 0
+        if names:
+            yield batch()
+
+
 def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, suffix: str = ".txt") -> DataFrame:
     """(path, start, line: binary) of all lines of the files below a folder; a file of many ranges is many tasks."""
     spark.dataSource.register(LineRanges)
@@ -189,6 +240,6 @@ def write_files(texts: DataFrame, path: str, name: str = "name", content: str =
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) of committed files; Spark's reader has no row for an empty one."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)\z", 1).alias("name"), F.col("value").alias("content"), F.col("_metadata.file_path").alias("from_")).filter(~F.contains("from_", F.lit("/_attempt-"))).drop("from_")
+    """(name, content) of the committed .txt files below a folder of `write_files`, empty ones too; a task for each task that wrote."""
+    spark.dataSource.register(FileForEachRow)
+    return spark.read.format("quire_files").option("path", path).load().select("name", F.col("content").cast("string").alias("content"))

@@ -50,6 +50,23 @@ def test_one_file_a_row(spark, tmp_path):
     assert len([p for p in (tmp_path / "out").iterdir() if p.is_dir()]) == 3 and not list((tmp_path / "out").glob("_attempt*"))
 
 
+def test_reading_files_has_a_task_for_each_that_wrote(spark, tmp_path):
+    """The number of tasks does not grow with that of files; empty files, and names that Spark's reader hides, have a row too."""
+    path = f"file://{tmp_path}/out"
+    texts = spark.createDataFrame([(i, f"text {i}" if i % 50 else "") for i in range(300)], "file_id long, content string").repartition(2)
+    corpus.write_final(texts, path)
+    named = spark.createDataFrame([("_a b%20é.txt", bytearray(b"\xffx\n")), ("b.md", bytearray(b"no"))], "name string, content binary").coalesce(1)
+    files.write_files(named, path)
+    (tmp_path / "out" / "_attempt-cut").mkdir()
+    (tmp_path / "out" / "_attempt-cut" / "9.txt").write_text("not committed")
+    back = files.read_files(spark, path)
+    assert back.rdd.getNumPartitions() == 3 and back.schema.simpleString() == "struct<name:string,content:string>"
+    got = {r.name: bytes(r.c) for r in back.select("name", F.col("content").cast("binary").alias("c")).collect()}
+    assert got == {f"{i}.txt": f"text {i}".encode() if i % 50 else b"" for i in range(300)} | {"_a b%20é.txt": b"\xffx\n"}
+    (tmp_path / "none").mkdir()
+    assert files.read_files(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_a_failed_write_leaves_no_files(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     texts = spark.createDataFrame([(i, "x") for i in range(8)], "file_id long, content string").repartition(2)
