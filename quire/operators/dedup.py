@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.text import local_vector, normalize_paragraph
+from quire.functions.text import local_vector, normalize_paragraph, utrim_named, vector_digests, without_marks
 
 # Least normalised length that takes part, predecessors compared, cosine from which paragraphs are alike.
 MIN_LENGTH, WINDOW, THRESHOLD = 5, 300, 0.95
@@ -44,10 +44,15 @@ def duplicate_stats(dups: DataFrame, samples: int = 20, fewer: int = 10, most_ch
 def near_paragraphs(paragraphs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, idx, text) -> (doc_id, idx, near_idx, sim): paragraphs with an earlier, alike one, each marked once, by the nearest.
 
-    Short paragraphs and exact duplicates take no part, as they are marked before; the rest meet by their local vectors.
+    Short paragraphs and exact duplicates take no part; the rest meet by their local vectors. Normalised text is made and digested once, for
+    duplicates and vectors, and both are made before rows move, so no text does.
     """
-    rest = exact_duplicates(paragraphs).filter(~F.col("is_dup") & (F.char_length("norm") >= MIN_LENGTH))
-    vectors = rest.select(F.col("doc_id").alias("file_id"), "idx", local_vector(F.col("text")).alias("vec"))
+    marked = paragraphs.select("doc_id", "idx", "text", without_marks(F.col("text")).alias("bare"))
+    marked = marked.select("doc_id", "idx", "text", utrim_named(F.col("bare")).alias("norm"))
+    marked = marked.select("doc_id", "idx", "text", vector_digests(F.col("norm")).alias("digests"), (F.char_length("norm") >= MIN_LENGTH).alias("long"))
+    made = marked.select("doc_id", "idx", F.substr("digests", F.lit(1), F.lit(32)).alias("key"), "long", local_vector(F.col("text"), F.col("digests")).alias("vec"))
+    first = F.row_number().over(W.partitionBy("doc_id", "key").orderBy("idx")) == 1
+    vectors = made.withColumn("first", first).filter(F.col("long") & F.col("first")).select(F.col("doc_id").alias("file_id"), "idx", "vec")
     pairs = near_duplicates(vectors, window, threshold, nearest=True)
     return pairs.groupBy(F.col("file_id").alias("doc_id"), F.col("i").alias("idx")).agg(F.max("j").alias("near_idx"), F.max_by("sim", "j").alias("sim"))
 
@@ -85,31 +90,40 @@ def _matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x / np.where(norm > 0, norm, 1.0)[:, None], np.where(lists.is_null().to_numpy(zero_copy_only=False), -1, n)
 
 
-def _alike(group: pa.Table, window: int, threshold: float, nearest: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, sim) within a group whose rows are in order of idx: blocks of later rows against the earlier rows in reach."""
-    idx = group["idx"].to_numpy()
-    x, n = _matrix(group["vec"].combine_chunks())
-    later, earlier = (np.flatnonzero(group[c].to_numpy(zero_copy_only=False) & (n >= 0)) for c in ("later", "earlier"))
-    before, found = idx[earlier], []
+def _alike(rows: pa.Table, group: np.ndarray, window: int, threshold: float, nearest: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, sim), i and j as places among rows: whole groups in order, by their numbers from 0, each in order of idx. Blocks of later
+    rows, which may be of many groups, against the earlier rows in reach."""
+    idx = rows["idx"].to_numpy()
+    x, n = _matrix(rows["vec"].combine_chunks())
+    begin = np.searchsorted(group, np.arange(group[-1] + 1))
+    # Rows by one number. With a window: the idx from their group's first one on, and groups further apart than a window reaches.
+    if window:
+        most = np.maximum.reduceat(idx, begin) - idx[begin] + window + 1
+        place = idx - idx[begin][group] + (np.cumsum(most) - most)[group]
+    else:
+        place = np.r_[0, np.cumsum((np.diff(idx) != 0) | (np.diff(group) != 0))]
+    later, earlier = (np.flatnonzero(rows[c].to_numpy(zero_copy_only=False) & (n >= 0)) for c in ("later", "earlier"))
+    before, found = place[earlier], []
     for start in range(0, len(later), ROWS):
-        rows = later[start : start + ROWS]
-        reach = earlier[np.searchsorted(before, idx[rows[0]] - window) if window else 0 : np.searchsorted(before, idx[rows[-1]])]
+        some_later = later[start : start + ROWS]
+        low = place[some_later[0]] - window if window else place[begin[group[some_later[0]]]]
+        reach = earlier[np.searchsorted(before, low) : np.searchsorted(before, place[some_later[-1]])]
         for end in range(len(reach), 0, -4 * ROWS):  # the nearest ones first
             some = reach[max(0, end - 4 * ROWS) : end]
-            sim = x[rows] @ x[some].T
-            sim[n[rows][:, None] != n[some]] = 0.0
-            gap = idx[rows][:, None] - idx[some]
-            hit = (sim >= threshold) & (gap > 0) & ((gap <= window) if window else True)
+            sim = x[some_later] @ x[some].T
+            sim[n[some_later][:, None] != n[some]] = 0.0
+            gap = place[some_later][:, None] - place[some]
+            hit = (sim >= threshold) & (gap > 0) & ((gap <= window) if window else group[some_later][:, None] == group[some])
             if nearest:
                 one = hit.any(axis=1)
                 last = len(some) - 1 - hit[:, ::-1].argmax(axis=1)
-                found.append((idx[rows[one]], idx[some[last[one]]], sim[one, last[one]]))
-                rows = rows[~one]
-                if not len(rows):
+                found.append((some_later[one], some[last[one]], sim[one, last[one]]))
+                some_later = some_later[~one]
+                if not len(some_later):
                     break
             else:
                 a, b = np.nonzero(hit)
-                found.append((idx[rows[a]], idx[some[b]], sim[a, b]))
+                found.append((some_later[a], some[b], sim[a, b]))
     return found
 
 
@@ -126,24 +140,40 @@ def near_duplicates(rows: DataFrame, window: int = WINDOW, threshold: float = TH
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
+        def key(b: pa.RecordBatch, at: int) -> tuple:
+            return tuple(b.column(c)[at].as_py() for c in ("file_id", "part", "other"))
+
+        def cuts(keys: list[np.ndarray]) -> np.ndarray:
+            return np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+
+        def keys_of(b) -> list[np.ndarray]:
+            return [b.column(c).to_numpy(zero_copy_only=False) if isinstance(b, pa.RecordBatch) else b[c].to_numpy() for c in ("file_id", "part", "other")]
+
         def done():
             if held:
-                group = pa.Table.from_batches(held)
-                found = _alike(group, window, threshold, nearest)
+                whole = pa.Table.from_batches(held)
+                group = np.zeros(len(whole), np.int64)
+                group[cuts(keys_of(whole))] = 1
+                found = _alike(whole, np.cumsum(group), window, threshold, nearest)
                 if found:
                     i, j, sim = (np.concatenate(c) for c in zip(*found))
-                    file = pa.array([group["file_id"][0].as_py()], group["file_id"].type).take(pa.array(np.zeros(len(i), np.int64)))
-                    yield pa.RecordBatch.from_arrays([file, pa.array(i), pa.array(j), pa.array(sim)], names=["file_id", "i", "j", "sim"])
+                    file, idx = whole["file_id"].combine_chunks(), whole["idx"].to_numpy()
+                    yield pa.RecordBatch.from_arrays([file.take(pa.array(i)), pa.array(idx[i]), pa.array(idx[j]), pa.array(sim)], names=["file_id", "i", "j", "sim"])
 
-        key = lambda b, at: tuple(b.column(c)[at].as_py() for c in ("file_id", "part", "other"))
+        # A batch's whole groups are compared at once, with what is held of the first of them; most files are a few rows.
         for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("file_id", "part", "other")]
-            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), len(batch)] if len(batch) else []
-            for a, b in zip(cuts, cuts[1:]):
-                if held and key(held[0], 0) != key(batch, a):
-                    yield from done()
-                    held.clear()
-                held.append(batch.slice(a, b - a))
+            if not len(batch):
+                continue
+            if held and key(held[0], 0) != key(batch, 0):
+                yield from done()
+                held.clear()
+            at = cuts(keys_of(batch))
+            last = int(at[-1]) if len(at) else 0
+            if last:
+                held.append(batch.slice(0, last))
+                yield from done()
+                held.clear()
+            held.append(batch.slice(last))
         yield from done()
 
     kind, place = rows.schema["file_id"].dataType.simpleString(), rows.schema["idx"].dataType.simpleString()

@@ -8,6 +8,7 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,43 @@ def test_long_diffs_in_bounded_space():
     assert sum(len(ts) for k, ts in steps if k == "equal") == sum(a == b for a, b in zip(x, y))
 
 
+def test_small_files_are_compared_together(spark):
+    """Files of a few rows share a matrix product: 4,000 of them take about what one file of as many rows does."""
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(12_000, 8)).tolist()
+
+    def table(size):
+        rows = pa.table({"file_id": np.arange(12_000) // size, "part": np.zeros(12_000, np.int64), "idx": np.arange(12_000) % size, "later": [True] * 12_000, "earlier": [True] * 12_000, "vec": vecs})
+        return rows, np.arange(12_000) // size
+
+    def least(size, window, nearest):
+        taken = []
+        for _ in range(3):
+            before = time.process_time()
+            found = dedup._alike(*table(size), window, 0.9, nearest)
+            taken.append(time.process_time() - before)
+        return min(taken), sorted((int(a), int(b)) for i, j, _ in found for a, b in zip(i, j))
+
+    unit = np.array(vecs) / np.linalg.norm(vecs, axis=1)[:, None]
+    want = sorted((i, j) for i in range(12_000) for j in range(i - i % 3, i) if unit[i] @ unit[j] >= 0.9)
+    for window in (0, 1, 300):
+        few = [(i, j) for i, j in want if not window or i - j <= window]
+        taken, found = least(3, window, False)
+        assert few and found == few
+        assert [i for i, _ in least(3, window, True)[1]] == sorted({i for i, _ in few})
+        assert taken < 3 * least(12_000, 300, False)[0] + 0.5
+
+
+def test_marks_and_trim_of_named_texts(spark):
+    """What meets neither the regex nor `translate` is as if it had."""
+    rng = random.Random(6)
+    chars = [*fn.SPACES, *fn.MARKS, *"abé他𠀀\x00\x1c\u180e\u200b\ufeff\u2013\uff5f"]
+    texts = [None, "", *("".join(rng.choice(chars) for _ in range(rng.randint(0, 6))) for _ in range(500)), *chars]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", fn.utrim(F.col("t")).alias("a"), fn.utrim_named(F.col("t")).alias("b"), F.translate("t", fn.MARKS, "").alias("c"), fn.without_marks(F.col("t")).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got) and any(r.a != r.t for r in got) and any(r.c != r.t for r in got)
+
+
 def test_pairs_are_compared_at_once():
     """Many pairs at once give what each gives alone; whole words are one token, all else is as the token pattern has it."""
     rng = random.Random(3)
