@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as fn
 from quire.functions.patterns import pattern
 from quire.operators import catalog, clean, dedup, health, review, segment
+from quire.plans import registry
 from quire.sources import corpus
 
 
@@ -137,6 +138,69 @@ def test_resegment_keeps_all_text(spark):
     assert titled == {1: "前文\n\n◇ 四 ◇\n\n正文\n\n第12章\n\n后文", 2: "没有标题"}
 
 
+def test_resegment_has_all_documents_and_paragraphs(spark, tmp_path):
+    long = "他走了看了。" * 100
+    rows = [(0, None), (1, ""), (2, " \n　"), (3, "short"), (4, "第１２集 风起\n" + long), (5, "一行\n二行\r\n" + long + "\n四行"), (6, "他说「我说『好。』」" * 60)]
+    query = registry.queries()["gen_resegment"]
+    for folder, end in (("a", "x"), ("b", "y")):
+        docs = spark.createDataFrame([(d, None if t is None else t + end) for d, t in rows], "doc_id long, text string")
+        docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+    a, b = ({r.doc_id: r for r in query(spark, f"{tmp_path}/{folder}").collect()} for folder in "ab")
+    assert sorted(a) == sorted(b) == [0, 1, 2, 3, 4, 5, 6] and (a[0].n, a[0].chars, a[0].last) == (0, 0, None) and a[3].last == a[3].n - 1
+    assert a[0] == b[0] and all(a[i] != b[i] and a[i].chars == b[i].chars for i in range(1, 7))
+    got = segment.resegmented(spark.createDataFrame([*rows, (6, "again\n\ntwice")], "doc_id long, text string")).collect()
+    said = ["\n".join(["他说「我说『好。』」"] * n) for n in [8] * 7 + [4]]
+    assert sorted((r.doc_id, list(r.texts)) for r in got) == [(0, []), (1, []), (2, []), (3, ["short"]), (4, ["第１２集 风起", long]), (5, ["一行", "二行", long, "四行"]), (6, ["again", "twice"]), (6, said)]
+
+
+def cut_by_character(text):
+    """Titles and breaks looked for at each character in turn; the end mark's closing quotes go with it."""
+    skip = lambda i: next((j for j in range(i, len(text)) if text[j] not in " \t"), len(text))
+    marker = lambda i: text.startswith(tuple(segment.TIMES + segment.TOPICS), i) or re.match("[0-9]+个?(月|天|年|小时|分钟|星期|周)(以后|后|以前|前)", text[i:])
+
+    def title_end(i):
+        if text[i] == "◇" and "◇" in text[i + 1 : i + 20]:
+            return text.index("◇", i + 1) + 1
+        if not (text[i] == "第" and any(c.isdecimal() or c in "章节回" for c in text[i + 1 : i + 10]) or text[i] in "一二三四五六七八九十" and text[i + 1 : i + 2] == "、"):
+            return i
+        ends = (j for j in range(i, min(len(text), i + 50)) if text[j] == "\n" or j > i and text[j] == "◇" or j > i + 2 and text[j] in "。！？")
+        return next(ends, min(i + 20, len(text)) - 1) + 1
+
+    def break_end(i):
+        after = skip(i + 1)
+        if text[i] in "。！？" and after < len(text):
+            if text[after] in "」』":
+                while text[after : after + 1] in ("」", "』"):
+                    last, after = after, skip(after + 1)
+                return last + 1 if after < len(text) else None
+            if marker(after) or text[after] in "\"'「『" and skip(after + 1) < len(text):
+                return i + 1
+        closed = text[i] in "」』" and i > 0 and text[i - 1] in "。！？…" and after < len(text)
+        return i + 1 if closed and (text[after] in "\"'「『" or marker(after)) else None
+
+    parts, now, i = [], "", 0
+    while i < len(text):
+        if (end := title_end(i)) > i:
+            parts += [now, text[i:end]]
+            now, i = "", end
+        elif end := break_end(i):
+            parts.append(now + text[i:end])
+            now, i = "", end
+        elif text[i] in "。！？" and text[i + 1 :].strip(" \t」』") == "":
+            now, i = now + text[i:], len(text)
+        else:
+            now, i = now + text[i], i + 1
+    return [p for p in (x.strip(fn.SPACES) for x in [*parts, now]) if p]
+
+
+def test_cuts_equal_those_found_character_by_character():
+    rng = random.Random(4)
+    pieces = [*"。！？…」「』『\"' \t\n，x　１◇第章\x1f", "他走", "苏宁说。", "苏宁说，", "第二天", "忽然", "3天后", "10个月前", "2小时以后", "一、", "第5章", "第１２集"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 30)))
+        assert segment.split_sentences(text) == cut_by_character(text), text
+
+
 def test_merge_short(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a" * 50, "b" * 50, "第一章", "c" * 100, "d"])], "doc_id int, idx int, text string")
     got = [r.text for r in segment.merge_short(df).orderBy("idx").collect()]
